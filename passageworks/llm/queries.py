@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import aho_corasick, ball_simhash, hilbert, markov, tree_bpe, word_first
+from passageworks.llm import aho_corasick, ball_simhash, hilbert, iblt, markov, tree_bpe, word_first
 from passageworks.llm.common import remainder, table
 
 
+def op1_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"), 8)
 
@@ -38,5 +42,5 @@ def op10_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aho_corasick.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_hilbert, op3_markov, op6_ball_simhash, op7_word_first, op8_tree_bpe, op10_aho_corasick)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_iblt, op2_hilbert, op3_markov, op6_ball_simhash, op7_word_first, op8_tree_bpe, op10_aho_corasick)}
 SQL: dict[str, str] = {}
