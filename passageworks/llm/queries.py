@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import aho_corasick, ball_simhash, hilbert, iblt, markov, string_kernel, tree_bpe, word_first
+from passageworks.llm import aho_corasick, ball_simhash, hilbert, iblt, markov, skip_chain, string_kernel, tree_bpe, word_first
 from passageworks.llm.common import remainder, table
 
 
@@ -30,6 +30,11 @@ def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return skip_chain.scan(docs, skip_chain.fit_documents(docs)).drop("found")
+
+
 def op6_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_simhash.ball_simhash(table(spark, sf_dir, "documents"), shingle=3)
 
@@ -49,5 +54,5 @@ def op10_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aho_corasick.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_iblt, op2_hilbert, op3_markov, op4_string_kernel, op6_ball_simhash, op7_word_first, op8_tree_bpe, op10_aho_corasick)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_iblt, op2_hilbert, op3_markov, op4_string_kernel, op5_skip_chain, op6_ball_simhash, op7_word_first, op8_tree_bpe, op10_aho_corasick)}
 SQL: dict[str, str] = {}
