@@ -11,6 +11,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from passageworks.llm.common import clean, slices
 
@@ -91,8 +92,8 @@ def spans_of(text: str, marks: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, keep0, ...) for every row.
 
     Each text is normalised and scanned once by an automaton over all benchmark windows. The benchmark
     comes to the driver block by block; a block's windows are bounded by ``block_bytes`` (plus one item)
@@ -127,11 +128,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     pa.array([hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, items, _ in seen]),
                     pa.array([h > 0 and 20 * h >= n for h, (_, _, n) in zip(hits, seen, strict=True)], pa.bool_()),
                     pa.array([spans_of(t, m) if h else [] for t, h, (m, _, _) in zip(texts, hits, seen, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    *batch.columns[2:],
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f"keep{k}" for k in range(len(keep)))],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return clean(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>")
+    kept = "".join(f", keep{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    wanted = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(f"keep{k}") for k, c in enumerate(keep)))
+    return wanted.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>" + kept)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import aho_corasick, ball_simhash, hilbert, iblt, markov, skip_chain, string_kernel, tree_bpe, word_first
+from passageworks.llm import aho_corasick, ball_simhash, ctw, hilbert, iblt, markov, skip_chain, string_kernel, tree_bpe, word_first
 from passageworks.llm.common import remainder, table
 
 
@@ -50,9 +50,13 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+
+
 def op10_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aho_corasick.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_iblt, op2_hilbert, op3_markov, op4_string_kernel, op5_skip_chain, op6_ball_simhash, op7_word_first, op8_tree_bpe, op10_aho_corasick)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_iblt, op2_hilbert, op3_markov, op4_string_kernel, op5_skip_chain, op6_ball_simhash, op7_word_first, op8_tree_bpe, op9_ctw, op10_aho_corasick)}
 SQL: dict[str, str] = {}
