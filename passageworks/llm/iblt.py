@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,17 +19,21 @@ from passageworks.llm.common import clean, shuffle_width, slices
 ROW_CELLS = 8
 GROWTH = 4
 RETRIES = 12
-#: A paragraph is a line; it is cut further after punctuation, so a text of one line has several pieces.
-CUT = re.compile(r"\n+|(?<=[.!?;:,|])\s+")
+#: Rounds of peeling; a sketch that is large enough takes far fewer, and a false pure cell could go on for ever.
+PEELS = 64
+#: A paragraph is a line; it is cut further after sentences, so a text of one line has several pieces.
+SENTENCE_ENDS = (". ", "! ", "? ", " | ")
 #: A piece without such a cut that is longer than this is cut after words picked by their hash.
-LONG_PIECE = 96
+LONG_PIECE = 128
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 SHIFT = np.uint64(32)
 
 
 def pieces(text: str) -> list[bytes]:
     out: list[bytes] = []
-    for piece in CUT.split(text):
+    for end in SENTENCE_ENDS:
+        text = text.replace(end, f"{end[:-1]}\n")
+    for piece in text.split("\n"):
         if len(piece) <= LONG_PIECE:
             if piece:
                 out.append(piece.encode())
@@ -75,11 +78,11 @@ class Sketches:
 
     def packed(self, k: int) -> bytes:
         cells = slice(k * 3 * self.width, (k + 1) * 3 * self.width)
-        return self.counts[cells].astype("<i2").tobytes() + self.keys[cells].astype("<u8").tobytes() + self.checks[cells].astype("<u2").tobytes()
+        return self.counts[cells].astype("<i2").tobytes() + self.keys[cells].astype("<u8").tobytes() + self.checks[cells].astype("<u4").tobytes()
 
 
 def check_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys * MULTIPLIERS[3]) >> np.uint64(48)).astype(np.uint16)
+    return ((keys * MULTIPLIERS[3]) >> SHIFT).astype(np.uint32)
 
 
 def cells_of(keys: np.ndarray, owners: np.ndarray, width: int, row: int) -> np.ndarray:
@@ -89,7 +92,7 @@ def cells_of(keys: np.ndarray, owners: np.ndarray, width: int, row: int) -> np.n
 
 def build(sets: list[np.ndarray], width: int = ROW_CELLS) -> Sketches:
     n = len(sets)
-    out = Sketches(n, width, np.zeros(n * 3 * width, np.int64), np.zeros(n * 3 * width, np.uint64), np.zeros(n * 3 * width, np.uint16))
+    out = Sketches(n, width, np.zeros(n * 3 * width, np.int64), np.zeros(n * 3 * width, np.uint64), np.zeros(n * 3 * width, np.uint32))
     keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(n), [len(s) for s in sets])
     checks = check_of(keys)
@@ -105,7 +108,7 @@ def peel(sketch: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """(owner, key, sign) of every recovered digest, and which texts peeled to nothing."""
     width, found = sketch.width, []
     counts, keys, checks = sketch.counts.copy(), sketch.keys.copy(), sketch.checks.copy()
-    while True:
+    for _ in range(PEELS):
         pure = np.flatnonzero((np.abs(counts) == 1) & (check_of(keys) == checks))
         if not len(pure):
             break
@@ -120,8 +123,6 @@ def peel(sketch: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
             np.subtract.at(counts, at, signs)
             np.bitwise_xor.at(keys, at, got)
             np.bitwise_xor.at(checks, at, check_of(got))
-        if sum(len(f[0]) for f in found) > 6 * len(counts):  # a false pure cell can feed itself
-            break
     empty = ((counts == 0) & (keys == 0)).reshape(sketch.n, -1).all(axis=1)
     owner, key, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return owner, key, sign, empty
@@ -235,14 +236,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows, closed = None, [], False
-        for part in slices(batches, 128):
+        for part in slices(batches, 256):
             for b, extra, i, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if b != bucket:
                     bucket, rows, closed = b, [], False
                 if not closed:
                     rows.append((i, text or "", digests(text)))
                     closed = extra
-                    if extra or len(rows) > 128:
+                    if extra or len(rows) > 256:
                         yield finish(rows)
                         rows = [] if extra else rows[-1:]
 
