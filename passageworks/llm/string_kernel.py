@@ -25,6 +25,8 @@ WINDOW = 10
 #: Bounds of the fitting sample: labelled documents of each class, and the code points of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_CHARS = 1500, 2500, 20_000
 LANDMARKS = 160
+#: Short strings whose kernel values are worked out at a time, to bound the driver's memory.
+KERNEL_ROWS = 64
 ROUNDS = 2
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -72,14 +74,21 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def dense(texts: list[str]) -> np.ndarray:
     row, key, weight = features(texts)
-    return np.bincount(row.astype(np.int64) * SYMBOLS**3 + key, weights=weight, minlength=len(texts) * SYMBOLS**3).reshape(len(texts), -1)
+    out = np.zeros((len(texts), SYMBOLS**3), np.float32)
+    np.add.at(out, (row, key), weight)
+    return out
 
 
 def kernel(texts: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Subsequence kernel of each text with each landmark (given by its features)."""
-    row, key, weight = features(texts)
-    out = np.zeros((len(texts), len(landmarks)))
-    np.add.at(out, row, weight[:, None] * landmarks[:, key].T)
+    out = np.zeros((len(texts), len(landmarks)), np.float32)
+    for at in range(0, len(texts), KERNEL_ROWS):
+        row, key, weight = features(texts[at : at + KERNEL_ROWS])
+        order = np.argsort(row, kind="stable")
+        row, key, weight = row[order], key[order], weight[order].astype(np.float32)
+        if len(row):
+            first = np.flatnonzero(np.concatenate(([True], np.diff(row) != 0)))
+            out[at + row[first]] = np.add.reduceat(weight[:, None] * landmarks[:, key].T, first, axis=0)
     return out
 
 
@@ -164,7 +173,7 @@ class ToxicKernel:
         plain = sorted((w for w in counts[0] if w not in set(bad)), key=lambda w: (-counts[0][w], w))
         marks = [f" {w} " for w in bad + plain[:LANDMARKS]]
         z = dense(marks)
-        values, vectors = np.linalg.eigh(z @ z.T)
+        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
 
@@ -172,19 +181,19 @@ class ToxicKernel:
             padded = f" {text} "
             return [padded[k : k + WINDOW + 4] for k in rng.integers(0, max(1, len(padded) - WINDOW), n)]
 
-        negatives = [c for text, toxic in learn if not toxic for c in cut(text.lower(), 6)]
+        negatives = [c for text, toxic in learn if not toxic for c in cut(text.lower(), 3)]
         positives = [(f" {w} " + " " * WINDOW)[: WINDOW + 4] for w in bad for _ in range(1)]
         model = cls(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([1.0, 0, 0, 0]))
         for _ in range(ROUNDS + 1):
             texts = positives + negatives
             y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
             cost = np.where(y > 0, 10.0 / max(1, len(positives)), 30.0 / max(1, len(negatives))) * 20
-            w, model.bias = machine(np.vstack([kernel(texts[k : k + 2000], z) @ whiten for k in range(0, len(texts), 2000)]), y, cost)
+            w, model.bias = machine(kernel(texts, z) @ whiten, y, cost)
             model.weights = ((whiten @ w) @ z).astype(np.float32)
             tops = [(model.hottest(text.lower()), toxic) for text, toxic in learn]
             positives = positives[: len(bad)] + [t for t, toxic in tops if toxic and any(b in t for b in bad)]
             negatives += [t for t, toxic in tops if not toxic]
-        found, y = model.evidence([t for t, _ in scale_on]), np.array([toxic for _, toxic in scale_on], float)
+        found, y = np.vstack([model.evidence([t for t, _ in scale_on[k : k + 64]]) for k in range(0, len(scale_on), 64)]), np.array([toxic for _, toxic in scale_on], float)
         model.scale = logistic(found, y)
         return model
 
