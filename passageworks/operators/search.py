@@ -20,6 +20,8 @@ COVERAGE, STOP_WEIGHT = 1.5, 0.3
 CLOSE, ORDER_BONUS = 300, 0.6
 MOST_SPAN, SPAN_COST = 4, 0.8
 HEAT, HEAT_POWER = 254.0, 0.7
+#: Digits of a score that order results: sums of doubles differ in the last places from plan to plan.
+ORDER_DIGITS = 9
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -162,7 +164,7 @@ def without_overlap(rows: DataFrame) -> DataFrame:
     """Best first, each passage once. Runs never leave their group, so each (query, group) is settled alone."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["score", "first", "span"], ascending=[False, True, True], kind="stable")
+        ordered = pdf.assign(_score=pdf["score"].round(ORDER_DIGITS)).sort_values(["_score", "first", "span"], ascending=[False, True, True], kind="stable")
         taken, keep = set(), []
         for first, span in zip(ordered["first"], ordered["span"], strict=True):
             inside = range(first, first + span)
@@ -184,6 +186,7 @@ class SearchResult:
     terms: DataFrame
     expansions: DataFrame
     shape: DataFrame
+    runs: DataFrame
     index: IndexTables
 
     def heat(self) -> DataFrame:
@@ -214,6 +217,18 @@ def reference_rows(references: DataFrame, index: IndexTables) -> DataFrame:
     return met.select("qid", F.col("passage_id").alias("first"), F.lit(1).alias("span"), F.lit(1.0).alias("score"), F.lit(True).alias("full"))
 
 
+def closest(found: DataFrame) -> DataFrame:
+    """The candidates that get the closer look: the best of each query by raw score, then id."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", ORDER_DIGITS)), "first"))
+    return found.withColumn("place", place).filter(F.col("place") <= CLOSE)
+
+
+def ordered(kept: DataFrame, canonical: bool = False) -> DataFrame:
+    """Results with their rank: by score, or in text order with complete ones first."""
+    keys = [F.desc("full"), F.col("first")] if canonical else [F.desc(F.round("score", ORDER_DIGITS)), F.col("first")]
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*keys)))
+
+
 def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryParser, *, live: bool = False, canonical: bool = False) -> SearchResult:
     """All queries of the batch in one plan: (qid, rank, first, span, score, full, is_reference)."""
     spark = index.passages.sparkSession
@@ -224,16 +239,14 @@ def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryP
     masks = durable(passage_masks(per_term, terms))
     shape = bounded(query_shape(q.queries.filter(~F.col("referred")), terms))
     found = durable(candidates(masks, shape, q, index).withColumn("span", F.lit(1)).withColumn("first", F.col("passage_id")))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "first"))
-    close = found.withColumn("place", place).filter(F.col("place") <= CLOSE)
+    close = closest(found)
     known = index.frequencies.filter("kind = 'stem'").select(F.col("target").alias("stem"))
     pairs = bounded(adjacent_pairs(terms, known))
     near = order_bonus(close.select("qid", "first", "span"), pairs, index.tokens)
     singles = found.join(near, ["qid", "first", "span"], "left").withColumn("score", F.col("score") * F.coalesce("bonus", F.lit(1.0))).select("qid", "coll", "grp", "first", "span", "score", "full")
     runs = run_candidates(close, masks, shape, index, excluded_passages(q.excluded, index.postings))
     scored = run_scores(runs, per_term, terms, shape)
-    lined = order_bonus(scored, pairs, index.tokens).withColumn("score", F.col("score") * F.col("bonus")).select("qid", "coll", "grp", "first", "span", "score", "full")
+    lined = durable(order_bonus(scored, pairs, index.tokens).withColumn("score", F.col("score") * F.col("bonus")).select("qid", "coll", "grp", "first", "span", "score", "full"))
     kept = without_overlap(singles.union(lined)).withColumn("is_reference", F.lit(False)).union(reference_rows(q.references, index).withColumn("is_reference", F.lit(True)))
-    order = [F.desc("full"), F.col("first")] if canonical else [F.desc("score"), F.col("first")]
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
-    return SearchResult(ranked.select("qid", "rank", "first", "span", "score", "full", "is_reference"), found, terms, expansions, shape, index)
+    ranked = durable(ordered(kept, canonical))
+    return SearchResult(ranked.select("qid", "rank", "first", "span", "score", "full", "is_reference"), found, terms, expansions, shape, lined, index)
