@@ -70,7 +70,7 @@ i AS (SELECT item_id, w, least(13, len(w)) AS size FROM (SELECT item_id, {WORDS}
 win AS (SELECT DISTINCT item_id, size, array_to_string(w[k : k + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM i)),
 grams AS (SELECT r, size, k, array_to_string(w[k : k + size - 1], ' ') AS g FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM win) s WHERE len(w) >= size)),
 met AS (SELECT grams.r, grams.k, grams.size, win.item_id FROM grams JOIN win USING (size, g)),
-hits AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS at FROM met) GROUP BY r),
+hits AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS spot FROM met) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM met) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)""",
