@@ -18,7 +18,9 @@ def words(text: Column) -> Column:
 def normalize(word: Column) -> Column:
     """One possessive ending off, lower case, accents folded; whatever is still not a-z or 0-9 goes."""
     bare = F.regexp_replace(word, "['’][sS]$", "")
-    return F.regexp_replace(F.translate(F.lower(bare), FOLD_FROM, FOLD_TO), "[^a-z0-9]", "")
+    folded = F.regexp_replace(F.translate(F.lower(bare), FOLD_FROM, FOLD_TO), "[^a-z0-9]", "")
+    # never null (null counts as empty): else filters for nulls are worked out on every word below a join
+    return F.coalesce(F.when(word.rlike("^[A-Za-z0-9]*$"), F.lower(word)).otherwise(folded), F.lit(""))
 
 
 def finish(base: Column) -> Column:
@@ -29,6 +31,7 @@ def finish(base: Column) -> Column:
 
 #: One alternative for each ending, in order: three letters stay at least, among them a vowel; a bare s stays after s, u and i.
 ENDING = "^(?:" + "|".join(f"(?=.*[aeiouy].*{s}$)({'.{2,}[^sui]' if s == 's' else '.{3,}'}){s}" for s in SUFFIXES) + ")$"
+ANY_ENDING = "(?:" + "|".join(SUFFIXES) + ")$"
 KEPT_PART = "".join(f"${k}" for k in range(1, len(SUFFIXES) + 1))
 
 
@@ -36,8 +39,9 @@ def stem(norm: Column) -> Column:
     """Stem of a normalised word: irregular forms, kept and short words, then the first ending that leaves a stem."""
     irregular = F.create_map(*(F.lit(x) for pair in IRREGULAR_FORMS.items() for x in pair))
     listed = norm.isin(list(IRREGULAR_FORMS))
-    base = F.when(listed, F.element_at(irregular, norm)).otherwise(F.regexp_replace(norm, ENDING, KEPT_PART))
-    return F.when(~listed & ((F.length(norm) <= 3) | norm.isin(KEEP_WORDS)), norm).otherwise(finish(base))
+    ended = F.when(norm.rlike(ANY_ENDING), F.regexp_replace(norm, ENDING, KEPT_PART)).otherwise(norm)
+    base = F.when(listed, F.element_at(irregular, norm)).otherwise(ended)
+    return F.coalesce(F.when(~listed & ((F.length(norm) <= 3) | norm.isin(KEEP_WORDS)), norm).otherwise(finish(base)), F.lit(""))
 
 
 def is_stop(stemmed: Column) -> Column:

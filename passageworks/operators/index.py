@@ -20,7 +20,9 @@ SYNONYMS = 12
 
 def tokenize(passages: DataFrame) -> DataFrame:
     """(passage_id, pos, surface, norm): every word of every passage."""
-    return passages.select("passage_id", F.posexplode(words(F.col("text"))).alias("pos", "surface")).withColumn("norm", normalize(F.col("surface")))
+    # the outer form, as the plain one would find the words twice: once for a filter on their number
+    each = passages.select("passage_id", F.posexplode_outer(words(F.col("text"))).alias("pos", "surface")).filter("pos is not null")
+    return each.withColumn("norm", normalize(F.col("surface")))
 
 
 def stems(tokens: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passageworks.functions.keyed import each_key
+
 BASE_WEIGHT = 30
 BANDS = 6
 
@@ -39,15 +40,14 @@ def split(items: list[float], x: float, y: float, w: float, h: float) -> list[tu
 
 def boxes(children: DataFrame, keys: list[str], order: str, schema: str) -> DataFrame:
     """Lay out the children of each parent in the parent's box (px, py, pw, ph); one parent's children at a time."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    names = [part.split()[0] for part in schema.split(", ")][:-4]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order)
-        box = rows.iloc[0]
-        found = split(rows["weight"].tolist(), box.px, box.py, box.pw, box.ph)
-        return rows.assign(**{name: [b[k] for b in found] for k, name in enumerate("xywh")})[names]
+    def place(rows: list[dict]) -> list[tuple]:
+        box = rows[0]
+        found = split([r["weight"] for r in rows], box["px"], box["py"], box["pw"], box["ph"])
+        return [(*(r[n] for n in names), *b) for r, b in zip(rows, found, strict=True)]
 
-    return children.groupBy(*keys).applyInPandas(place, schema)
+    return each_key(children, keys, [order], place, schema)
 
 
 def within_parent(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passageworks.functions.durable import bounded, durable
+from passageworks.functions.keyed import each_key
 from passageworks.functions.text import flatten, normalize, stem
 from passageworks.operators.expand import SCORED_TERMS, described, expand
 from passageworks.operators.index import IndexTables
@@ -160,21 +160,26 @@ def run_scores(runs: DataFrame, per_term: DataFrame, terms: DataFrame, shape: Da
 GREEDY = "qid int, first bigint, span int, score double, full boolean"
 
 
-def without_overlap(rows: DataFrame) -> DataFrame:
-    """Best first, each passage once. Runs never leave their group, so each (query, group) is settled alone."""
+def without_overlap(singles: DataFrame, runs: DataFrame) -> DataFrame:
+    """Best first, each passage once. Runs never leave their group, so each (query, group) that has one is settled alone.
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.assign(_score=pdf["score"].round(ORDER_DIGITS)).sort_values(["_score", "first", "span"], ascending=[False, True, True], kind="stable")
+    Single passages of a group without runs cannot overlap and pass as they are.
+    """
+
+    def settle(rows: list[dict]) -> list[tuple]:
         taken, keep = set(), []
-        for first, span in zip(ordered["first"], ordered["span"], strict=True):
-            inside = range(first, first + span)
-            free = taken.isdisjoint(inside)
-            keep.append(free)
-            if free:
+        for r in rows:
+            inside = range(r["first"], r["first"] + r["span"])
+            if taken.isdisjoint(inside):
                 taken.update(inside)
-        return ordered[keep][["qid", "first", "span", "score", "full"]]
+                keep.append((r["qid"], r["first"], r["span"], r["score"], r["full"]))
+        return keep
 
-    return rows.groupBy("qid", "coll", "grp").applyInPandas(settle, GREEDY)
+    keys = ["qid", "coll", "grp"]
+    contested = runs.select(*keys).distinct()
+    alone = singles.join(contested, keys, "left_anti").select("qid", "first", "span", "score", "full")
+    rows = singles.join(contested, keys, "left_semi").unionByName(runs)
+    return alone.union(each_key(rows, keys, [F.desc(F.round("score", ORDER_DIGITS)), F.col("first"), F.col("span")], settle, GREEDY))
 
 
 @dataclass
@@ -247,6 +252,6 @@ def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryP
     runs = run_candidates(close, masks, shape, index, excluded_passages(q.excluded, index.postings))
     scored = run_scores(runs, per_term, terms, shape)
     lined = durable(order_bonus(scored, pairs, index.tokens).withColumn("score", F.col("score") * F.col("bonus")).select("qid", "coll", "grp", "first", "span", "score", "full"))
-    kept = without_overlap(singles.union(lined)).withColumn("is_reference", F.lit(False)).union(reference_rows(q.references, index).withColumn("is_reference", F.lit(True)))
+    kept = without_overlap(singles, lined).withColumn("is_reference", F.lit(False)).union(reference_rows(q.references, index).withColumn("is_reference", F.lit(True)))
     ranked = durable(ordered(kept, canonical))
     return SearchResult(ranked.select("qid", "rank", "first", "span", "score", "full", "is_reference"), found, terms, expansions, shape, lined, index)

@@ -88,19 +88,19 @@ def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT surface, {S.norm('surface')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {S.WORD})) AS surface FROM documents) GROUP BY surface")
 def normalize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    surfaces = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(T.words(F.col("text"))).alias("surface"))
+    surfaces = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode_outer(T.words(F.col("text"))).alias("surface")).filter("surface is not null")
     return surfaces.groupBy("surface").agg(F.count(F.lit(1)).alias("n")).select("surface", T.normalize(F.col("surface")).alias("norm"), "n")
 
 
 @query(f"WITH {S.tokens(S.LINES)} SELECT norm, stem FROM sm")
 def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(T.words(F.col("text"))).alias("surface")).select(T.normalize(F.col("surface")).alias("norm")).distinct()
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode_outer(T.words(F.col("text"))).alias("surface")).filter("surface is not null").select(T.normalize(F.col("surface")).alias("norm")).distinct()
     return words.select("norm", T.stem(F.col("norm")).alias("stem"))
 
 
 @query(f"WITH {S.tokens(S.LINES)} SELECT coll, count(*) AS words, count(*) FILTER (WHERE stem IN {S.STOP}) AS stops FROM tok JOIN p USING (passage_id) GROUP BY coll")
 def stop_word_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = document_lines(spark, sf_dir).select("coll", F.explode(T.words(F.col("text"))).alias("surface"))
+    words = document_lines(spark, sf_dir).select("coll", F.explode_outer(T.words(F.col("text"))).alias("surface")).filter("surface is not null")
     counted = words.groupBy("coll", T.normalize(F.col("surface")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("coll").agg(F.sum("n").alias("words"), F.sum(F.when(T.is_stop(T.stem(F.col("norm"))), F.col("n")).otherwise(0)).alias("stops"))
 
@@ -115,7 +115,7 @@ def flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.tokens(S.LINES)} SELECT norm, stem, count(*) AS n FROM tok GROUP BY ALL")
 def vocab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = document_lines(spark, sf_dir).select(T.words(F.col("text")).alias("w")).select(F.explode("w").alias("surface"))
+    words = document_lines(spark, sf_dir).select(F.explode_outer(T.words(F.col("text"))).alias("surface")).filter("surface is not null")
     return index.vocabulary(words.select(T.normalize(F.col("surface")).alias("norm"))).select("norm", "stem", "n")
 
 
