@@ -189,17 +189,87 @@ def test_base_spans_on_hard_text():
         assert skip_chain.named(skip_chain.base_spans(text)) == brute.named(brute.personal(text))
 
 
-def test_context_tree_is_a_distribution():
-    texts = [b"abracadabra", b"the cat sat on the mat", b""]
-    joined, _ = ctw.framed(texts)
-    context, target = ctw.contexts(joined)
-    grams = (context.astype(np.int64) << 8) | target
-    deep, deep_n = np.unique(grams, return_counts=True)
-    shallow, shallow_n = np.unique(grams & 0xFFFFFF, return_counts=True)
-    tree = ctw.ContextTree.fit(deep, deep_n, shallow, shallow_n)
+def fitted_tree(texts, most=10_000):
+    joined, starts = ctw.framed(texts)
+    fourth, context, target = ctw.contexts(joined)
+    runs = (fourth.astype(np.int64) << 32) | (context.astype(np.int64) << 8) | target
+    keep = np.ones(len(runs), bool)
+    for start in starts[1:]:
+        keep[start - ctw.DEPTH : start] = False
+    counts = lambda keys: np.unique(keys, return_counts=True)
+    middle, deep = runs[keep] & 0xFFFFFFFF, runs[keep]
+    threes = {int(c) for c in counts(middle >> 8)[0][:most]}
+    middle = middle[np.isin(middle >> 8, list(threes))]
+    deep = deep[np.isin((deep >> 8) & 0xFFFFFF, list(threes))]
+    fours = {int(c) for c in counts(deep >> 8)[0][:most]}
+    deep = deep[np.isin(deep >> 8, list(fours))]
+    return ctw.ContextTree.fit(*counts(deep), *counts(middle), *counts(runs[keep] & 0xFFFFFF)), threes, fours
+
+
+def direct_score(texts, text, threes, fours):
+    """Weighted mixture of one text, from the definition: one binary tree for each bit prefix, by recursion."""
+    from functools import lru_cache
+    from math import exp, lgamma, log, log10, pi
+
+    seen = []
+    for t in texts:
+        line = b"\0" * 4 + t + b"\0"
+        seen += [(line[k - 4 : k], line[k]) for k in range(4, len(line))]
+
+    def node(context, depth):
+        if depth == 3 and int.from_bytes(context[-3:], "big") not in threes:
+            return "rest", context[-2:]
+        if depth == 4 and int.from_bytes(context, "big") not in fours:
+            return "rest", context[-3:]
+        return "own", context[4 - depth :]
+
+    def counts(context, depth, prefix):
+        name = node(context, depth)
+        found = [b for c, b in seen if node(c, depth) == name and f"{b:08b}".startswith(prefix)]
+        ones = sum(f"{b:08b}"[len(prefix)] == "1" for b in found)
+        return len(found) - ones, ones
+
+    leaf = lambda context, depth: depth == 4 or node(context, depth)[0] == "rest"
+    block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - log(pi) - lgamma(a + b + 1)
+
+    @lru_cache(None)
+    def weighted(context, depth, prefix):
+        own = block(*counts(context, depth, prefix))
+        return own if leaf(context, depth) else log(0.5) + log(exp(own) + exp(under(context, depth, prefix)))
+
+    @lru_cache(None)
+    def under(context, depth, prefix):
+        children = {node(c, depth + 1): c for c, _ in seen if node(c, depth) == node(context, depth)}
+        return sum(weighted(c, depth + 1, prefix) for c in children.values())
+
+    def known(context, depth):
+        return depth <= 4 and any(node(c, depth) == node(context, depth) for c, _ in seen)
+
+    def chance(context, depth, prefix):
+        a, b = counts(context, depth, prefix)
+        own = (b + 0.5) / (a + b + 1)
+        if leaf(context, depth) or not known(context, depth + 1):
+            return own
+        share = 1 / (1 + exp(under(context, depth, prefix) - block(a, b)))
+        return share * own + (1 - share) * chance(context, depth + 1, prefix)
+
+    line, total = b"\0" * 4 + text + b"\0", 0.0
+    for k in range(4, len(line)):
+        byte = f"{line[k]:08b}"
+        for bit in range(8):
+            one = chance(line[k - 4 : k], 0, byte[:bit])
+            total += log10(one if byte[bit] == "1" else 1 - one)
+    return total
+
+
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_context_tree_equals_definition(most):
+    texts = [b"abracadabra", b"the cat sat on the mat", b"", b"\0a"]
+    tree, threes, fours = fitted_tree(texts, most)
     assert np.allclose((10.0 ** tree.table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    scores = tree.scores(texts, tree.rows())
-    assert scores[1] > tree.scores([b"tac eht tas no tam eht"], tree.rows())[0]
+    asked = [b"abra cat", b"the dog", b"", "é".encode()]
+    for text, score in zip(asked, tree.scores(asked, tree.rows()), strict=True):
+        assert abs(score - direct_score(texts, text, threes, fours)) < 1e-3
 
 
 def test_pipeline_stages(spark):
