@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ MAX_LANGS = 1000
 LONGEST = 5
 SMOOTH = 0.5
 #: Entries of an executor's memory of unseen words before it starts anew.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,14 +37,39 @@ def grams(word: str, size: int) -> list[str]:
     return [padded[k : k + size] for k in range(len(padded) - size + 1)]
 
 
+@dataclass
+class Scores:
+    """Log frequency in each language: a row of ``table`` for each key."""
+
+    row: dict[str, int]
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, items: Iterable[tuple[int, str, int]], langs: int) -> Scores:
+        """From (number of the language, key, count), smoothed."""
+        row: dict[str, int] = {}
+        rows, columns, counts = [], [], []
+        for lang, key, n in items:
+            rows.append(row.setdefault(key, len(row)))
+            columns.append(lang)
+            counts.append(n)
+        table = np.full((len(row), langs), SMOOTH)
+        np.add.at(table, (rows, columns), counts)
+        return cls(row, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32))
+
+
 @dataclass
 class WordFirst:
-    """Per-language log frequencies of words and of n-grams from LONGEST characters down to one."""
+    """Per-language log frequencies of words and of n-grams from LONGEST characters down to one.
+
+    Unseen words are remembered as further rows; the memory starts anew when it is full.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    shorter: list[tuple[int, dict[str, np.ndarray]]]
-    unseen: dict[str, np.ndarray] = field(default_factory=dict)
+    words: Scores
+    shorter: list[tuple[int, Scores]]
+    unseen: dict[str, int] = field(default_factory=dict)
+    memory: np.ndarray | None = None
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str, int]]) -> WordFirst:
@@ -52,39 +77,46 @@ class WordFirst:
         langs = sorted({r[0] for r in rows})
         at = {lang: k for k, lang in enumerate(langs)}
 
-        def logs(items: Iterator[tuple[str, str, int]]) -> dict[str, np.ndarray]:
-            counts: dict[str, np.ndarray] = {}
-            for lang, key, n in items:
-                if key not in counts:
-                    counts[key] = np.full(len(langs), SMOOTH)
-                counts[key][at[lang]] += n
-            total = np.log(sum(counts.values(), np.zeros(len(langs)))) if counts else 0
-            return {k: np.log(v) - total for k, v in counts.items()}
+        def counted(size: int) -> Scores:
+            sums: Counter[tuple[int, str]] = Counter()
+            for lang, word, n in rows:
+                for g in grams(word, size):
+                    sums[at[lang], g] += n
+            return Scores.of(((lang, g, n) for (lang, g), n in sums.items()), len(langs))
 
-        shorter = [(size, logs((lang, g, n) for lang, w, n in rows for g in grams(w, size))) for size in range(LONGEST, 0, -1)]
-        return cls(langs, logs(iter(rows)), shorter)
+        return cls(langs, Scores.of(((at[lang], w, n) for lang, w, n in rows), len(langs)), [(size, counted(size)) for size in range(LONGEST, 0, -1)])
 
     def back_off(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's longest n-grams that are known at all."""
         for size, known in self.shorter:
-            if found := [known[g] for g in grams(word, size) if g in known]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if found := [known.row[g] for g in grams(word, size) if g in known.row]:
+                return known.table[found].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
+
+    def remembered(self, word: str) -> int:
+        """Row of an unseen word, now in the memory."""
+        k = self.unseen[word] = len(self.unseen)
+        if k >= len(self.memory):
+            self.memory = np.vstack([self.memory, np.zeros_like(self.memory)])
+        self.memory[k] = self.back_off(word)
+        return k
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(words).items():
-            score = self.words.get(word)
-            if score is None:
-                score = self.unseen.get(word)
-                if score is None:
-                    if len(self.unseen) >= MEMORY:
-                        self.unseen.clear()
-                    score = self.unseen[word] = self.back_off(word)
-            total += score if n == 1 else n * score
+        if self.memory is None or len(self.unseen) > MEMORY:
+            self.unseen, self.memory = {}, np.zeros((MEMORY, len(self.langs)), np.float32)
+        known, unseen = [], []
+        row, memory = self.words.row.get, self.unseen.get
+        for word in words:
+            k = row(word)
+            if k is not None:
+                known.append(k)
+            else:
+                k = memory(word)
+                unseen.append(self.remembered(word) if k is None else k)
+        total = self.words.table[known].sum(axis=0, dtype=np.float64) + self.memory[unseen].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
