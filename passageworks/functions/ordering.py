@@ -18,14 +18,15 @@ def buckets(df: DataFrame, key: str, parts: int) -> Column:
     return F.when(F.col(key).isNull(), F.lit(0).cast("bigint")).otherwise(found)
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def dense_ids(df: DataFrame, keys: list[str], name: str, sample: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in the order of ``keys``, the first of which is a whole number.
 
     Rows are ranked inside quantile buckets of the first key; the counts of the buckets, one number
-    for each, place them. Rows of one first key stay together.
+    for each, place them. Rows of one first key stay together. ``sample`` has the first key's values where they
+    are cheaper to read than the rows themselves.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_bucket", buckets(df, keys[0], parts))
+    dealt = df.withColumn("_bucket", buckets(df if sample is None else sample, keys[0], parts))
     sizes = sorted((r["_bucket"], r["count"]) for r in dealt.groupBy("_bucket").count().collect())
     starts, total = [], 0
     for bucket, size in sizes:

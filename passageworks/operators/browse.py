@@ -17,7 +17,7 @@ def neighbours(groups: DataFrame) -> DataFrame:
 
 def group_of(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     """(passage_id, coll, grp) of wanted passage ids."""
-    return passages.select("passage_id", "coll", "grp").join(F.broadcast(wanted.select("passage_id")), "passage_id")
+    return passages.select("passage_id", "coll", "grp").join(wanted.select("passage_id"), "passage_id")
 
 
 def read_group(index: IndexTables, passage_id: int) -> DataFrame:
@@ -81,7 +81,7 @@ def address(code: Column, grp: Column, num: Column) -> Column:
 def resolve_addresses(asked: DataFrame, index: IndexTables) -> DataFrame:
     """(address, passage_id) of ``CODE.grp.num`` strings; the number defaults to 1, and what does not exist is -1."""
     parts = asked.withColumn("p", F.split("address", r"\.")).select("address", F.get("p", F.lit(0)).alias("code"), F.expr("try_cast(get(p, 1) as bigint)").alias("grp"), F.coalesce(F.expr("try_cast(get(p, 2) as int)"), F.lit(1)).alias("num"))
-    known = index.passages.join(F.broadcast(index.collections.select("coll", "code")), "coll").select("code", F.col("grp").cast("bigint").alias("grp"), F.col("num").cast("int").alias("num"), "passage_id")
+    known = index.passages.join(index.collections.select("coll", "code"), "coll").select("code", F.col("grp").cast("bigint").alias("grp"), F.col("num").cast("int").alias("num"), "passage_id")
     return parts.join(known, ["code", "grp", "num"], "left").select("address", F.coalesce("passage_id", F.lit(-1)).alias("passage_id"))
 
 

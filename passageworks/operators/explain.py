@@ -57,7 +57,7 @@ def reasons(marked: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("qid
 def result_tokens(found: SearchResult, results: DataFrame) -> DataFrame:
     """Tokens of every passage of ``results`` with qid and first."""
     each = results.select("qid", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)).alias("passage_id"))
-    return found.index.tokens.join(F.broadcast(each), "passage_id")
+    return found.index.tokens.join(each, "passage_id")
 
 
 def explain(found: SearchResult, limit: int = 40) -> DataFrame:

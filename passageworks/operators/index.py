@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, fields
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passageworks.functions.durable import durable, folder
+from passageworks.functions.durable import durable
 from passageworks.functions.text import is_stop, normalize, stem, words
 
 ITALIC, RED = 1, 2
 TF_MOST = 255
 SHARE_LEAST, SHARES = 0.05, 6
 SYNONYMS = 12
+#: Tables that ``build`` writes as it goes, since the others are worked out from them.
+WRITTEN = ("passages", "tokens", "vocab", "postings")
 
 
 def tokenize(passages: DataFrame) -> DataFrame:
@@ -160,10 +162,10 @@ class IndexTables:
             df.write.mode("overwrite").parquet(f"{path}/{f.name}")
 
     def stored(self) -> IndexTables:
-        """All tables written once and read from there, as every search reads most of them."""
-        path = f"{folder(self.passages.sparkSession)}/index-{uuid.uuid4().hex}"
-        self.write(path)
-        return IndexTables.read(self.passages.sparkSession, path)
+        """The tables that ``build`` left as plans written once too, as every search reads most of them."""
+        open_ = [f.name for f in fields(self) if f.name not in WRITTEN]
+        with ThreadPoolExecutor(4) as pool:
+            return replace(self, **dict(zip(open_, pool.map(lambda name: durable(getattr(self, name)), open_), strict=True)))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> IndexTables:
@@ -180,6 +182,7 @@ LEXICON = "code string, lemma string, translit string, pron string, derivation s
 def build(passages: DataFrame, *, tokens: DataFrame | None = None, lexicon: DataFrame | None = None, synonym_sources: DataFrame | None = None, titles: DataFrame | None = None, collections: DataFrame | None = None, scopes: DataFrame | None = None) -> IndexTables:
     """Index of passages (passage_id, coll, grp, num, text); tokens carry codes if given."""
     spark = passages.sparkSession
+    passages = durable(passages)
     kind = dict(passages.dtypes)["coll"]
     plain = tokens if tokens is not None else stems(tokenize(passages)).withColumn("codes", F.array().cast("array<string>")).withColumn("flags", F.lit(0).cast("tinyint"))
     plain = durable(plain)

@@ -66,7 +66,7 @@ def treemap(passages: DataFrame, aspect: float = 1.0, sections: DataFrame | None
     group = leaf.groupBy("coll", "grp").agg(F.sum("weight").alias("weight"), F.min("passage_id").alias("at"))
     coll = group.groupBy("coll").agg(F.sum("weight").alias("weight"), F.min("at").alias("at"))
     kinds = sections if sections is not None else coll.select("coll", F.lit(0).alias("testament"), F.lit(0).alias("section"))
-    coll = coll.join(F.broadcast(kinds), "coll")
+    coll = coll.join(kinds, "coll")
     section = coll.groupBy("testament", "section").agg(F.sum("weight").alias("weight"), F.min("at").alias("at"))
     testament = section.groupBy("testament").agg(F.sum("weight").alias("weight"), F.min("at").alias("at")).withColumns({"root": F.lit(0), "px": F.lit(0.0), "py": F.lit(0.0), "pw": F.lit(wide), "ph": F.lit(1.0)})
     xy = "x double, y double, w double, h double"

@@ -43,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(document_lines(spark, sf_dir))
+    return numbered(document_lines(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("grp")))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

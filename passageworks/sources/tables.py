@@ -20,6 +20,6 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.lit("all").alias("coll"), F.col("conv_id").alias("grp"), F.col("turn").cast("int").alias("num"), "text")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """passage_id by (grp, num)."""
-    return dense_ids(rows, ["grp", "num"], "passage_id")
+def numbered(rows: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """passage_id by (grp, num); ``sample`` has the groups' numbers alone."""
+    return dense_ids(rows, ["grp", "num"], "passage_id", sample)
