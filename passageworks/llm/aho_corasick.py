@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passageworks.llm.common import clean, slices
+from passageworks.llm.common import clean, slices, small_batches
 
 WINDOW = 13
 #: Window text of one automaton. A larger benchmark is scanned in blocks of this size.
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     kept = "".join(f", keep{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    wanted = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(f"keep{k}") for k, c in enumerate(keep)))
+    wanted = small_batches(docs).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(f"keep{k}") for k, c in enumerate(keep)))
     return wanted.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>" + kept)
 
 

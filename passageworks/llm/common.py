@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+ARROW_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +48,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 def clean(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that an operator reads; extra columns of any name do not reach it."""
-    return docs.select(*(F.col(f"`{c}`") for c in columns))
+    return small_batches(docs).select(*(F.col(f"`{c}`") for c in columns))
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows, after bounding the session's Arrow batches: one is held on both sides of each Python worker."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return docs
 
 
 def stored(df: DataFrame) -> DataFrame:
