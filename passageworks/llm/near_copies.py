@@ -1,0 +1,144 @@
+"""Near copies by the Jaccard index of word shingles, found without loss by prefix filtering."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from passageworks.llm.common import clean, slices, stored
+from passageworks.llm.components import components
+
+SEED = 42
+#: Words of a shingle. The least index is 4/5; the integer forms of the bounds below are written for it.
+SHINGLE = 5
+#: The order of shingles puts those last that are frequent in about so many rows, at most HOT of them. Order and sample change the work, never the result.
+SAMPLE_DOCS, LEAST, HOT = 20_000, 3, 65_536
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending; words are those of ``ball_simhash.simhash``."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole, count = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:count].tolist()
+    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, count))
+
+
+def prefix(grams: np.ndarray, hot: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order, n - ceil(4n/5) + 1 of them: two sets with an index of 4/5 share one of these."""
+    n = len(grams)
+    if not n:
+        return grams
+    rank = np.zeros(n, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+        rank = np.where(hot[at] == grams, seen[at], 0)
+    return grams[np.lexsort((grams, rank))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def frequent(docs: DataFrame, shingle: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, rows of the sample that hold each) of ``docs(id, text)``'s most frequent shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+
+    rate = min(1.0, sample_docs / max(1, docs.count()))
+    picked = docs.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("copies")), F.lit(1_000_003)) < rate * 1_000_003)
+    rows = picked.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram").limit(HOT).toArrow()
+    keys, seen = np.asarray(rows.column("gram"), np.int64).view(np.uint64), np.asarray(rows.column("n"), np.int64)
+    order = np.argsort(keys)
+    return keys[order], seen[order]
+
+
+def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, text_hash, node, n, prefix) for every row of ``docs(id, text)``; node is a hash of the whole shingle set."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+            first = [prefix(s, *sent.value) for s in sets]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), lists], ["id", "text_hash", "node", "n", "prefix"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"id {kind}, text_hash bigint, node bigint, n int, prefix array<bigint>")
+
+
+def possible(a: str, b: str) -> Column:
+    """Sizes, and places of a shared shingle, that leave room for an index of 4/5."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    fits = (5 * F.least(c(a, "n"), c(b, "n")) >= 4 * F.greatest(c(a, "n"), c(b, "n")))
+    most = F.least(c(a, "pos"), c(b, "pos")) + 1 + F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos")) - 1
+    return fits & (9 * most >= 4 * (c(a, "n") + c(b, "n")))
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    """Distinct (a, b), lesser node first, of rows (x, y)."""
+    return found.filter("x.node <> y.node").filter(possible("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole shingle sets have an index of 4/5 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "grams"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    which = base.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("w")).select("node", "w.id", "w.text_hash")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(which, ["id", "text_hash"]).select("node", "text")
+    # a repeated row gives its set twice; the links are made distinct at the end
+    sets = stored(texts.mapInArrow(run, "node bigint, grams array<bigint>"))
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return stored(both.filter(9 * shared >= 4 * (F.size("s") + F.size("t"))).select("a", "b").distinct())
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, label) for every row: classes of rows linked by a Jaccard index of 4/5 or more.
+
+    Rows of one shingle set collapse first. Two sets with that index share a shingle of both prefixes
+    (prefix filtering), so no pair is lost. In each prefix shingle's group every set is first compared
+    with the group's most central one and with its neighbour; then, between the classes found so far,
+    all pairs are. A large class is thus settled by linearly many comparisons. Texts of fewer words
+    than ``shingle`` form one shingle; null and wordless texts are one class. Empty table: no rows.
+    """
+    texts = clean(docs, id_col, text_col).toDF("id", "text")
+    base = stored(prefixes(texts, shingle))
+    entries = base.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    order = Window.partitionBy("gram").orderBy("pos", "n", "node")
+    own = F.struct("node", "n", "pos")
+    chained = entries.withColumns({"head": F.first(own).over(order), "prev": F.lag(own).over(order), "next": F.lead("node").over(order)})
+    met = stored(chained.filter("prev is not null or next is not null").drop("next"))
+    near = verified(stored(pairs_of(met.select(own.alias("x"), F.explode(F.array("head", "prev")).alias("y")).filter("y is not null"))), texts, base, shingle)
+    labels = components(near)
+    known = met.join(labels, met.node == labels.node, "left").select("gram", own_of(met), F.coalesce("label", met.node).alias("label"))
+    group = Window.partitionBy("gram")
+    open_ = stored(known.withColumns({"least": F.min("label").over(group), "most": F.max("label").over(group)}).filter("least < most").select("gram", "e", "label"))
+    crossed = open_.select("gram", F.col("e").alias("x"), F.col("label").alias("lx")).join(open_.select("gram", F.col("e").alias("y"), F.col("label").alias("ly")), "gram").filter("lx < ly")
+    rest = stored(pairs_of(crossed).join(near, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        found = verified(rest, texts, base, shingle)
+        if found.limit(1).count():
+            labels = components(near.union(found))
+    return base.join(labels, "node", "left").select(F.col("id").alias("doc_id"), "text_hash", F.coalesce("label", "node").alias("label"))
+
+
+def own_of(met: DataFrame) -> Column:
+    return F.struct(met.node, met.n, met.pos).alias("e")
