@@ -53,6 +53,13 @@ def test_copies_stage_equals_all_pairs(spark):
     assert kept == all_pairs_classes(rows)
 
 
+def test_copies_keep_other_texts_of_a_repeated_id(spark):
+    rows = [(7, "one text of this id"), (7, "quite another text"), (7, "One  text of this id"), (7, "quite another text"), (8, "quite another text"), (8, "a third")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = sorted((r["doc_id"], r["text"].lower().split()[-3:]) for r in corpus_pipeline.copies(spark, docs, "").collect())
+    assert kept == [(7, ["of", "this", "id"]), (7, ["quite", "another", "text"]), (8, ["a", "third"])]
+
+
 def test_prefixes_of_similar_sets_meet():
     import numpy as np
 
