@@ -19,8 +19,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: The whole run is one match, so the least length can stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
-#: A string that the models judge: a run of base64 and identifier characters.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A string that the models judge: a run of base64 and identifier characters, as long as an assigned secret. LEAST_LLR decides from there.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: Shorter runs without a letter are numbers and dates, which the ordinary sample (words without digits) does not know.
+LONG = 20
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
 CLASSES = len(ALPHABET)
 SMOOTH = 0.5
@@ -114,7 +116,7 @@ def scan(docs: DataFrame, model: MarkovSecrets, id_col: str = "doc_id", text_col
         F.regexp_extract_all(text, F.lit(HEX), F.lit(0)).alias("_hex"),
         F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_tokens"),
     )
-    scored = found.withColumn("_high", F.transform("_tokens", lambda t: (model.score(t) >= F.greatest(F.lit(least_llr), LEAST_PER_PAIR * (F.length(t) - 1))) & ~t.rlike(f"{ACCESS}|{HEX}")))
+    scored = found.withColumn("_high", F.transform("_tokens", lambda t: (model.score(t) >= F.greatest(F.lit(least_llr), LEAST_PER_PAIR * (F.length(t) - 1))) & ((F.length(t) >= LONG) | t.rlike("[A-Za-z]")) & ~t.rlike(f"{ACCESS}|{HEX}")))
     assign = F.filter(
         F.zip_with(F.arrays_zip(F.col("_assign").alias("m"), ends_of(text, ASSIGN, F.col("_assign")).alias("e")), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda z, value: F.struct((z["e"] - F.length(z["m"])).alias("start"), F.lit(0).alias("k"), z["e"].alias("end"), F.lit("assign").alias("kind"), F.length(value).alias("n"))),
         lambda s: s["n"] >= ASSIGN_LEAST,
