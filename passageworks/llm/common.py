@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passageworks.functions.durable import durable, folder
 
+#: A key of more than one row in HOT_SHARE is hot; at most HOT_SHARE keys are.
+HOT_SHARE = 1000
+#: Most rows of a narrow table (a few numbers each) that a join sends to every executor.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch on its way to a Python worker.
 ARROW_BYTES = 8 << 20
 
@@ -24,14 +28,8 @@ def remainder(doc_id: str, parts: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder; survives lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (a test
-    session) does this set one.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """Cut the lineage in the shared checkpoint folder; survives lost executors."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,10 +57,26 @@ def small_batches(docs: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared checkpoint folder, where rows are many and compress well."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return durable(df)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined to ``right`` (unique by ``key``), whatever part of ``left`` one key holds.
+
+    Keys of more than one row in HOT_SHARE of ``left`` are at most HOT_SHARE, so their rows of ``right`` are
+    broadcast; the others meet in a shuffle. Null keys meet nothing. ``left`` should be a written table.
+    """
+    rows = left.count()
+    hot = checkpoint(right.join(F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_SHARE > rows).select(key)), key, "left_semi"))
+    often = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return often.unionByName(rest)
+
+
+def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], also: Column) -> DataFrame:
+    """Inner join (aliases ``_l``, ``_r``) of wide ``left`` with narrow, written ``right``: by broadcast up to BROADCAST_ROWS rows, else by shuffle."""
+    few = right.count() <= BROADCAST_ROWS
+    on = also
+    for key in keys:
+        on = (F.col(f"_l.{key}") == F.col(f"_r.{key}")) & on
+    return left.alias("_l").join((F.broadcast(right) if few else right).alias("_r"), on)
