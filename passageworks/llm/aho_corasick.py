@@ -1,9 +1,10 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised word windows."""
+"""Benchmark decontamination with one Aho-Corasick automaton over windows of normalised words."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from passageworks.llm.common import clean, slices, small_batches
 
 WINDOW = 13
-#: Window text of one automaton. A larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Benchmark words of one automaton, which has about WINDOW nodes for each. Beyond that the text is scanned once for each so many words.
+MOST_WORDS = 1_000_000
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every other ASCII byte that is no word character into a space.
@@ -28,56 +29,65 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[bytes, int]]:
-    if words:
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1):
-            yield b" " + b" ".join(words[k : k + size]) + b" ", size
-
-
 @dataclass
-class Block:
-    """Windows of some benchmark items: window text, its number of words, the items that have it."""
+class Items:
+    """Benchmark items as lists of words; the name of an item without an id is None."""
+
+    names: list[str | None]
+    words: list[list[bytes]]
+
+    def automaton(self, window: int) -> Automaton:
+        """One automaton whose symbols are words: every window of every item leads to its size and the items that have it."""
+        found, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
+        for name, words in zip(self.names, self.words, strict=True):
+            line = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
+            size = min(window, len(line))
+            for k in range(len(line) - size + 1):
+                key = line[k : k + size]
+                value = found.get(key, None)
+                if value is None:
+                    found.add_word(key, (size, {name}))
+                else:
+                    value[1].add(name)
+        if len(found):
+            found.make_automaton()
+        return Automaton(found, numbers)
 
-    windows: dict[bytes, tuple[int, list[str]]]
 
-    def automaton(self) -> ahocorasick.Automaton:
-        found = ahocorasick.Automaton()
-        for key, value in self.windows.items():
-            found.add_word(key.decode("latin-1"), value)
-        if self.windows:
-            found.make_automaton()
-        return found
-
-
-def blocks_of(items: Iterable[tuple[object, str | None]], window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    block, size = Block({}), 0
-    for item, text in items:
-        for key, length in windows_of(words_of(text), window):
-            names = block.windows.setdefault(key, (length, []))[1]
-            size += len(key) if not names else 0
-            if str(item) not in names:
-                names.append(str(item))
-        if size > block_bytes:
+@dataclass
+class Automaton:
+    found: ahocorasick.Automaton
+    numbers: dict[bytes, int]
+
+    def scan(self, text: str | None) -> tuple[np.ndarray, set[str | None], int]:
+        """(marks of hit words, items with an occurring window, number of words), in one pass over the words."""
+        words = words_of(text)
+        hit, items = np.zeros(len(words) + 1, np.int32), set()
+        if words and len(self.found):
+            number = self.numbers.get
+            line = tuple([number(w, 0) for w in words])
+            if any(line):
+                for last, (size, names) in self.found.iter(line):
+                    hit[last - size + 1] += 1
+                    hit[last + 1] -= 1
+                    items |= names
+        return np.cumsum(hit[:-1]) > 0, items, len(words)
+
+
+def blocks_of(rows: Iterable[tuple[object, str | None]], most_words: int = MOST_WORDS) -> Iterator[Items]:
+    """All items that have words, in one block up to ``most_words`` (and the item that passes it)."""
+    block, size = Items([], []), 0
+    for item, text in rows:
+        words = words_of(text)
+        if words:
+            block.names.append(None if item is None else str(item))
+            block.words.append(words)
+            size += len(words)
+        if size > most_words:
             yield block
-            block, size = Block({}), 0
-    yield block
-
-
-def scan(text: str | None, found: ahocorasick.Automaton) -> tuple[np.ndarray, set[str], int]:
-    """(marks of hit words, items with an occurring window, number of words)."""
-    words = words_of(text)
-    hit, items = np.zeros(len(words) + 1, np.int32), set()
-    if words and len(found):
-        line = b" " + b" ".join(words) + b" "
-        ends = [(end, value) for end, value in found.iter(line.decode("latin-1"))]
-        if ends:
-            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            for last, (_, (size, names)) in zip(np.searchsorted(spaces, [e for e, _ in ends]), ends, strict=True):
-                hit[last - size] += 1
-                hit[last] -= 1
-                items.update(names)
-    return np.cumsum(hit[:-1]) > 0, items, len(words)
+            block, size = Items([], []), 0
+    if block.words or not size:
+        yield block
 
 
 def spans_of(text: str, marks: np.ndarray) -> list[dict[str, int]]:
@@ -92,50 +102,74 @@ def spans_of(text: str, marks: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, most_words: int = MOST_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, keep0, ...) for every row.
 
-    Each text is normalised and scanned once by an automaton over all benchmark windows. The benchmark
-    comes to the driver block by block; a block's windows are bounded by ``block_bytes`` (plus one item)
-    and sent to the executors, which hold one automaton at a time when there are several. Null or
-    wordless text has no words and is clean; null or wordless items have no window; equal windows of
-    several items count for each; repeated rows are each returned; an empty benchmark hits nothing.
-    ``spans`` are runs of hit words in code points of the original text, end exclusive.
+    Each text is normalised and scanned once by one automaton over all benchmark windows. A benchmark of more than
+    ``most_words`` words comes in blocks of that size, each task holding one block's automaton at a time and reading
+    its rows again for the next; the result is the same. Null or
+    wordless text has no words and is clean; null or wordless items have no window; an item without an id counts
+    in n_items and has no name in the digest; equal windows of several items count for each (so do items of one id once);
+    repeated rows are each returned; very long texts are scanned whole; other columns are not read; an empty benchmark hits nothing,
+    an empty table gives no rows. ``spans`` are runs of hit words in code points of the original text, end exclusive.
     """
     context = docs.sparkSession.sparkContext
     stated = clean(benchmark, item_col, item_text_col).distinct().toLocalIterator()
-    sent = [context.broadcast(block) for block in blocks_of(((r[0], r[1]) for r in stated), window, block_bytes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = sent[0].value.automaton() if len(sent) == 1 else None
-        for batch in slices(batches, 256 if only is not None else 1 << 14):
-            texts = batch.column(1).to_pylist()
-            seen = [None] * len(texts)
+    sent = [context.broadcast(block) for block in blocks_of(((r[0], r[1]) for r in stated), most_words)]
+
+    def packed(batch: pa.RecordBatch, seen: list[tuple[np.ndarray, set[str | None], int]]) -> pa.RecordBatch:
+        hits = [int(m.sum()) for m, _, _ in seen]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([n for _, _, n in seen], pa.int64()),
+                pa.array(hits, pa.int64()),
+                pa.array([len(items) for _, items, _ in seen], pa.int64()),
+                pa.array([hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest() for _, items, _ in seen], pa.string()),
+                pa.array([h > 0 and 20 * h >= n for h, (_, _, n) in zip(hits, seen, strict=True)], pa.bool_()),
+                pa.array([spans_of(t.as_py(), m) if h else [] for t, h, (m, _, _) in zip(batch.column(1), hits, seen, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                *batch.columns[2:],
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f"keep{k}" for k in range(len(keep)))],
+        )
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = sent[0].value.automaton(window)
+        for batch in slices(batches):
+            yield packed(batch, [automaton.scan(t) for t in batch.column(1).to_pylist()])
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, set[str | None]]] = {}
+        with tempfile.TemporaryFile() as spool:
+            writer = None
+            for batch in batches:
+                writer = writer or pa.ipc.new_stream(spool, batch.schema)
+                writer.write_batch(batch)
+            if writer is None:
+                return
+            writer.close()
             for block in sent:
-                automaton = only if only is not None else block.value.automaton()
-                for k, text in enumerate(texts):
-                    marks, items, n = scan(text, automaton)
-                    seen[k] = (seen[k][0] | marks, seen[k][1] | items, n) if seen[k] else (marks, items, n)
-                if only is None:
-                    del automaton, block._value
-            hits = [int(m.sum()) for m, _, _ in seen]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([n for _, _, n in seen], pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array([len(items) for _, items, _ in seen], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, items, _ in seen]),
-                    pa.array([h > 0 and 20 * h >= n for h, (_, _, n) in zip(hits, seen, strict=True)], pa.bool_()),
-                    pa.array([spans_of(t, m) if h else [] for t, h, (m, _, _) in zip(texts, hits, seen, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    *batch.columns[2:],
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *(f"keep{k}" for k in range(len(keep)))],
-            )
+                automaton, row = block.value.automaton(window), 0
+                spool.seek(0)
+                for batch in slices(pa.ipc.open_stream(spool)):
+                    for text in batch.column(1).to_pylist():
+                        marks, items, _ = automaton.scan(text)
+                        if items:
+                            old = found.get(row, (False, set()))
+                            found[row] = old[0] | marks, old[1] | items
+                        row += 1
+                del automaton, block._value
+            spool.seek(0)
+            row = 0
+            for batch in slices(pa.ipc.open_stream(spool)):
+                seen = []
+                for text in batch.column(1).to_pylist():
+                    n = len(words_of(text))
+                    seen.append((*found.get(row, (np.zeros(n, bool), set())), n))
+                    row += 1
+                yield packed(batch, seen)
 
     kind = docs.schema[id_col].dataType.simpleString()
     kept = "".join(f", keep{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     wanted = small_batches(docs).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(f"keep{k}") for k, c in enumerate(keep)))
-    return wanted.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>" + kept)
-
-
+    return wanted.mapInArrow(once if len(sent) == 1 else in_blocks, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>" + kept)

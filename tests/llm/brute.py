@@ -84,7 +84,7 @@ def contamination(rows, items) -> list[tuple]:
     for item, text in items:
         w = split(text)
         size = min(13, len(w))
-        windows += [(str(item), w[k : k + size]) for k in range(len(w) - size + 1) if w]
+        windows += [(None if item is None else str(item), w[k : k + size]) for k in range(len(w) - size + 1) if w]
     out = []
     for i, text in rows:
         w, hit, found = split(text), set(), set()
@@ -93,7 +93,7 @@ def contamination(rows, items) -> list[tuple]:
                 if w[k : k + len(window)] == window:
                     hit.update(range(k, k + len(window)))
                     found.add(item)
-        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(i for i in found if i is not None))), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 

@@ -21,7 +21,7 @@ ROWS = [
     (None, "no id here at all", "en", "s0"),
 ]
 CLASHING = ("id", "fp", "rep", "variant", "head", "node", "label", "a", "b", "n", "word", "rid", "tf", "c", "bucket", "extra", "place", "cell", "salt", "shard", "slot", "curve", "found", "keep0", "i", "t", "l", "y", "score", "spans", "held_out", "component_id", "_text", "text_crc32")
-ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "Short item!"), (3, None), (4, ""), (5, "absent words of no document")]
+ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "Short item!"), (3, None), (4, ""), (5, "absent words of no document"), (None, "short item")]
 
 
 def write(spark, folder, rows, labels):

@@ -104,7 +104,7 @@ def test_long_chain_is_one_component(spark):
 def test_blocks_of_the_benchmark_agree(spark, edge_dir):
     docs, items = spark.read.parquet(f"{edge_dir}/documents.parquet"), spark.read.parquet(f"{edge_dir}/benchmark.parquet")
     whole = aho_corasick.decontaminate(docs, items).collect()
-    cut = aho_corasick.decontaminate(docs, items, block_bytes=1).collect()
+    cut = aho_corasick.decontaminate(docs, items, most_words=1).collect()
     assert sorted(map(str, whole)) == sorted(map(str, cut))
     text = next(r["text"] for r in docs.collect() if r["doc_id"] == 10)
     span = next(r["spans"] for r in whole if r["doc_id"] == 10)[0]
