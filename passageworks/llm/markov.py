@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,20 +36,36 @@ RANDOM_STRINGS, SAMPLE_DOCS = 20_000, 2_000
 BLOCK = 512
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running totals of an int array, in blocks so that long arrays take near-linear time."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def prefix_fold(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``both`` (0 is neutral to it) over an int array, in blocks so that long arrays take near-linear time."""
     zero, none = F.lit(0), F.array().cast("array<int>")
     blocks = F.transform(F.sequence(zero, F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
-    sums = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda a, v: a + v))
+    whole = F.transform(blocks, lambda block: F.aggregate(block, zero, both))
     total = F.struct(zero.alias("at"), none.alias("out"))
-    before = F.aggregate(sums, total, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    before = F.aggregate(whole, total, lambda a, v: F.struct(both(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
     def run(block: Column, at: Column) -> Column:
-        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"] + v)).alias("out")), lambda a: a["out"])
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), lambda a, v: F.struct(both(a["at"], v).alias("at"), F.concat(a["out"], F.array(both(a["at"], v))).alias("out")), lambda a: a["out"])
 
     return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, before, run))).otherwise(none)
 
 
+def prefix_sums(values: Column) -> Column:
+    return prefix_fold(values, lambda a, v: a + v)
+
+
+def meets_any(span: Column, others: Column) -> Column:
+    """Whether a span overlaps one of ``others``, which are in order and apart: bisection finds the last that starts before its end."""
+    steps = F.array(*(F.lit(1 << k) for k in range(26, -1, -1)))
+    below = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= F.size(others)) & (F.get(others, low + step - 1)["start"] < span["end"]), low + step).otherwise(low))
+    return F.coalesce(F.get(others, below - 1)["end"] > span["start"], F.lit(False))
+
+
 def ends_of(text: Column, pattern: str, matches: Column) -> Column:
     """End offsets in code points of all matches: lengths of what lies between them, and of them, added up."""
     between = F.split(text, pattern, -1)
@@ -97,8 +114,9 @@ def scan(docs: DataFrame, model: MarkovSecrets, id_col: str = "doc_id", text_col
 
     Base spans are the leftmost non-overlapping matches of each kind that pass its length; the models add
     candidates whose log-likelihood ratio reaches ``least_llr`` and LEAST_PER_PAIR a pair, and that touch no base span. Offsets are
-    code points, end exclusive; spans are ordered by start, then kind. Null text counts as empty: no
-    spans. Repeated rows: each is returned. Empty table: no rows.
+    code points, end exclusive; spans are ordered by start, then kind (ties: in the order of KINDS). Null text counts as empty: no
+    spans. Null ids and repeated rows: each is returned. Very long texts are scanned whole, in time near-linear in their spans.
+    Other columns, of whatever name, are not read. Empty table: no rows.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     spans_type = "array<struct<start:int,k:int,end:int,kind:string>>"
@@ -130,7 +148,7 @@ def scan(docs: DataFrame, model: MarkovSecrets, id_col: str = "doc_id", text_col
         F.when(F.size("_hex") > 0, spans("hex", "_hex", ends_of(text, HEX, F.col("_hex"))).cast(spans_type)).otherwise(none).alias("_h"),
         F.when(F.exists("_high", lambda x: x), high.cast(spans_type)).otherwise(none).alias("_m"),
     )
-    free = F.filter("_m", lambda m: ~F.exists("_a", lambda a: (a["start"] < m["end"]) & (m["start"] < a["end"])))
+    free = F.filter("_m", lambda m: ~meets_any(m, F.col("_a")))
     return based.select("doc_id", "_text", *(f"keep{i}" for i in range(len(keep))), F.array_sort(F.concat("_a", "_k", "_h", free)).alias("found"))
 
 
@@ -154,22 +172,21 @@ def counted(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of touching spans, replaced by ``mark``."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def merge(out: Column, s: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(out) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    """The text with every span, or run of touching spans, replaced by ``mark``; spans are ordered by start."""
 
-    runs = F.aggregate(found, none, merge)
+    def cut(starts: Column, top: Column, first: Column) -> Column:
+        """``first``: numbers of the spans that begin a run; a run reaches to the furthest end before the next one begins."""
+        begins = F.concat(F.transform(first, lambda k: F.get(starts, k)), F.array(F.length(text)))
+        last = F.transform(first, lambda k, j: F.get(top, F.coalesce(F.get(first, j + 1), F.size(top)) - 1))
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit(0)), last), begins, lambda a, b: F.substring(text, a + 1, b - a)), mark)
 
-    def cut(r: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(r, lambda s: s["end"]))
-        ends = F.concat(F.transform(r, lambda s: s["start"]), F.array(F.length(text)))
-        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a)), mark)
+    def runs(starts: Column, top: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(top) - 1), lambda k: (k == 0) | (F.get(starts, k) > F.get(top, k - 1)))
+        return let(first, lambda f: cut(starts, top, f))
 
-    return F.when(F.size(found) > 0, F.get(F.transform(F.array(runs), cut), F.lit(0))).otherwise(text)
+    starts, ends = F.transform(found, lambda s: s["start"]), F.transform(found, lambda s: s["end"])
+    both = let(F.struct(starts.alias("starts"), prefix_fold(ends, lambda a, v: F.greatest(a, v)).alias("top")), lambda x: runs(x["starts"], x["top"]))
+    return F.when(F.size(found) > 0, both).otherwise(text)
 
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> MarkovSecrets:

@@ -315,3 +315,52 @@ def test_pipeline_runs_on_edge_cases(spark, edge_dir, empty_dir):
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, edge_dir).collect()}
     assert kept == {1, 7, 8, 12, None}
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_hilbert_cuts_whole_strings(spark):
+    """Values that share a long prefix still fall into bins of their own, in order, by exact counts."""
+    rows = [(k, "x", "en", f"https://site{k % 40:02d}.example.org/") for k in range(800)] + [(None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    edges = hilbert.value_edges(docs, "source", 8)
+    assert edges == [f"https://site{k:02d}.example.org/" for k in (4, 9, 14, 19, 24, 29, 34)]
+    assert hilbert.value_edges(docs.filter("doc_id % 40 < 1 or doc_id % 40 = 7"), "source", 8) == ["https://site00.example.org/"] * 4 + ["https://site07.example.org/"] * 3
+    assert hilbert.value_edges(docs.limit(0), "source", 8) == []
+    curves = {}
+    for r in hilbert.placed(docs, 4, "doc_id", "text", ("lang", "source"), 5, ("source",)).collect():
+        curves.setdefault(r["keep0"], set()).add(r["curve"])
+    assert all(len(c) == 1 for c in curves.values()) and len({c for s in curves.values() for c in s}) >= 32
+
+
+def test_hilbert_shards_lose_and_double_no_row(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "d"), (2, None), (None, None)] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s", "clash", 5) for i, t in rows], "doc_id bigint, text string, lang string, source string, shard string, slot int")
+    hilbert.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(str(tuple(r)) for r in back.select("doc_id", "text", "lang", "source", "shard_", "slot").collect()) == sorted(str(tuple(r)) for r in docs.collect())
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [5, 5, 5, 6]
+
+
+def test_spans_of_long_texts_overlap_as_by_all_pairs(spark):
+    rng = random.Random(2)
+    others, at = [], 0
+    for _ in range(700):
+        at += rng.randrange(1, 9)
+        others.append((at, at := at + rng.randrange(1, 6)))
+    spans = [(k, k + rng.randrange(1, 7)) for k in range(0, at, 3)]
+    frame = spark.createDataFrame([(spans, others)], "s array<struct<start:int,end:int>>, o array<struct<start:int,end:int>>")
+    found = frame.select(F.transform("s", lambda s: markov.meets_any(s, F.col("o")))).first()[0]
+    assert found == [any(a < e and s < b for a, b in others) for s, e in spans]
+    spans.sort()
+    text = "".join(rng.choice("abcé") for _ in range(at + 20))
+    runs = []
+    for s, e in spans:
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    out, last = [], 0
+    for s, e in runs:
+        out += [text[last:s], "[SECRET]"]
+        last = e
+    frame = spark.createDataFrame([(text, [(s, 0, e, "x") for s, e in spans])], "t string, f array<struct<start:int,k:int,end:int,kind:string>>")
+    assert frame.select(markov.redacted(F.col("t"), F.col("f"))).first()[0] == "".join(out) + text[last:]
