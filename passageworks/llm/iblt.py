@@ -12,15 +12,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from passageworks.llm.common import clean, shuffle_width, slices
+from passageworks.llm.hilbert import value_edges
 
 #: Cells of a stored fingerprint: three rows of this many. Comparisons retry with GROWTH times as many.
 ROW_CELLS = 8
 GROWTH = 4
-RETRIES = 12
-#: Rounds of peeling; a sketch that is large enough takes far fewer, and a false pure cell could go on for ever.
-PEELS = 64
+#: Parts into which the rows of one id are dealt, by a hash of the text, where the id ends a bucket.
+SUBS = 64
 #: A paragraph is a line; it is cut further after sentences, so a text of one line has several pieces.
 SENTENCE_ENDS = (". ", "! ", "? ", " | ")
 #: A piece without such a cut that is longer than this is cut after words picked by their hash.
@@ -107,8 +109,8 @@ def build(sets: list[np.ndarray], width: int = ROW_CELLS) -> Sketches:
 def peel(sketch: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner, key, sign) of every recovered digest, and which texts peeled to nothing."""
     width, found = sketch.width, []
-    counts, keys, checks = sketch.counts.copy(), sketch.keys.copy(), sketch.checks.copy()
-    for _ in range(PEELS):
+    counts, keys, checks, taken = sketch.counts.copy(), sketch.keys.copy(), sketch.checks.copy(), 0
+    while taken <= len(counts):  # a cell that is pure by chance could go on for ever; no true recovery exceeds the cells
         pure = np.flatnonzero((np.abs(counts) == 1) & (check_of(keys) == checks))
         if not len(pure):
             break
@@ -118,6 +120,7 @@ def peel(sketch: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         new = np.concatenate(([True], (np.diff(owners) != 0) | (got[1:] != got[:-1])))
         owners, got, signs = owners[new], got[new], signs[new]
         found.append((owners, got, signs))
+        taken += len(got)
         for row in range(3):
             at = cells_of(got, owners, width, row)
             np.subtract.at(counts, at, signs)
@@ -132,14 +135,12 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], base: tuple[Ske
     """For each pair of texts the digests that only the left and only the right one has.
 
     The base sketches are subtracted and peeled; pairs that do not peel to nothing are sketched anew with
-    GROWTH times the cells, and so on.
+    GROWTH times the cells, and so on until all have: from about as many cells as digests on, nearly every sketch peels.
     """
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(left)
     open_, width = list(range(len(left))), ROW_CELLS
-    for attempt in range(RETRIES):
-        if not open_:
-            break
-        a, b = base if base and attempt == 0 else (build([left[k] for k in open_], width), build([right[k] for k in open_], width))
+    while open_:
+        a, b = base if base and width == ROW_CELLS else (build([left[k] for k in open_], width), build([right[k] for k in open_], width))
         owner, key, sign, empty = peel(a.minus(b))
         bounds = np.argsort(owner, kind="stable")
         owner, key, sign = owner[bounds], key[bounds], sign[bounds]
@@ -150,8 +151,6 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], base: tuple[Ske
                 out[k] = keys[signs > 0], keys[signs < 0]
         open_ = [k for i, k in enumerate(open_) if not empty[i]]
         width *= GROWTH
-    for k in open_:  # never met; the sets themselves still give the answer
-        out[k] = np.setdiff1d(left[k], right[k]), np.setdiff1d(right[k], left[k])
     return out
 
 
@@ -170,35 +169,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - part] + following[:part]
 
 
-def buckets_descending(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, list]:
-    """Bucket 0, 1, ... of each id in descending order at sampled quantiles (nulls last), found by bisection."""
-    marks = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(id_col, marks, 10_000)).first()[0] or []), reverse=True) if marks else []
-    if not cuts:
-        return F.lit(0).cast("bigint"), cuts
-    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    steps = F.array(*(F.lit(1 << k).cast("bigint") for k in range(len(cuts).bit_length() - 1, -1, -1)))
-    below = lambda low, step: F.when(F.get(table, low + step - 1) > F.col(id_col), low + step).otherwise(low)
-    return F.when(F.col(id_col).isNull(), F.lit(len(cuts)).cast("bigint")).otherwise(F.aggregate(steps, F.lit(0).cast("bigint"), below)), cuts
+def quantiles(docs: DataFrame, id_col: str, parts: int) -> list:
+    """At most ``parts`` - 1 distinct ids, descending, that cut the rows into about equal runs; ids of any ordered type."""
+    if isinstance(docs.schema[id_col].dataType, NumericType):
+        found = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    else:
+        found = value_edges(docs, id_col, parts)
+    return sorted(set(found or []), reverse=True)
+
+
+def bucket_of(cuts: list, kind: str) -> Column:
+    """Bucket of a row in descending order of id, nulls last. The rows of a cutting id are buckets of their own, dealt by text."""
+    table = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length(), -1, -1)))
+    above = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & (F.get(table, low + step - 1) > F.col("id")), low + step).otherwise(low)) if cuts else F.lit(0)
+    own = F.get(table, above) == F.col("id") if cuts else F.lit(False)
+    sub = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), 64 - SUBS.bit_length() + 1)
+    place = F.when(F.col("id").isNull(), F.lit(2 * len(cuts) + 2)).otherwise(2 * above + F.coalesce(own, F.lit(False)).cast("int"))
+    return place.cast("bigint") * SUBS + F.when(F.col("id").isNull() | own, sub).otherwise(F.lit(0))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, extra, id, text): rows dealt by descending id, each bucket followed by a copy of the next bucket's first row.
 
-    So every row's successor lies in its own partition, and no task sees the whole order. Only one id
-    for each bucket comes to the driver.
+    So every row's successor lies in its own partition, and no task sees the whole order; the rows of one id, or without one,
+    are dealt by a hash of their text. One id and count for each bucket comes to the driver, at most (2 x partitions + 2) x SUBS.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    parts = shuffle_width(spark)
-    bucket, _ = buckets_descending(narrow, "id", parts)
-    heads = sorted((r["bucket"], r["id"]) for r in narrow.select(bucket.alias("bucket"), "id").groupBy("bucket").agg(F.max("id").alias("id")).collect())
-    before = spark.createDataFrame([(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)], "head bigint, before bigint")
-    marked = narrow.withColumn("bucket", bucket).join(F.broadcast(before), F.col("id").eqNullSafe(F.col("head")), "left")
-    own = F.struct(F.col("bucket"), F.lit(False).alias("extra"))
-    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))))
-    dealt = marked.select("id", "text", F.explode(places).alias("place")).select("place.bucket", "place.extra", "id", "text")
-    return dealt.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    parts, kind = shuffle_width(spark), docs.schema[id_col].dataType.simpleString()
+    dealt = narrow.withColumn("bucket", bucket_of(quantiles(narrow, "id", parts), kind))
+    heads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", F.bitwise_not("h").alias("h"))).alias("first")).orderBy("bucket").collect()
+    total, before, part = sum(r["n"] for r in heads), 0, {}
+    for r in heads:
+        part[r["bucket"]] = min(parts - 1, before * parts // total)
+        before += r["n"]
+    turns = [(r["first"]["id"], ~r["first"]["h"], heads[k - 1]["bucket"], part[heads[k - 1]["bucket"]]) for k, r in enumerate(heads)]
+    firsts = F.broadcast(spark.createDataFrame(turns, f"head {kind}, head_h bigint, before bigint, before_part int"))
+    placed = F.broadcast(spark.createDataFrame(list(part.items()), "bucket bigint, part int"))
+    marked = dealt.join(placed, "bucket").join(firsts, F.col("id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
+    own = F.struct(F.col("bucket"), F.lit(False).alias("extra"), F.col("part"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"), F.col("before_part").alias("part"))))
+    rows = marked.select("id", "h", "text", F.explode(places).alias("place")).select("place.*", "id", "h", "text")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "h", "text").select("bucket", "extra", "id", "text")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +221,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order (after the last: the first). Likeness is the Jaccard index of pieces, from the digests that
     subtracting and peeling the two sketches recovers; ``only_before`` and ``only_after`` count the
     digests that the edit removed and added. Null or empty text: no pieces, likeness 1 to another such,
-    0 to any other. Rows of equal id are ordered by text. One row: its own successor. Empty table: no
+    0 to any other. Rows of equal id, and those without one (which come last), are ordered by a hash of their text. One row: its own successor.
+    Ids may be of any ordered type. Very long texts are cut whole. Other columns, of whatever name, are not read. Empty table: no
     rows. Equal texts have equal fingerprints.
     """
-
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
 
     def finish(rows: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
         """All rows but the last, each with the next as its successor."""
@@ -222,7 +236,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         edits = differences(own, after, (mine, theirs))
         turns = differences(own, nexts)
         columns = {
-            "doc_id": pa.array([r[0] for r in here], pa.int64()),
+            "doc_id": pa.array([r[0] for r in here], id_type),
             "n_chars": pa.array([len(r[1]) for r in here], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
             "fingerprint": pa.array([text_of(mine, k, len(s)) for k, s in enumerate(own)], pa.string()),
@@ -247,5 +261,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         yield finish(rows)
                         rows = [] if extra else rows[-1:]
 
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, only_before bigint, only_after bigint"
+    schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, only_before bigint, only_after bigint"
     return with_next(clean(docs, id_col, text_col), id_col, text_col).mapInArrow(run, schema)

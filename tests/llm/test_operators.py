@@ -364,3 +364,21 @@ def test_spans_of_long_texts_overlap_as_by_all_pairs(spark):
         last = e
     frame = spark.createDataFrame([(text, [(s, 0, e, "x") for s, e in spans])], "t string, f array<struct<start:int,k:int,end:int,kind:string>>")
     assert frame.select(markov.redacted(F.col("t"), F.col("f"))).first()[0] == "".join(out) + text[last:]
+
+
+def test_fingerprints_of_any_ids(spark):
+    """String ids, an id that most rows share and rows without one: the successor is the next row in descending order."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 6 + [None, *"abcxyz"]), f"text {k}. of many parts {rng.random()}.") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    order = [(r["doc_id"], r["text"]) for r in sorted(docs.selectExpr("*", "xxhash64(text) AS h").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or "", ~r["h"]), reverse=True)]
+    found = {r["edited_sha256"]: r["doc_id"] for r in iblt.fingerprint_edits(docs).collect()}
+    wanted = {brute.sha(iblt.edited(t, order[(k + 1) % len(order)][1])): i for k, (i, t) in enumerate(order)}
+    assert len(found) == 300 and found == wanted
+
+
+def test_sketch_grows_until_it_peels():
+    rng = np.random.default_rng(5)
+    left, right = (np.unique(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)) for _ in range(2))
+    ((a, b),) = iblt.differences([left], [right])
+    assert len(a) == len(left) and len(b) == len(right)

@@ -45,7 +45,8 @@ def test_every_row_returned_once(spark, edge_dir, name):
 
 
 def test_op1(spark, folder):
-    rows = sorted(documents(spark, folder), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    by_hash = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    rows = [(r["doc_id"], r["text"]) for r in sorted(by_hash, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))]
     wanted = []
     for k, (i, text) in enumerate(rows):
         text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
