@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
@@ -15,24 +14,30 @@ from pyspark.sql import DataFrame
 
 from passageworks.llm.common import clean, slices
 
-#: Texts up to this many code points, and pieces up to this many bytes, are encoded in one go.
-LEAF = 4096
+#: Code points of a leaf of a text's tree, and bytes of a leaf of an unsplit piece's tree.
+LEAF = 1024
+#: Halves of a text that are encoded at once; the encoder leaves the interpreter free meanwhile.
+THREADS = 2
+#: Code points on each side of a join that are looked through first.
+REACH = 32
 VOCABULARY = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
-#: A word character and then a space: the tokenizer always splits there, whatever stands around.
-SAFE = re.compile(r"(?<=\w) ")
 
 
 class TreeBpe:
     """Encoder equal to the tokenizers library on its JSON file, special string included."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, tokenizer_path: str, leaf: int = LEAF) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tokenizer_path: str, leaf: int = LEAF, threads: int = THREADS) -> None:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-        self.core, self.leaf, self.tokenizer_path, self.splitter = self.encoding._core_bpe, leaf, tokenizer_path, None
+        self.core, self.leaf, self.threads, self.tokenizer_path, self.splitter = self.encoding._core_bpe, leaf, threads, tokenizer_path, None
+        self.sizes = [0] * (max(ranks.values()) + 1)
+        for raw, number in ranks.items():
+            self.sizes[number] = len(raw)
+        self.joins, self._pool = 0, None
 
     def bytes_of(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
@@ -53,18 +58,24 @@ class TreeBpe:
             reach *= 2
 
     def piece(self, raw: bytes) -> list[int]:
-        """One unsplit piece: leaves in parallel, then joined pairwise up the tree."""
+        """One unsplit piece, in the same way, but joined by tokens alone."""
         if len(raw) <= self.leaf:
             return self.core.encode_single_piece(raw)
-        cuts = range(0, len(raw), self.leaf)
-        with ThreadPoolExecutor(2) as pool:
-            level = list(pool.map(self.core.encode_single_piece, (raw[at : at + self.leaf] for at in cuts)))
+        level = self.leaves(self.core.encode_single_piece, [raw[at : at + self.leaf] for at in range(0, len(raw), self.leaf)])
         while len(level) > 1:
             level = [self.join(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0]
 
+    def leaves(self, encode: Callable[[str | bytes], list[int]], parts: list[str | bytes]) -> list[list[int]]:
+        """Each part encoded: so many runs of neighbouring parts at once as there are threads."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(self.threads)
+        each = -(-len(parts) // self.threads)
+        runs = self._pool.map(lambda at: [encode(p) for p in parts[at : at + each]], range(0, len(parts), each))
+        return [ids for run in runs for ids in run]
+
     def unsplit(self, text: str) -> list[int]:
-        """A long stretch without a safe cut: the library's own splitter, then piece by piece."""
+        """A long window, as in text without spaces: the library's own splitter, then piece by piece."""
         if self.splitter is None:
             from tokenizers import Tokenizer
 
@@ -74,18 +85,66 @@ class TreeBpe:
             out += self.piece(text[start:end].encode())
         return out
 
+    def cuts(self, text: str, start: int, middle: int, end: int, reach: int) -> tuple[int, int] | None:
+        """The nearest places left and right of ``middle``, at most ``reach`` away, where the text is split whatever stands around; or none.
+
+        A letter or digit and then a space is such a place: no piece of the splitter holds both, and its look
+        ahead ends there. The ends of the two sides count too.
+        """
+        low, high = max(start, middle - reach), min(end, middle + reach)
+        left = text.rfind(" ", low + 1, middle)
+        while left > low and not text[left - 1].isalnum():
+            left = text.rfind(" ", low + 1, left)
+        if left <= low:
+            if low > start:
+                return None
+            left = start
+        right = text.find(" ", middle, high)
+        while right >= 0 and not text[right - 1].isalnum():
+            right = text.find(" ", right + 1, high)
+        if right < 0:
+            if high < end:
+                return None
+            right = end
+        return left, right
+
+    def met(self, ids: Iterator[int], size: int) -> int | None:
+        """How many of ``ids`` have just ``size`` bytes together; none if no number of them has."""
+        count = total = 0
+        while total < size:
+            total += self.sizes[next(ids)]
+            count += 1
+        return count if total == size else None
+
+    def joined(self, text: str, left: tuple[int, int, list[int]], right: tuple[int, int, list[int]]) -> tuple[int, int, list[int]]:
+        """Two neighbouring stretches (start, end, ids) as one: a window around the join is encoded anew, and grows until both sides agree.
+
+        They agree if the window begins and ends where the text is always split, and both sides have tokens that begin and
+        end just there.
+        """
+        self.joins += 1
+        start, middle, end, reach = left[0], left[1], right[1], REACH
+        while True:
+            found = self.cuts(text, start, middle, end, reach)
+            if found:
+                gone = self.met(reversed(left[2]), len(text[found[0] : middle].encode()))
+                over = self.met(iter(right[2]), len(text[middle : found[1]].encode()))
+                if gone is not None and over is not None:
+                    part = text[found[0] : found[1]]
+                    window = self.core.encode_ordinary(part) if len(part) <= 2 * self.leaf else self.unsplit(part)
+                    return start, end, left[2][: len(left[2]) - gone] + window + right[2][over:]
+            reach *= 2
+
     def ordinary(self, text: str) -> list[int]:
+        """Leaves in parallel, then joined pairwise up the tree."""
         if len(text) <= self.leaf:
             return self.core.encode_ordinary(text)
-        out: list[int] = []
-        at = 0
-        while at < len(text):
-            found = SAFE.search(text, at + self.leaf)
-            end = found.start() if found else len(text)
-            part = text[at:end]
-            out += self.core.encode_ordinary(part) if len(part) <= 2 * self.leaf else self.unsplit(part)
-            at = end
-        return out
+        starts = range(0, len(text), self.leaf)
+        found = self.leaves(self.core.encode_ordinary, [text[at : at + self.leaf] for at in starts])
+        level = [(at, min(at + self.leaf, len(text)), ids) for at, ids in zip(starts, found, strict=True)]
+        while len(level) > 1:
+            level = [self.joined(text, level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        return level[0][2]
 
     def encode(self, text: str) -> list[int]:
         if SPECIAL not in text:
@@ -112,8 +171,9 @@ def encoder(vocabulary: str | None = None, tokenizer: str | None = None, leaf: i
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False, keep_text: bool = False, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, decoded]) for every row, over whole texts.
 
-    Null text counts as empty: no tokens, digests of nothing. Repeated rows: each is returned. Empty
-    table: no rows. The vocabulary is read on each executor from the given path.
+    Null text counts as empty: no tokens, digests of nothing. Null ids and repeated rows: each is returned. Of equal merges the
+    tokenizer takes the leftmost. Very long texts are encoded whole, from leaves of LEAF code points up. Other columns, of whatever
+    name, are not read. Empty table: no rows. The vocabulary is read on each executor from the given path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

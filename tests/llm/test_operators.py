@@ -56,8 +56,29 @@ def test_tree_bpe_on_unsplit_text(seed):
     for size in (0, 1, 15, 16, 17, 40, 333, 5000):
         text = "".join(rng.choice(alphabet) for _ in range(size))
         ids = library.encode(text, add_special_tokens=False).ids
+        before = bpe.joins
         assert bpe.encode(text) == ids
         assert bpe.decode(ids) == text
+        assert size <= 16 or bpe.joins > before
+
+
+def test_tree_bpe_leaves_run_at_once():
+    """Two halves meet at a barrier, which each passes only while the other waits there."""
+    import threading
+
+    both, bpe = threading.Barrier(2, timeout=20), tree_bpe.encoder(leaf=16)
+    assert bpe.leaves(lambda p: both.wait() and None or [len(p)], ["ab", "c"]) == [[2], [1]]
+
+
+def test_tree_bpe_on_whole_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bpe = tree_bpe.encoder(leaf=64)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text in [*texts, " ".join(texts[:40]), "x" * 5000, " " * 3000, "a  " * 900, "\n\n \t" * 500]:
+        assert bpe.encode(text or "") == library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_tree_bpe_join_equals_whole():
