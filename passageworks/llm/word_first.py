@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -11,25 +12,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from passageworks.llm.common import clean, slices
+from passageworks.llm.common import bounded_join, checkpoint, clean, slices
 
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+")
-#: The fitting sample: about so many documents of each language, picked by a hash of id and text.
-SAMPLE_PER_LANG = 2000
-#: Words kept of each language, most frequent first (ties: alphabetical), and the most languages learned.
-WORDS_PER_LANG = 50_000
-MAX_LANGS = 1000
+#: Combining marks and joiners: they continue a word, as vowel signs do in many scripts.
+MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M") + "\u200c\u200d"
+LETTERS, MARKED, WORDS = re.compile(r"[^\W\d_]+"), re.compile(f"[{MARKS}]"), re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*")
+#: The fitting sample, picked by a hash of id and language: about SAMPLE_PER_LANG documents of each language, SAMPLE_DOCS in
+#: all, none of more than FIT_CHARS code points. Every word of the sample counts.
+SAMPLE_PER_LANG, SAMPLE_DOCS, FIT_CHARS = 2000, 100_000, 20_000
 LONGEST = 5
 SMOOTH = 0.5
-#: Entries of an executor's memory of unseen words before it starts anew.
-MEMORY = 100_000
+#: Numbers in an executor's memory of unseen words before it starts anew, and distinct words that a counting task holds.
+MEMORY, HELD = 2_000_000, 100_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in WORDS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    """Lower-case runs of letters with their marks."""
+    low = (text or "").lower()
+    found = LETTERS.findall(low) if low.isascii() or not MARKED.search(low) else WORDS.findall(low)
+    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -39,23 +42,41 @@ def grams(word: str, size: int) -> list[str]:
 
 @dataclass
 class Scores:
-    """Log frequency in each language: a row of ``table`` for each key."""
+    """Smoothed log frequency of each key in each language, kept only where it was seen.
+
+    A key that a language lacks has that language's ``base``; ``above`` is what the others have beyond it,
+    at ``starts[row]`` to ``starts[row + 1]``.
+    """
 
     row: dict[str, int]
-    table: np.ndarray
+    base: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
 
     @classmethod
     def of(cls, items: Iterable[tuple[int, str, int]], langs: int) -> Scores:
-        """From (number of the language, key, count), smoothed."""
+        """From distinct (number of the language, key) and count."""
         row: dict[str, int] = {}
         rows, columns, counts = [], [], []
         for lang, key, n in items:
             rows.append(row.setdefault(key, len(row)))
             columns.append(lang)
             counts.append(n)
-        table = np.full((len(row), langs), SMOOTH)
-        np.add.at(table, (rows, columns), counts)
-        return cls(row, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32))
+        order = np.argsort(np.array(rows, np.int64), kind="stable")
+        columns_, counts_ = np.array(columns, np.int32)[order], np.array(counts, np.float64)[order]
+        total = np.bincount(columns_, counts_, langs) + SMOOTH * len(row) if langs else np.zeros(0)
+        starts = np.concatenate(([0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(row)))))
+        return cls(row, np.log(SMOOTH) - np.log(np.maximum(total, SMOOTH)), starts, columns_, (np.log(counts_ + SMOOTH) - np.log(SMOOTH)).astype(np.float32))
+
+    def total(self, rows: list[int]) -> np.ndarray:
+        """Sum of the log frequencies of keys, by language."""
+        if not rows:
+            return np.zeros(len(self.base))
+        at = np.array(rows)
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        places = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.base * len(at) + np.bincount(self.lang[places], self.above[places], len(self.base))
 
 
 @dataclass
@@ -90,13 +111,13 @@ class WordFirst:
         """Mean log frequency of the word's longest n-grams that are known at all."""
         for size, known in self.shorter:
             if found := [known.row[g] for g in grams(word, size) if g in known.row]:
-                return known.table[found].mean(axis=0)
+                return (known.total(found) / len(found)).astype(np.float32)
         return np.zeros(len(self.langs), np.float32)
 
     def remembered(self, word: str) -> int:
         """Row of an unseen word, now in the memory."""
         k = self.unseen[word] = len(self.unseen)
-        if k >= len(self.memory):
+        if k == len(self.memory):
             self.memory = np.vstack([self.memory, np.zeros_like(self.memory)])
         self.memory[k] = self.back_off(word)
         return k
@@ -105,8 +126,8 @@ class WordFirst:
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if self.memory is None or len(self.unseen) > MEMORY:
-            self.unseen, self.memory = {}, np.zeros((MEMORY, len(self.langs)), np.float32)
+        if self.memory is None or self.memory.size > MEMORY:
+            self.unseen, self.memory = {}, np.zeros((1024, len(self.langs)), np.float32)
         known, unseen = [], []
         row, memory = self.words.row.get, self.unseen.get
         for word in words:
@@ -116,25 +137,23 @@ class WordFirst:
             else:
                 k = memory(word)
                 unseen.append(self.remembered(word) if k is None else k)
-        total = self.words.table[known].sum(axis=0, dtype=np.float64) + self.memory[unseen].sum(axis=0, dtype=np.float64)
+        total = self.words.total(known) + self.memory[unseen].sum(axis=0, dtype=np.float64)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_per_lang: int = SAMPLE_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> WordFirst:
-    """Fit on rows where ``train`` holds and the language is known.
+def fit_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_per_lang: int = SAMPLE_PER_LANG, sample_docs: int = SAMPLE_DOCS, fit_chars: int = FIT_CHARS) -> WordFirst:
+    """Fit on rows where ``train`` holds and the language is known; every language is learned.
 
-    The sample is bounded: each language's rows are picked by hash at the rate that yields
-    ``sample_per_lang`` of them, and their words are counted on the executors; the driver gets
-    at most ``words_per_lang`` words of each of the ``MAX_LANGS`` most frequent languages.
+    The sample of labelled rows is bounded: each language's rows are picked by hash at the rate that yields
+    ``sample_per_lang`` of them (fewer where languages are so many that all would pass ``sample_docs``), texts over ``fit_chars``
+    code points are passed over, and the words are counted on the executors before the driver gets them.
     """
     labelled = docs.filter(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    sizes = docs.filter(train & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
-    if not sizes:
-        return WordFirst.fit([])
-    rates = {r["l"]: min(1.0, sample_per_lang / r["count"]) for r in sizes}
-    rate = F.element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("l"))
-    pick = F.pmod(F.xxhash64(F.col("i").cast("string"), F.col("l")), F.lit(1_000_003)) < rate * 1_000_003
+    sizes = checkpoint(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    each = min(sample_per_lang, sample_docs / max(1, sizes.count()))
+    hashed = F.pmod(F.xxhash64(F.col("_l.i").cast("string"), F.col("_l.l")), F.lit(1_000_003))
+    picked = bounded_join(labelled.filter(F.length("t") <= fit_chars), sizes, ["l"], hashed * F.col("_r.n") < each * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -145,14 +164,13 @@ def fit_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 counts.update((lang, w) for w in words_of(text))
-            if len(counts) > MEMORY:
+            if len(counts) > HELD:
                 yield out()
                 counts.clear()
         yield out()
 
-    counted = labelled.filter(pick).select("l", "t").mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    kept = counted.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= words_per_lang)
-    return WordFirst.fit([(r["l"], r["w"], r["n"]) for r in kept.select("l", "w", "n").collect()])
+    counted = picked.select("_l.l", "_l.t").mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    return WordFirst.fit(sorted((r["l"], r["w"], r["n"]) for r in counted.collect()))
 
 
 def identify(docs: DataFrame, model: WordFirst, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,7 +178,8 @@ def identify(docs: DataFrame, model: WordFirst, id_col: str = "doc_id", text_col
 
     Text that is null or has no letter: ``und`` with score 0. Nothing learned: ``und``. Ties go to the
     alphabetically first language. Score is the posterior of the predicted language under equal priors.
-    Repeated rows: each is returned. Empty table: no rows.
+    Null ids and repeated rows: each is returned. Very long texts are read whole. Other columns, of whatever name, are not read.
+    Empty table: no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,5 +195,3 @@ def identify(docs: DataFrame, model: WordFirst, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + "".join(f", keep{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     return clean(docs, id_col, text_col, *keep).mapInArrow(run, schema)
-
-

@@ -163,6 +163,78 @@ def test_language_backs_off_to_shorter_grams():
     assert model.predict("123 !")[0] == "und" and model.predict(None) == ("und", 0.0)
 
 
+def plain_backoff(rows, text):
+    """(language, score) by the definition, in dictionaries: known words by log frequency, others by their longest known n-grams."""
+    from math import exp, log
+
+    langs = sorted({r[0] for r in rows})
+
+    def table(counted):
+        keys = {k for _, k in counted}
+        total = {lang: sum(n for (x, _), n in counted.items() if x == lang) + 0.5 * len(keys) for lang in langs}
+        return keys, lambda lang, k: log(counted.get((lang, k), 0) + 0.5) - log(total[lang])
+
+    words = table({(lang, w): n for lang, w, n in rows})
+    shorter = {}
+    for size in range(5, 0, -1):
+        counted = {}
+        for lang, w, n in rows:
+            for g in word_first.grams(w, size):
+                counted[lang, g] = counted.get((lang, g), 0) + n
+        shorter[size] = table(counted)
+    total = dict.fromkeys(langs, 0.0)
+    for word in word_first.words_of(text):
+        if word in words[0]:
+            mine = {lang: words[1](lang, word) for lang in langs}
+        else:
+            mine = dict.fromkeys(langs, 0.0)
+            for size in range(5, 0, -1):
+                found = [g for g in word_first.grams(word, size) if g in shorter[size][0]]
+                if found:
+                    mine = {lang: sum(shorter[size][1](lang, g) for g in found) / len(found) for lang in langs}
+                    break
+        total = {lang: total[lang] + mine[lang] for lang in langs}
+    best = max(langs, key=lambda lang: total[lang])
+    return best, 1 / sum(exp(min(0, total[lang] - total[best])) for lang in langs)
+
+
+def test_language_scores_equal_definition():
+    rng = random.Random(3)
+    rows = [(lang, "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))), rng.randrange(1, 9)) for lang, letters in (("a", "abcd"), ("b", "bcde"), ("c", "xyzé")) for _ in range(80)]
+    rows = [(lang, w, n) for (lang, w), n in {(lang, w): n for lang, w, n in rows}.items()]
+    model = word_first.WordFirst.fit(rows)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdexyzéq") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 6)))
+        lang, score = model.predict(text)
+        wanted = plain_backoff(rows, text)
+        assert lang == wanted[0] and abs(score - wanted[1]) < 1e-4
+
+
+def test_words_keep_their_marks():
+    assert word_first.words_of("हिन्दी भाषा, ภาษาไทย É e\u0301a 12") == ["हिन्दी", "भाषा", "ภาษาไทย", "é", "e\u0301a"]
+
+
+def test_language_of_scripts_with_marks_held_out(spark):
+    words = {"hi": "यह है और में की से को पर नहीं किताब पानी लड़का लड़की स्कूल दिल्ली हिन्दी बोलते खाना घर मेरा".split(), "mr": "हे आहे आणि मध्ये ची पासून ला वर नाही पुस्तक पाणी मुलगा मुलगी शाळा मुंबई मराठी बोलतात जेवण घर माझे".split(), "th": "นี่คือ และ ใน ของ จาก ไม่ หนังสือ น้ำ เด็กชาย เด็กหญิง โรงเรียน กรุงเทพ ภาษาไทย พูด อาหาร บ้าน".split()}
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for k, lang in enumerate(rng.choice(list(words)) for _ in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = word_first.fit_documents(docs, F.col("doc_id") % 3 != 1)
+    found = {r["doc_id"]: r["lang_pred"] for r in word_first.identify(docs, model).collect()}
+    held = [(k, lang) for k, _, lang in rows if k % 3 == 1]
+    assert sum(found[k] == lang for k, lang in held) >= 0.97 * len(held)
+    assert model.predict("किताबों")[0] == "hi" and model.predict("पुस्तकात")[0] == "mr" and model.predict("ภาษา")[0] == "th"
+
+
+def test_more_than_a_thousand_languages(spark):
+    own = lambda k: f"own{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)}word"
+    rows = [(3 * k, f"{own(k)} same", f"l{k:04d}") for k in range(1101)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = word_first.fit_documents(docs, F.lit(True))
+    assert len(model.langs) == 1101
+    assert [model.predict(f"{own(k)} same")[0] for k in (0, 999, 1000, 1100)] == ["l0000", "l0999", "l1000", "l1100"]
+
+
 @pytest.fixture(scope="module")
 def toxic_model(spark):
     docs, labels = spark.read.parquet(f"{TENTH}/documents.parquet"), spark.read.parquet(f"{TENTH}/labels.parquet")
