@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +22,15 @@ PATTERNS = [(1, 2, 0), (1, 3, 1), (2, 3, 1), (1, 4, 2), (2, 4, 2), (3, 4, 2)]
 WINDOW = 10
 #: Bounds of the fitting sample: labelled documents of each class, and the code points of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, FIT_CHARS = 1500, 2500, 20_000
-LANDMARKS = 160
+LANDMARKS = 240
+#: Windows taken from each fitting text: its hottest stretches (apart from each other) if toxic, at random if clean.
+HOT_WINDOWS, CLEAN_WINDOWS = 8, 6
+#: A stretch of a toxic text teaches the machine if it is hotter than the hottest stretch of this part of the clean texts, in each round.
+CLEAR = (0.5, 0.8, 0.9)
+#: Characters that are put inside copies of teaching windows, of either class, so that the machine meets broken words.
+STRAY = "-*.x_'a"
 #: Short strings whose kernel values are worked out at a time, to bound the driver's memory.
 KERNEL_ROWS = 64
-ROUNDS = 2
-WORDS = re.compile(r"[^\W\d_]+")
 
 
 def symbol_table() -> np.ndarray:
@@ -131,73 +133,102 @@ class ToxicKernel:
         return total[WINDOW : WINDOW + len(x)] - total[: len(x)] + self.bias
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: its highest window, log of the number of windows above zero, and that over log length."""
+        """For each text: its highest window (a long text has a high one by chance sooner), and log total and log density of the heat above zero."""
         spaced = [f" {t or ''}" + " " * (WINDOW + 4) for t in texts]
         if not texts:
             return np.zeros((0, 3))
         values = self.windows(symbols("".join(spaced)))
         starts = np.cumsum([0, *map(len, spaced[:-1])])
-        sizes = np.array([len(t) for t in spaced])
-        top = np.maximum.reduceat(values, starts)
-        above = np.log1p(np.add.reduceat((values > 0).astype(np.float64), starts))
-        return np.stack([np.clip(top, -5, 5), above, above / np.log1p(sizes)], axis=1)
+        thousands = np.array([len(t) for t in spaced]) / 1000
+        top = np.clip(np.maximum.reduceat(values, starts), -5, 5)
+        heat = np.add.reduceat(np.maximum(values, 0), starts)
+        return np.stack([top - 0.25 * np.log(thousands), np.log1p(heat), np.log(heat / thousands + 0.05)], axis=1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         z = self.evidence(texts) @ self.scale[:3] + self.scale[3]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def hottest(self, text: str) -> str:
-        """The window with the highest value."""
+    def hottest(self, text: str, most: int = 1) -> list[tuple[float, str]]:
+        """(value, window) of the hottest windows, hottest first, none within a window of another."""
         padded = f" {text} "
-        k = int(np.argmax(self.windows(symbols(padded))[: len(padded)]))
-        return padded[k : k + WINDOW + 2]
+        values = self.windows(symbols(padded))[: len(padded)].copy()
+        found = []
+        while len(found) < most:
+            k = int(np.argmax(values))
+            if not np.isfinite(values[k]):
+                break
+            found.append((float(values[k]), (padded + " " * (WINDOW + 4))[k : k + WINDOW + 4]))
+            values[max(0, k - WINDOW) : k + WINDOW + 1] = -np.inf
+        return found
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], seed: int = 7) -> ToxicKernel:
-        """From (text, toxic). Two thirds of the rows fit the machine, the rest scale its values to odds."""
+        """From (text, toxic), by multiple-instance rounds. Two thirds of the rows fit the machine, the rest scale its values to odds.
+
+        Which stretches make a text toxic is not labelled. Log ratios of the rates of subsequences in toxic and in clean texts say
+        where to look first; then in each round the machine learns the hottest stretches of toxic texts (those that are clear of
+        the clean texts' hottest), whole and with a stray character inside, against random and hottest stretches
+        of clean texts, broken in the same way, and says anew which stretches are hottest. Landmarks are such stretches of either class.
+        """
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(rows))
         learn, scale_on = [rows[k] for k in order[: 2 * len(rows) // 3]], [rows[k] for k in order[2 * len(rows) // 3 :]]
-        counts = [Counter(), Counter()]
-        sizes = [0, 0]
-        for text, toxic in learn:
-            sizes[toxic] += 1
-            counts[toxic].update(set(WORDS.findall(text.lower())))
-        if not sizes[0] or not sizes[1]:
-            return cls(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([0, 0, 0, -1.0 if not sizes[1] else 1.0]))
-
-        def excess(word: str) -> float:
-            return counts[1][word] * np.log((counts[1][word] + 0.5) / (sizes[1] + 1) / ((counts[0][word] + 0.5) / (sizes[0] + 1)))
-
-        bad = [w for w in sorted(counts[1], key=lambda w: (-excess(w), w)) if counts[1][w] >= 3 and excess(w) > 6][:LANDMARKS]
-        plain = sorted((w for w in counts[0] if w not in set(bad)), key=lambda w: (-counts[0][w], w))
-        marks = [f" {w} " for w in bad + plain[:LANDMARKS]]
-        z = dense(marks)
-        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-        keep = values > 1e-6 * values.max()
-        whiten = vectors[:, keep] / np.sqrt(values[keep])
+        toxic, clean_ = [t.lower() for t, y in learn if y], [t.lower() for t, y in learn if not y]
+        if not toxic or not clean_:
+            return cls(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([0, 0, 0, -1.0 if not toxic else 1.0]))
+        rates = [rate_of(toxic), rate_of(clean_)]
+        model = cls((np.log(rates[0]) - np.log(rates[1])).astype(np.float32), 0.0, np.array([1.0, 0, 0, 0]))
 
         def cut(text: str, n: int) -> list[str]:
-            padded = f" {text} "
-            return [padded[k : k + WINDOW + 4] for k in rng.integers(0, max(1, len(padded) - WINDOW), n)]
-
-        negatives = [c for text, toxic in learn if not toxic for c in cut(text.lower(), 3)]
-        positives = [(f" {w} " + " " * WINDOW)[: WINDOW + 4] for w in bad for _ in range(1)]
-        model = cls(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([1.0, 0, 0, 0]))
-        for _ in range(ROUNDS + 1):
+            padded = f" {text} " + " " * (WINDOW + 4)
+            return [padded[k : k + WINDOW + 4] for k in rng.integers(0, max(1, len(text)), n)]
+
+        def broken(window: str) -> str:
+            at = int(rng.integers(2, WINDOW))
+            return (window[:at] + STRAY[rng.integers(len(STRAY))] + window[at:])[: WINDOW + 4]
+
+        random_ones = [c for text in clean_ for c in cut(text, CLEAN_WINDOWS)]
+        negatives = random_ones + [broken(c) for c in random_ones[::2]]
+        z = whiten = None
+        for clear_of in CLEAR:
+            cold = [model.hottest(text)[0] for text in clean_]
+            least = float(np.quantile([v for v, _ in cold], clear_of))
+            clear = [(v, w) for text in toxic for v, w in model.hottest(text, HOT_WINDOWS) if v > least] or [max(model.hottest(text)[0] for text in toxic)]
+            negatives += [w for _, w in cold] + [broken(w) for _, w in cold]
+            positives = [w for _, w in clear] + [broken(w) for _, w in clear]
+            if z is None:
+                z, whiten = landmarks([w for _, w in sorted(clear, reverse=True)], [w for _, w in cold] + random_ones, rng)
             texts = positives + negatives
             y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-            cost = np.where(y > 0, 10.0 / max(1, len(positives)), 30.0 / max(1, len(negatives))) * 20
+            cost = np.where(y > 0, 10.0 / len(positives), 30.0 / len(negatives)) * 20
             w, model.bias = machine(kernel(texts, z) @ whiten, y, cost)
             model.weights = ((whiten @ w) @ z).astype(np.float32)
-            tops = [(model.hottest(text.lower()), toxic) for text, toxic in learn]
-            positives = positives[: len(bad)] + [t for t, toxic in tops if toxic and any(b in t for b in bad)]
-            negatives += [t for t, toxic in tops if not toxic]
-        found, y = np.vstack([model.evidence([t for t, _ in scale_on[k : k + 64]]) for k in range(0, len(scale_on), 64)]), np.array([toxic for _, toxic in scale_on], float)
+        found, y = np.vstack([model.evidence([t for t, _ in scale_on[k : k + 64]]) for k in range(0, len(scale_on), 64)]) if scale_on else np.zeros((0, 3)), np.array([toxic for _, toxic in scale_on], float)
         model.scale = logistic(found, y)
         return model
 
 
+def rate_of(texts: list[str]) -> np.ndarray:
+    """Smoothed rate of each subsequence in texts, by kernel weight."""
+    total = np.full(SYMBOLS**3, 0.5)
+    for text in texts:
+        _, keys, weights = features([f" {text} "])
+        total += np.bincount(keys, weights, SYMBOLS**3)
+    return total / total.sum()
+
+
+def landmarks(hot: list[str], other: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Features of distinct landmark windows, half of them from ``hot``, and the map that makes their kernel the identity."""
+    picked = list(dict.fromkeys(hot))
+    picked = [picked[k] for k in sorted(rng.permutation(len(picked))[: LANDMARKS // 2])]
+    rest = list(dict.fromkeys(other))
+    picked += [rest[k] for k in sorted(rng.permutation(len(rest))[: LANDMARKS // 2])]
+    z = dense(picked)
+    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    keep = values > 1e-6 * values.max()
+    return z, vectors[:, keep] / np.sqrt(values[keep])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> np.ndarray:
     ones = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(ones.shape[1])
@@ -225,8 +256,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
 def score_documents(docs: DataFrame, model: ToxicKernel, id_col: str = "doc_id", text_col: str = "text", *, spans: bool = False) -> DataFrame:
     """(doc_id, score, predicted[, hottest]) for every row, over whole texts.
 
-    Null or empty text has the score of a text without evidence. Repeated rows: each is returned. Empty
-    table: no rows. ``hottest`` is the stretch with the highest value.
+    Null or empty text has the score of a text without evidence. Null ids and repeated rows: each is returned; a score of just 0.5
+    predicts 1. Very long texts are scored whole. Other columns, of whatever name, are not read. Empty
+    table: no rows. ``hottest`` is the stretch with the highest value (ties: the first).
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -237,7 +269,7 @@ def score_documents(docs: DataFrame, model: ToxicKernel, id_col: str = "doc_id",
             scores = fitted.scores(texts)
             columns = [part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             if spans:
-                columns.append(pa.array([fitted.hottest(t or "") for t in texts], pa.string()))
+                columns.append(pa.array([fitted.hottest(t or "")[0][1] for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "hottest"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -49,7 +49,7 @@ def test_copies_stage_on_clear_pairs(spark):
 
 
 def test_recall_at_the_threshold(spark):
-    """Of pairs at an index of 0.8 to 0.87 at least three quarters are met (0.83 at 0.8 by the binomial law)."""
+    """Of pairs at an index of 0.8 to 0.87 at least 0.7 are met (0.78 at 0.8 by the binomial law)."""
     rng = random.Random(6)
     rows = []
     for k in range(150):
@@ -60,7 +60,7 @@ def test_recall_at_the_threshold(spark):
         assert 0.8 <= index_of({*shingle_set(" ".join(base))}, {*shingle_set(" ".join(copy))}) < 0.87
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
     kept = kept_of(spark, rows)
-    assert {2 * k for k in range(150)} <= set(kept) and len(kept) <= 150 + 37
+    assert {2 * k for k in range(150)} <= set(kept) and len(kept) <= 150 + 45
 
 
 def test_a_large_group_of_near_copies_is_one_class(spark):
@@ -85,7 +85,7 @@ def test_every_pair_within_two_bits_meets(spark):
         a = word()
         b = a ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32))
         rows += [(2 * k, 9, a, word()), (2 * k + 1, 9, b, word())]
-    met = {(r["a"], r["b"]) for r in ball_simhash.ball_pairs(spark.createDataFrame(rows, "node bigint, n int, f0 bigint, f1 bigint"), 2).collect()}
+    met = {(r["a"], r["b"]) for r in ball_simhash.ball_pairs(spark.createDataFrame(rows, "rid bigint, n int, f0 bigint, f1 bigint"), range(2)).collect()}
     assert {(2 * k, 2 * k + 1) for k in range(40)} <= met
 
 

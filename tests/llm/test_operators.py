@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -208,6 +209,8 @@ def test_language_scores_equal_definition():
         lang, score = model.predict(text)
         wanted = plain_backoff(rows, text)
         assert lang == wanted[0] and abs(score - wanted[1]) < 1e-4
+        few = [k for k in range(len(model.words.row)) if rng.random() < 0.2]
+        assert np.allclose(replace(model.words, whole=None).total(few), model.words.total(few), atol=1e-3)
 
 
 def test_words_keep_their_marks():
@@ -258,13 +261,51 @@ def test_toxicity_tolerates_gaps(toxic_model):
 
 
 def test_kernel_windows_equal_landmark_sums():
-    texts = ["abcdefghijklmn", " the insult st"]
+    texts = ["abcdefghij", " the insul", "insult   a"]
     z = string_kernel.dense([" insult ", " plain "])
     alpha = np.array([0.7, -0.2])
     model = string_kernel.ToxicKernel((alpha @ z).astype(np.float32), 0.0, np.zeros(4))
     direct = string_kernel.kernel(texts, z) @ alpha
+    assert abs(direct).max() > 1
     for text, value in zip(texts, direct, strict=True):
-        assert abs(model.windows(string_kernel.symbols(text))[:1][0] - value) < 0.35 + abs(value)
+        assert abs(model.windows(string_kernel.symbols(text))[0] - value) < 1e-4
+
+
+def plain_score(model, text):
+    """The score by its definition, symbol by symbol."""
+    from math import exp, log
+
+    x = string_kernel.symbols(f" {text or ''}" + " " * (string_kernel.WINDOW + 4)).tolist()
+    weight = lambda k: sum(string_kernel.DECAY**gap * float(model.weights[(x[k] << 10) | (x[k + i] << 5) | x[k + j]]) for i, j, gap in string_kernel.PATTERNS if k + j < len(x))
+    each = [weight(k) for k in range(len(x))]
+    values = [sum(each[k : k + string_kernel.WINDOW]) + model.bias for k in range(len(x))]
+    heat = sum(max(v, 0) for v in values)
+    evidence = [max(-5, min(5, max(values))) - 0.25 * log(len(x) / 1000), log(1 + heat), log(heat / (len(x) / 1000) + 0.05), 1]
+    return 1 / (1 + exp(-sum(a * b for a, b in zip(evidence, model.scale, strict=True))))
+
+
+def test_toxicity_scores_equal_definition(toxic_model):
+    for text in [None, "", "the and of", "you pathetic, worthless clown", "Ein Satz. " * 9]:
+        assert abs(toxic_model.scores([text])[0] - plain_score(toxic_model, text)) < 1e-3
+
+
+def test_toxicity_of_planted_insults(spark, toxic_model):
+    """One, two or four insults put into clean texts that the model never saw, whole and with a stray character inside."""
+    docs = spark.read.parquet(f"{TENTH}/documents.parquet").join(spark.read.parquet(f"{TENTH}/labels.parquet").filter("toxic = 0"), "doc_id")
+    held = docs.filter("crc32(cast(doc_id as string)) % 5 = 0 and lang = 'en' and length(text) between 200 and 6000").orderBy("doc_id").limit(200)
+    texts, rng = [r["text"] for r in held.collect()], random.Random(1)
+    insults = "pathetic idiot worthless disgusting stupid clown scum loser moron".split()
+
+    def planted(text, n, broken):
+        words = text.split(" ")
+        for _ in range(n):
+            word = rng.choice(insults)
+            at = rng.randrange(1, len(word))
+            words.insert(rng.randrange(len(words)), word[:at] + rng.choice("-*._") + word[at:] if broken else word)
+        return " ".join(words)
+
+    caught = {(n, broken): float((toxic_model.scores([planted(t, n, broken) for t in texts]) >= 0.5).mean()) for n in (0, 1, 2, 4) for broken in (False, True)}
+    assert caught[0, False] < 0.03 and caught[1, False] > 0.4 and caught[2, False] > 0.8 and caught[4, False] > 0.95 and caught[2, True] > 0.2 and caught[4, True] > 0.7, caught
 
 
 def test_skip_chain_consistency():
