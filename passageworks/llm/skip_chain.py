@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
-#: Hashed features of a token, rounds of message passing, and the least marginal that adds a span.
-SIZE, ROUNDS, SURE = 1 << 12, 8, 0.9
+PUNCTUATION = ".,;:!?()[]{}<>'\"|"
+#: Hashed features of a token, and the least marginal that adds a span.
+SIZE, SURE = 1 << 12, 0.9
+#: Messages are passed until none changes by more than SETTLED; damping makes that a few dozen rounds. ROUNDS ends a graph that swings for ever.
+SETTLED, ROUNDS = 1e-5, 2000
+#: Strings of the same form that are put into a teaching text with each repeat; two of them stand there twice.
+STRANGERS = 3
+#: Weight that holds a token inside a base span to its label.
+HELD = 30.0
 #: The fitting sample: about so many documents, each of at most so many code points.
 SAMPLE_DOCS, FIT_CHARS, FIT_TOKENS = 10_000, 20_000, 60_000
 
@@ -78,13 +86,17 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Graph:
-    """The tokens of one document that hold a digit or @, and the edges between them."""
+    """The tokens of one document that hold a digit or @, chain edges between them, and classes of like tokens.
+
+    Every class is a hub that each of its tokens has an edge (token, hub) to, so any two of them are two steps apart.
+    """
 
     starts: list[int]
     ends: list[int]
     features: list[list[int]]
     chain: np.ndarray
-    skip: np.ndarray
+    spokes: np.ndarray
+    hubs: int
 
     @property
     def size(self) -> int:
@@ -92,16 +104,22 @@ class Graph:
 
 
 def shape(token: str) -> str:
-    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]", "9", token[:40])))
+    return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]", "9", token)))
 
 
-def graph(text: str) -> Graph:
-    """Chain edges join neighbours in the text; skip edges join each token to the last one of equal or similar form.
+def likenesses(token: str, digits: str) -> set[str]:
+    """What equal or similar tokens share: letters and digits; all digits, and the last seven; what stands before an @."""
+    bare = re.sub(r"\W", "", token.lower())
+    found = {f"w{bare}", f"l{token.partition('@')[0].strip(PUNCTUATION).lower()}"} if bare else set()
+    if len(digits) >= 7:
+        found |= {f"d{digits}", f"e{digits[-7:]}"}
+    return found
 
-    Similar: the same digits in the same order (seven or more), or the same letters and digits.
-    """
-    starts, ends, feats, chain, skip = [], [], [], [], []
-    last: dict[str, int] = {}
+
+def graph(text: str) -> Graph:
+    """Chain edges join neighbours in the text; hubs join all tokens of equal or similar form, however far apart. Tokens are read whole."""
+    starts, ends, feats, chain = [], [], [], []
+    classes: dict[int, list[int]] = {}
     before, past = "", -1
     for m in TOKEN.finditer(text):
         token = m[0]
@@ -109,21 +127,21 @@ def graph(text: str) -> Graph:
             before = token
             continue
         k = len(starts)
-        digits = "".join(c for c in token[:200] if "0" <= c <= "9")
-        names = [f"s{shape(token)}", f"d{min(len(digits), 20)}", f"n{min(len(token), 24)}", f"p{token[0] if not token[0].isalnum() else 'w'}", f"b{shape(before)[-6:]}"]
-        names += [f"h{c}" for c in "@.-()+:/=" if c in token] + [f"t{token.count('.')}"]
+        digits = "".join(c for c in token if "0" <= c <= "9")
+        names = [f"s{shape(token)}", f"d{min(len(digits), 20)}", f"n{min(len(token), 24)}", f"p{token[0] if not token[0].isalnum() else 'w'}", f"b{shape(before)}"]
+        names += [f"h{c}" for c in "@.-()+:/=" if c in token] + [f"t{min(token.count('.'), 9)}"]
         names += ["valid"] if 12 <= len(digits) <= 19 and luhn(digits) else []
         starts.append(m.start())
         ends.append(m.end())
         feats.append(sorted({zlib.crc32(n.encode()) % SIZE for n in names}))
         if k and past == k - 1 and before == "":
             chain.append((k - 1, k))
-        for key in {("d" + digits) if len(digits) >= 7 else "", "w" + re.sub(r"\W", "", token.lower())[:80]} - {"", "w"}:
-            if key in last:
-                skip.append((last[key], k))
-            last[key] = k
+        for key in likenesses(token, digits):
+            classes.setdefault(xxhash.xxh64_intdigest(key), []).append(k)
         before, past = "", k
-    return Graph(starts, ends, feats, np.array(chain, np.int64).reshape(-1, 2), np.array(sorted(set(skip)), np.int64).reshape(-1, 2))
+    kept = sorted({tuple(c) for c in classes.values() if len(c) > 1})
+    spokes = [(k, hub) for hub, members in enumerate(kept) for k in members]
+    return Graph(starts, ends, feats, np.array(chain, np.int64).reshape(-1, 2), np.array(spokes, np.int64).reshape(-1, 2), len(kept))
 
 
 def labels_of(g: Graph, spans: list[Span]) -> np.ndarray:
@@ -137,20 +155,80 @@ def labels_of(g: Graph, spans: list[Span]) -> np.ndarray:
     return out
 
 
+def common(labels: np.ndarray) -> int:
+    """The most frequent kind among labels, 0 if none has one; of equal ones the first."""
+    kinds = np.bincount(labels, minlength=LABELS)[1:]
+    return int(kinds.argmax()) + 1 if kinds.any() else OTHER
+
+
+def hub_labels(g: Graph, known: np.ndarray) -> list[int]:
+    kinds = np.zeros((g.hubs, LABELS), np.int64)
+    np.add.at(kinds, (g.spokes[:, 1], known[g.spokes[:, 0]]), 1)
+    kinds = kinds[:, 1:]
+    return np.where(kinds.any(axis=1), kinds.argmax(axis=1) + 1, OTHER).tolist()
+
+
+def repeat_of(span: str, kind: int, rng: np.random.Generator) -> str | None:
+    """A clear mention as it is repeated in passing: the name before the @, digits with other marks or none, a phone number's last part."""
+    digits = re.sub(r"[^0-9]", "", span)
+    if KINDS[kind] == "email":
+        name = span.partition("@")[0]
+        return name if MARKED.search(name) else None
+    if KINDS[kind] == "phone":
+        return [digits, f"{digits[-7:-4]}-{digits[-4:]}"][rng.integers(2)] if len(digits) >= 9 else None
+    mark = "-" if KINDS[kind] == "ip" else ":"
+    size = 3 if KINDS[kind] == "ip" else 4
+    return mark.join(digits[k : k + size] for k in range(0, len(digits), size))
+
+
+def other_than(word: str, rng: np.random.Generator) -> str:
+    """A string of the same form with letters and digits of its own."""
+    return "".join(str(rng.integers(10)) if c.isdigit() else chr(97 + rng.integers(26)) if c.isalpha() else c for c in word)
+
+
+def taught(text: str, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with repeats and strangers put between its words, and the repeats' spans."""
+    base = base_spans(text)
+    put: list[tuple[int, str, int]] = []
+    gaps = [m.start() for m in re.finditer(" ", text) if not any(s < m.start() < e for s, _, e in base)]
+    for start, kind, end in base:
+        word = repeat_of(text[start:end], kind, rng) if gaps else None
+        if word and not base_spans(word):
+            strangers = [other_than(word, rng) for _ in range(STRANGERS)]
+            put += [(gaps[rng.integers(len(gaps))], word, kind), *((gaps[rng.integers(len(gaps))], w, -1) for w in strangers + strangers[:2])]
+    out, at, spans, size = [], 0, [], 0
+    for gap, word, kind in sorted(put):
+        out += [text[at:gap], " ", word]
+        size += gap - at + 1 + len(word)
+        if kind >= 0:
+            spans.append((size - len(word), kind, size))
+        at = gap
+    return "".join(out) + text[at:], spans
+
+
 @dataclass
 class SkipChain:
-    """Weights of token features, of neighbouring labels, and of the labels of linked tokens."""
+    """Weights of token features, of neighbouring labels, and of the label of a hub and that of its token."""
 
     token: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product message passing over chain and skip edges."""
-        local = np.stack([self.token[:, f].sum(axis=1) for f in g.features])
-        edges = np.concatenate([g.chain, g.skip])
+    def marginals(self, g: Graph, known: np.ndarray) -> np.ndarray:
+        """Label probabilities of the tokens by loopy sum-product over chain and hub edges.
+
+        Tokens with a ``known`` label are held to it, and so are hubs of classes with such a token.
+        """
+        local = np.zeros((g.size + g.hubs, LABELS))
+        local[: g.size] = np.stack([self.token[:, f].sum(axis=1) for f in g.features])
+        held = np.flatnonzero(known)
+        local[held] = 0
+        local[held, known[held]] = HELD
+        for hub, label in enumerate(hub_labels(g, known)):
+            local[g.size + hub, label] = HELD * (label > 0)
+        edges = np.concatenate([g.chain, np.stack([g.spokes[:, 1] + g.size, g.spokes[:, 0]], axis=1)])
         if len(edges):
-            ahead = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+            ahead = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.spokes), 0)])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             pair = np.concatenate([ahead, ahead.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -161,45 +239,56 @@ class SkipChain:
                 out = (belief[source] - message[back])[:, :, None] + pair
                 top = out.max(axis=1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-                message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+                new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+                change, message = abs(new - message).max(), new
+                if change < SETTLED:
+                    break
             np.add.at(local, target, message)
+        local = local[: g.size]
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
     @classmethod
     def fit(cls, texts: list[str], epochs: int = 6, rate: float = 0.3, seed: int = 3) -> SkipChain:
-        """Pseudo-likelihood steps on the base spans as distant labels.
+        """Pseudo-likelihood steps on tokens outside base spans, whose labels are distant ones.
 
-        A third of each token's features is left out at each step, so that the shape, the context and the
-        linked tokens learn to carry what a base pattern's own mark would say alone.
+        Base spans are the clear mentions. Each text is taught with bare repeats of some of its mentions, written in a way
+        that no base pattern finds (they have the mention's label), and STRANGERS strings of the same form with characters of their own
+        for each (they have none), put at random places. So form alone decides nothing and the links learn to carry the label.
         """
         rng = np.random.default_rng(seed)
         model = cls(np.zeros((LABELS, SIZE)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
         held = [np.full_like(x, 1e-2) for x in (model.token, model.chain, model.skip)]
-        graphs, seen = [], 0
+        cases, seen = [], 0
         for text in texts:
+            if seen >= FIT_TOKENS:
+                break
+            text, repeats = taught(text, rng)
             g = graph(text)
-            if g.size and seen < FIT_TOKENS:
-                graphs.append((g, labels_of(g, base_spans(text))))
+            if g.size:
+                base = base_spans(text)
+                known, y = labels_of(g, base), labels_of(g, repeats)
+                y[known > 0] = known[known > 0]
+                cases.append((g, y, np.flatnonzero(known == 0)))
                 seen += g.size
         for _ in range(epochs):
-            for at in rng.permutation(len(graphs)):
-                g, y = graphs[at]
-                for i in rng.permutation(g.size):
-                    feats = [f for f in g.features[i] if rng.random() > 0.33]
+            for at in rng.permutation(len(cases)):
+                g, y, free = cases[at]
+                members = [g.spokes[g.spokes[:, 1] == hub, 0] for hub in range(g.hubs)]
+                for i in rng.permutation(free):
+                    feats = g.features[i]
                     left, right = g.chain[g.chain[:, 1] == i, 0], g.chain[g.chain[:, 0] == i, 1]
-                    near = np.concatenate([g.skip[g.skip[:, 1] == i, 0], g.skip[g.skip[:, 0] == i, 1]])
-                    z = model.token[:, feats].sum(axis=1) + model.chain[y[left]].sum(axis=0) + model.chain[:, y[right]].sum(axis=1) + model.skip[y[near]].sum(axis=0)
+                    near = [common(y[members[hub][members[hub] != i]]) for hub in g.spokes[g.spokes[:, 0] == i, 1]]
+                    z = model.token[:, feats].sum(axis=1) + model.chain[y[left]].sum(axis=0) + model.chain[:, y[right]].sum(axis=1) + model.skip[near].sum(axis=0)
                     step = -np.exp(z - z.max())
                     step /= -step.sum()
                     step[y[i]] += 1
                     if abs(step).max() < 1e-3:
                         continue
-                    for table, total, where in [(model.token, held[0], (slice(None), feats)), *((model.chain, held[1], (y[j], slice(None))) for j in left), *((model.chain, held[1], (slice(None), y[j])) for j in right), *((model.skip, held[2], (y[j], slice(None))) for j in near)]:
+                    for table, total, where in [(model.token, held[0], (slice(None), feats)), *((model.chain, held[1], (y[j], slice(None))) for j in left), *((model.chain, held[1], (slice(None), y[j])) for j in right), *((model.skip, held[2], (label, slice(None))) for label in near)]:
                         gradient = step[:, None] if table is model.token else step
                         total[where] += gradient**2
                         table[where] += rate * gradient / np.sqrt(total[where])
-        model.skip = (model.skip + model.skip.T) / 2
         return model
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
@@ -207,15 +296,17 @@ class SkipChain:
         g = graph(text)
         if not g.size:
             return []
-        taken = labels_of(g, base) > 0
-        p = self.marginals(g)
-        label = np.where((p.max(axis=1) >= SURE) & ~taken, p.argmax(axis=1), OTHER)
+        known = labels_of(g, base)
+        p = self.marginals(g, known)
+        label = np.where((p.max(axis=1) >= SURE) & (known == 0), p.argmax(axis=1), OTHER)
         joined = {int(b) for _, b in g.chain}
         out: list[Span] = []
         for i in np.flatnonzero(label):
             start, end = g.starts[i], g.ends[i]
             while end - start > 1 and not text[end - 1].isalnum():
                 end -= 1
+            while end - start > 1 and text[start] in PUNCTUATION:
+                start += 1
             if out and int(i) in joined and label[i - 1] == label[i]:
                 out[-1] = (out[-1][0], out[-1][1], end)
             else:
@@ -239,8 +330,9 @@ def scan(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", text_col: st
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found) for every row, over whole texts.
 
     The counts and the digest are of base spans. The field adds spans (``crf_`` and the kind) over tokens
-    that no base span touches and that its marginals are sure of. Offsets are code points, end exclusive.
-    Null text counts as empty: no spans. Repeated rows: each is returned. Empty table: no rows.
+    that no base span touches and that its marginals are sure of: repeats of a clear mention anywhere in the document. Offsets are
+    code points, end exclusive; spans are ordered by start, then kind. Null text counts as empty: no spans. Null ids and repeated rows:
+    each is returned. Very long texts are read whole. Other columns, of whatever name, are not read. Empty table: no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -308,14 +308,52 @@ def test_toxicity_of_planted_insults(spark, toxic_model):
     assert caught[0, False] < 0.03 and caught[1, False] > 0.4 and caught[2, False] > 0.8 and caught[4, False] > 0.95 and caught[2, True] > 0.2 and caught[4, True] > 0.7, caught
 
 
-def test_skip_chain_consistency():
-    """A repeated number takes the label that its clear mention has."""
-    lines = [f"call +1 (555) 55{k % 10}-{1000 + k} or 55{k % 10}-{1000 + k} and item {k} of {k + 3}" for k in range(200)]
-    field = skip_chain.SkipChain.fit(lines)
-    text = "call +1 (555) 123-4567 now"
-    assert not field.added(text, skip_chain.base_spans(text))
-    base = skip_chain.base_spans(lines[7])
-    assert len(base) == 1 and all(s[1] >= 4 for s in field.added(lines[7], base))
+@pytest.fixture(scope="module")
+def field(spark):
+    docs = spark.read.parquet(f"{TENTH}/documents.parquet")
+    return skip_chain.fit_documents(docs.filter("crc32(cast(doc_id as string)) % 5 <> 0"))
+
+
+def test_skip_chain_adds_repeats_of_clear_mentions(spark, field):
+    """On texts that the field never saw: bare repeats of their mentions are added, strings of the same form are not."""
+    held = spark.read.parquet(f"{TENTH}/documents.parquet").filter("crc32(cast(doc_id as string)) % 5 = 0 and text rlike '[0-9@]'").orderBy("doc_id").collect()
+    rng = np.random.default_rng(11)
+    wanted = added = right = 0
+    for row in held:
+        text, repeats = skip_chain.taught(row["text"], rng)
+        base = skip_chain.base_spans(text)
+        repeats = {(s, k + 4, e) for s, k, e in repeats if not any(a < e and s < b for a, _, b in base)}
+        found = set(field.added(text, base))
+        wanted, added, right = wanted + len(repeats), added + len(found), right + len(found & repeats)
+    assert wanted > 80 and right >= 0.9 * wanted and right >= 0.95 * added, (wanted, added, right)
+
+
+def test_skip_chain_reaches_across_the_document(field):
+    """A repeat after thousands of words and other mentions takes its label, a number without a clear mention does not."""
+    text = "call +1 (559) 555-3817 now " + "word 555-0000 here " * 3000 + "or 555-3817 and 555-9911, write jo.81@mail7.example.com or jo.81 but not al.42"
+    base = skip_chain.base_spans(text)
+    found = {text[s:e] for s, _, e in field.added(text, base)}
+    assert found == {"555-3817", "jo.81"}
+    assert not field.added("nothing but 555-3817 and jo.81 here", [])
+    long = "9" * 90
+    assert skip_chain.graph(f"{long}1 {long}2").hubs == 0 and skip_chain.graph(f"{long}1 x {long}1").hubs == 1
+
+
+def test_skip_chain_marginals_equal_enumeration():
+    """On a graph without loops message passing is exact: against the sum over all labellings."""
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    model = skip_chain.SkipChain(rng.normal(size=(5, skip_chain.SIZE)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    g = skip_chain.Graph([0, 2, 4, 6], [1, 3, 5, 7], [[1], [2, 3], [4], [5]], np.array([(0, 1)]), np.array([(1, 0), (2, 0), (3, 0)]), 1)
+    for known in (np.array([0, 0, 3, 0]), np.zeros(4, int)):
+        p = np.zeros((4, 5))
+        for *y, hub in product(range(5), repeat=5):
+            if not known[2] or (y[2] == 3 and hub == 3):
+                z = sum(model.token[y[i], f] for i in range(4) if not known[i] for f in g.features[i]) + model.chain[y[0], y[1]] + sum(model.skip[hub, y[i]] for i in (1, 2, 3))
+                for i in range(4):
+                    p[i, y[i]] += np.exp(z)
+        assert np.allclose(model.marginals(g, known), p / p.sum(axis=1, keepdims=True), atol=1e-3)
 
 
 def test_base_spans_on_hard_text():
