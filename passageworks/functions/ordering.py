@@ -18,20 +18,26 @@ def buckets(df: DataFrame, key: str, parts: int) -> Column:
     return F.when(F.col(key).isNull(), F.lit(0).cast("bigint")).otherwise(found)
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str, sample: DataFrame | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, keys: list[str], name: str, sample: DataFrame | None = None, salt: str | None = None) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in the order of ``keys``, the first of which is a whole number.
 
     Rows are ranked inside quantile buckets of the first key; the counts of the buckets, one number
     for each, place them. Rows of one first key stay together. ``sample`` has the first key's values where they
-    are cheaper to read than the rows themselves.
+    are cheaper to read than the rows themselves. With ``salt`` each of that column's values is numbered alone; its values in
+    a bucket, and so the counts, are assumed few.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [salt] if salt else []
     dealt = df.withColumn("_bucket", buckets(df if sample is None else sample, keys[0], parts))
-    sizes = sorted((r["_bucket"], r["count"]) for r in dealt.groupBy("_bucket").count().collect())
-    starts, total = [], 0
-    for bucket, size in sizes:
-        starts.append((bucket, total))
-        total += size
-    before = df.sparkSession.createDataFrame(starts, "_bucket bigint, _start bigint")
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+    order = Window.partitionBy(*own).orderBy("_bucket") if own else None
+    if own:
+        sizes = dealt.groupBy(*own, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+        before = sizes.withColumn("_start", F.sum("_c").over(order) - F.col("_c")).drop("_c")
+    else:
+        starts, total = [], 0
+        for bucket, size in sorted((r["_bucket"], r["count"]) for r in dealt.groupBy("_bucket").count().collect()):
+            starts.append((bucket, total))
+            total += size
+        before = df.sparkSession.createDataFrame(starts, "_bucket bigint, _start bigint")
+    place = F.row_number().over(Window.partitionBy(*own, "_bucket").orderBy(*keys)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(before), [*own, "_bucket"]).withColumn(name, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")

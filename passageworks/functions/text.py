@@ -65,7 +65,7 @@ def squash(name: Column) -> Column:
     bare = F.regexp_replace(low, r"[^\p{IsAlphabetic}\p{IsDigit}]", "")
     out = bare
     for spelled, digit in reversed((("iii", "3"), ("ii", "2"), ("i", "1"), ("first", "1"), ("second", "2"), ("third", "3"))):
-        out = F.when(low.startswith(f"{spelled} "), F.concat(F.lit(digit), F.substring(bare, len(spelled) + 1, 10_000))).otherwise(out)
+        out = F.when(low.startswith(f"{spelled} "), F.concat(F.lit(digit), F.substr(bare, F.lit(len(spelled) + 1)))).otherwise(out)
     return out
 
 

@@ -21,3 +21,10 @@ def ranks(results: DataFrame, answers: DataFrame) -> DataFrame:
 def rates(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     """(judged, n, top1, top3) of each set of judged queries; ``sets`` is (qid, judged)."""
     return ranked.join(F.broadcast(sets), "qid").groupBy("judged").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank") <= 3).alias("top3"))
+
+
+def timed(rates_: DataFrame, seconds: dict[int, float], sets: DataFrame) -> DataFrame:
+    """``rates`` with the worst time of a query of each set; ``seconds`` has the time of each query id that was asked alone."""
+    spark = rates_.sparkSession
+    worst = spark.createDataFrame(list(seconds.items()), "qid int, seconds double").join(F.broadcast(sets), "qid").groupBy("judged").agg(F.max("seconds").alias("worst"))
+    return rates_.join(worst, "judged", "left")

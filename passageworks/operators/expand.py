@@ -82,6 +82,8 @@ def expand(terms: DataFrame, index: IndexTables) -> DataFrame:
     return ranked.filter("_k = 1").select("qid", "term_no", "kind", "target", "weight", "why", "ord")
 
 
-def notes(terms: DataFrame, index: IndexTables) -> DataFrame:
-    """(qid, term_no, note): the first repair of each misspelled term, as ``typed → word``."""
-    return distances(terms, index.vocab).groupBy("qid", "term_no", "asked").agg(F.min(F.struct("d", -F.col("n"), "norm")).alias("best")).select("qid", "term_no", F.concat_ws(" → ", "asked", "best.norm").alias("note"))
+def notes(terms: DataFrame, expansions: DataFrame, index: IndexTables) -> DataFrame:
+    """(qid, term_no, note): the first repair of each term that only repairs match, as ``typed → word``."""
+    lost = terms.join(F.broadcast(expansions.filter("why = 'typo'").select("qid", "term_no").distinct()), ["qid", "term_no"], "left_semi")
+    best = distances(lost, index.vocab).groupBy("qid", "term_no", "asked").agg(F.min(F.struct("d", -F.col("n"), "norm")).alias("best"))
+    return best.select("qid", "term_no", F.concat_ws(" → ", "asked", "best.norm").alias("note"))

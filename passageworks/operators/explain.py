@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passageworks.functions.text import WORD, words
 from passageworks.operators.search import SearchResult
 
 CODE_FACTOR, REASONS = 0.99, 4
@@ -68,9 +69,24 @@ def explain(found: SearchResult, limit: int = 40) -> DataFrame:
     return reasons(marked.join(firsts, ["qid", "passage_id"]), found.index.lexicon, ("qid", "first"))
 
 
-def segments(tokens: DataFrame, marked: DataFrame, passages: DataFrame) -> DataFrame:
-    """(qid, passage_id, segments): each word with the text before it, flags, codes, and how it matched."""
-    joined = tokens.join(marked.select("qid", "passage_id", "pos", "why", "term_no"), ["qid", "passage_id", "pos"], "left").join(passages.select("passage_id", "text"), "passage_id")
-    before = F.coalesce(F.lag("end").over(Window.partitionBy("qid", "passage_id").orderBy("pos")), F.lit(0))
-    cut = joined.withColumn("gap", F.substring(F.col("text"), before + 1, F.col("start") - before))
-    return cut.groupBy("qid", "passage_id").agg(F.array_sort(F.collect_list(F.struct("pos", "gap", F.col("surface").alias("word"), "flags", "codes", "why", "term_no"))).alias("segments"))
+def segments(passages: DataFrame, marked: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(qid, passage_id, segments, tail): each word with the text before it, flags, codes, and how it matched; tail follows the last word.
+
+    ``passages`` has qid, passage_id and text; words and gaps are cut from the text, so any index will do. Flags and codes come from ``tokens``.
+    """
+    keys = ["qid", "passage_id"]
+    how = marked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("why", "term_no")))).alias("_how"))
+    cut = passages.select(*keys, words(F.col("text")).alias("_w"), F.split("text", WORD, -1).alias("_g")).join(how, keys, "left")
+    tagged = F.lit(None).cast("map<int,struct<flags:tinyint,codes:array<string>>>")
+    if tokens is not None:
+        own = tokens.join(passages.select("passage_id").distinct(), "passage_id", "left_semi").groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("flags", "codes")))).alias("_tags"))
+        cut, tagged = cut.join(own, "passage_id", "left"), F.col("_tags")
+
+    def segment(word: Column, pos: Column) -> Column:
+        tag, mark = F.try_element_at(tagged, pos), F.try_element_at(F.col("_how"), pos)
+        return F.struct(
+            pos.alias("pos"), F.get("_g", pos).alias("gap"), word.alias("word"), F.coalesce(tag["flags"], F.lit(0).cast("tinyint")).alias("flags"),
+            F.coalesce(tag["codes"], F.array().cast("array<string>")).alias("codes"), mark["why"].alias("why"), mark["term_no"].alias("term_no"),
+        )
+
+    return cut.select(*keys, F.transform("_w", segment).alias("segments"), F.get("_g", F.size("_w")).alias("tail"))

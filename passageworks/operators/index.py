@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passageworks.functions.durable import durable
+from passageworks.functions.durable import bounded, durable
 from passageworks.functions.text import is_stop, normalize, stem, words
 
 ITALIC, RED = 1, 2
@@ -41,6 +42,24 @@ def lengths(passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", "coll", "grp", "num", F.size(words(F.col("text"))).alias("dl"))
 
 
+def corpus_size(lengths: DataFrame) -> tuple[int, float]:
+    """(passages, mean words of a passage); passages without words count."""
+    row = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).first()
+    return row["n"], (row["words"] or 0) / max(1, row["n"]) or 1.0
+
+
+def forms_of(tokens: DataFrame, stems_: list[str]) -> DataFrame:
+    """(norm, stem) of the distinct words whose stem is one of a few: each is stemmed once, and they are few enough to send."""
+    return bounded(tokens.select("norm").distinct().withColumn("stem", stem(F.col("norm"))).filter(F.col("stem").isin(stems_)))
+
+
+def postings_of(tokens: DataFrame, stems_: list[str]) -> DataFrame:
+    """Postings of a few stems alone: other words go before anything is shuffled."""
+    kept = tokens.select("passage_id", "norm").join(F.broadcast(forms_of(tokens, stems_)), "norm")
+    summed = kept.groupBy("passage_id", "stem").agg(F.count(F.lit(1)).alias("n"))
+    return summed.select(F.lit("stem").alias("kind"), F.col("stem").alias("target"), "passage_id", F.least("n", F.lit(TF_MOST)).cast("int").alias("tf"))
+
+
 def stem_postings(tokens: DataFrame) -> DataFrame:
     """(kind, target, passage_id, tf): occurrences of each stem, at most TF_MOST.
 
@@ -158,7 +177,7 @@ class IndexTables:
         for f in fields(self):
             df = getattr(self, f.name)
             if f.name == "postings":
-                df = df.repartitionByRange("kind", "target").sortWithinPartitions("kind", "target", "passage_id")
+                df = by_target(df)
             df.write.mode("overwrite").parquet(f"{path}/{f.name}")
 
     def stored(self) -> IndexTables:
@@ -167,11 +186,20 @@ class IndexTables:
         with ThreadPoolExecutor(4) as pool:
             return replace(self, **dict(zip(open_, pool.map(lambda name: durable(getattr(self, name)), open_), strict=True)))
 
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """(passages, mean words of a passage), counted once."""
+        return corpus_size(self.lengths)
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> IndexTables:
         return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)})
 
 
+def by_target(postings: DataFrame) -> DataFrame:
+    return postings.repartitionByRange("target").sortWithinPartitions("target", "passage_id")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -190,7 +218,7 @@ def build(passages: DataFrame, *, tokens: DataFrame | None = None, lexicon: Data
     postings = stem_postings(plain)
     if tokens is not None:
         postings = postings.union(code_postings(plain))
-    vocab, postings = durable(vocab), durable(postings)
+    vocab, postings = durable(vocab), durable(by_target(postings))
     lexicon = lexicon if lexicon is not None else empty(spark, LEXICON)
     sources = synonym_sources if synonym_sources is not None else empty(spark, "key string, word string, weight int")
     names = passages.select("coll").distinct().select("coll", F.col("coll").cast("string").alias("code"), F.col("coll").cast("string").alias("name"), F.col("coll").cast("string").alias("short"), F.array().cast("array<string>").alias("aliases"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +21,20 @@ def weights(passages: DataFrame) -> DataFrame:
 
 
 def split(items: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
-    """Boxes in order: halve where the running weight is nearest to half, across the longer side, and go on inside."""
+    """Boxes in order: halve where the running weight is nearest to half (of two as near the later), across the longer side, and go on inside."""
     out: list[tuple[float, float, float, float]] = [(x, y, w, h)] * len(items)
     todo = [(0, len(items), x, y, w, h)] if items else []
-    sums = [0.0]
-    for item in items:
-        sums.append(sums[-1] + item)
+    sums = [0.0, *accumulate(items)]
     while todo:
         a, b, x, y, w, h = todo.pop()
         if b - a == 1:
             out[a] = (x, y, w, h)
             continue
         whole = sums[b] - sums[a]
-        cut = min(range(a + 1, b), key=lambda k: (abs(sums[k] - sums[a] - whole / 2), k))
+        half = sums[a] + whole / 2
+        cut = bisect_left(sums, half, a + 1, b)
+        cut -= cut > a + 1 and half - sums[cut - 1] < sums[cut] - half
+        cut = min(cut, b - 1)
         part = (sums[cut] - sums[a]) / whole if whole else 0.5
         if w >= h:
             todo += [(a, cut, x, y, w * part, h), (cut, b, x + w * part, y, w * (1 - part), h)]
@@ -38,13 +43,19 @@ def split(items: list[float], x: float, y: float, w: float, h: float) -> list[tu
     return out
 
 
-def boxes(children: DataFrame, keys: list[str], order: str, schema: str) -> DataFrame:
+def stacked(items: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
+    """Boxes one below the other, as high as their part of the weight."""
+    sums = [0.0, *accumulate(items)]
+    return [(x, y + h * a / sums[-1], w, h * (b - a) / sums[-1]) for a, b in zip(sums, sums[1:], strict=False)]
+
+
+def boxes(children: DataFrame, keys: list[str], order: str, schema: str, cut: Callable[..., list[tuple[float, float, float, float]]] = split) -> DataFrame:
     """Lay out the children of each parent in the parent's box (px, py, pw, ph); one parent's children at a time."""
     names = [part.split()[0] for part in schema.split(", ")][:-4]
 
     def place(rows: list[dict]) -> list[tuple]:
         box = rows[0]
-        found = split([r["weight"] for r in rows], box["px"], box["py"], box["pw"], box["ph"])
+        found = cut([r["weight"] for r in rows], box["px"], box["py"], box["pw"], box["ph"])
         return [(*(r[n] for n in names), *b) for r, b in zip(rows, found, strict=True)]
 
     return each_key(children, keys, [order], place, schema)
@@ -55,10 +66,10 @@ def within_parent(children: DataFrame, parents: DataFrame, keys: list[str]) -> D
 
 
 def treemap(passages: DataFrame, aspect: float = 1.0, sections: DataFrame | None = None) -> DataFrame:
-    """(level, coll, grp, passage_id, x, y, w, h) for sections, collections, groups and passages; empty input: no rows.
+    """(level, coll, grp, passage_id, x, y, w, h) for collections, groups and passages; empty input: no rows.
 
-    ``sections`` (coll, testament, section) groups collections at two upper levels; without it all
-    collections lie in one. The aspect is clamped to 0.5 to 3.
+    ``sections`` (coll, testament, section) groups collections at two upper levels, which have no rows of their own: testaments lie
+    one below the other, sections are split like the rest. Without it all collections lie in one. The aspect is clamped to 0.5 to 3.
     """
     wide = min(3.0, max(0.5, aspect))
     kind, grp_kind = dict(passages.dtypes)["coll"], dict(passages.dtypes)["grp"]
@@ -70,7 +81,7 @@ def treemap(passages: DataFrame, aspect: float = 1.0, sections: DataFrame | None
     section = coll.groupBy("testament", "section").agg(F.sum("weight").alias("weight"), F.min("at").alias("at"))
     testament = section.groupBy("testament").agg(F.sum("weight").alias("weight"), F.min("at").alias("at")).withColumns({"root": F.lit(0), "px": F.lit(0.0), "py": F.lit(0.0), "pw": F.lit(wide), "ph": F.lit(1.0)})
     xy = "x double, y double, w double, h double"
-    t = boxes(testament, ["root"], "at", f"testament int, {xy}")
+    t = boxes(testament, ["root"], "at", f"testament int, {xy}", stacked)
     s = boxes(within_parent(section, t, ["testament"]), ["testament"], "at", f"testament int, section int, {xy}")
     c = boxes(within_parent(coll, s, ["testament", "section"]), ["testament", "section"], "at", f"coll {kind}, {xy}")
     g = boxes(within_parent(group, c, ["coll"]), ["coll"], "at", f"coll {kind}, grp {grp_kind}, {xy}")

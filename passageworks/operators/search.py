@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from passageworks.functions.durable import bounded, durable
 from passageworks.functions.keyed import each_key
-from passageworks.functions.text import flatten, normalize, stem
-from passageworks.operators.expand import SCORED_TERMS, described, expand
-from passageworks.operators.index import IndexTables
+from passageworks.functions.text import flatten, normalize, stem, words
+from passageworks.operators.expand import SCORED_TERMS, described, expand, notes
+from passageworks.operators.index import IndexTables, corpus_size
 from passageworks.plans.query import QueryParser, QueryTables, tables
 
 K1, B = 1.2, 0.5
@@ -20,6 +20,8 @@ COVERAGE, STOP_WEIGHT = 1.5, 0.3
 CLOSE, ORDER_BONUS = 300, 0.6
 MOST_SPAN, SPAN_COST = 4, 0.8
 HEAT, HEAT_POWER = 254.0, 0.7
+#: Values of a batch that are pushed into a scan as a filter.
+PUSHED = 20_000
 #: Digits of a score that order results: sums of doubles differ in the last places from plan to plan.
 ORDER_DIGITS = 9
 
@@ -32,21 +34,24 @@ def bm25(weight: Column, idf_: Column, tf: Column, dl: Column, average: Column)
     return weight * idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
-def corpus_size(lengths: DataFrame) -> tuple[int, float]:
-    """(passages, mean words of a passage); passages without words count."""
-    row = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words")).first()
-    return row["n"], (row["words"] or 0) / max(1, row["n"]) or 1.0
+def pushed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose column is one of the values of ``wanted``'s, which the batch bounds: as a filter that the scan takes up to PUSHED values, else by join."""
+    values = sorted({r[0] for r in wanted.select(column).distinct().collect()})
+    if len(values) <= PUSHED:
+        return rows.filter(F.col(column).isin(values))
+    return rows.join(F.broadcast(wanted.select(column).distinct()), column, "left_semi")
 
 
 def term_scores(expansions: DataFrame, index: IndexTables) -> DataFrame:
     """(qid, passage_id, term_no, score, literal): the best way each term matches each passage.
 
-    The expansions of the batch are broadcast to one scan of the postings.
+    The targets of the batch are filters of the scans of frequencies and postings, which are written in order of target, so only
+    row groups that hold one are read; the expansions are then broadcast.
     """
-    n, average = corpus_size(index.lengths)
+    n, average = index.size
     e = expansions.filter(F.col("term_no") < SCORED_TERMS)
-    weighed = e.join(index.frequencies.join(F.broadcast(e.select("kind", "target").distinct()), ["kind", "target"], "left_semi"), ["kind", "target"]).withColumn("idf", idf(F.lit(n), F.col("df")))
-    met = index.postings.join(F.broadcast(weighed.select("qid", "term_no", "kind", "target", "weight", "why", "idf")), ["kind", "target"])
+    weighed = e.join(F.broadcast(pushed(index.frequencies, "target", e)), ["kind", "target"]).withColumn("idf", idf(F.lit(n), F.col("df")))
+    met = pushed(index.postings, "target", e).join(F.broadcast(weighed.select("qid", "term_no", "kind", "target", "weight", "why", "idf")), ["kind", "target"])
     scored = met.join(index.lengths.select("passage_id", "dl"), "passage_id").withColumn("score", bm25(F.col("weight"), F.col("idf"), F.col("tf"), F.col("dl"), F.lit(average)))
     return scored.filter("score > 0").groupBy("qid", "passage_id", "term_no").agg(F.max("score").alias("score"), F.max(F.col("why") == "exact").alias("literal"))
 
@@ -81,7 +86,7 @@ def query_shape(queries: DataFrame, terms: DataFrame) -> DataFrame:
 def excluded_passages(excluded: DataFrame, postings: DataFrame) -> DataFrame:
     """(qid, passage_id) of passages that hold an excluded stem or code; unknown words exclude nothing."""
     named = excluded.select("qid", F.when(F.col("code").isNotNull(), "code").otherwise("stem").alias("kind"), F.coalesce("code", stem(normalize(F.col("word")))).alias("target")).distinct()
-    return postings.join(F.broadcast(named), ["kind", "target"]).select("qid", "passage_id").distinct()
+    return pushed(postings, "target", named).join(F.broadcast(named), ["kind", "target"]).select("qid", "passage_id").distinct()
 
 
 def candidates(masks: DataFrame, shape: DataFrame, q: QueryTables, index: IndexTables) -> DataFrame:
@@ -104,6 +109,10 @@ def passage_score(content: Column, stop: Column, hit: Column, n_content: Column)
     return content * F.pow(hit / n_content, COVERAGE) + STOP_WEIGHT * stop
 
 
+def known_stems(terms: DataFrame, index: IndexTables) -> DataFrame:
+    return pushed(index.frequencies.filter("kind = 'stem'"), "target", terms.select(F.col("stem").alias("target"))).select(F.col("target").alias("stem"))
+
+
 def adjacent_pairs(terms: DataFrame, known: DataFrame) -> DataFrame:
     """(qid, pair_no, first_stem, second, pairs): neighbouring query terms whose stems both occur in the text."""
     typed = terms.select("qid", "term_no", "stem", "norm").join(F.broadcast(known.join(F.broadcast(terms.select("stem").distinct()), "stem", "left_semi").withColumn("known", F.lit(True))), "stem", "left")
@@ -112,14 +121,17 @@ def adjacent_pairs(terms: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("qid", F.col("term_no").alias("pair_no"), F.col("stem").alias("first_stem"), "second").withColumn("pairs", F.count(F.lit(1)).over(Window.partitionBy("qid")))
 
 
-def order_bonus(rows: DataFrame, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``rows`` (qid, first, span, ...) with bonus: 1 + 0.6 x the part of the query's pairs found side by side."""
+def order_bonus(rows: DataFrame, pairs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``rows`` (qid, first, span, ...) with bonus: 1 + 0.6 x the part of the query's pairs found side by side.
+
+    ``rows`` are bounded by the closer look, so their passages are a filter of the scan, and only their texts are stemmed.
+    """
     wanted = rows.join(F.broadcast(pairs.select("qid").distinct()), "qid", "left_semi").select("qid", "first", "span").withColumn("passage_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)))
-    words = tokens.join(F.broadcast(wanted.select("passage_id").distinct()), "passage_id", "left_semi").groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda s: s["stem"]).alias("stems"))
-    line = wanted.join(words, "passage_id").groupBy("qid", "first", "span").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "stems"))), lambda s: s["stems"])).alias("stems"))
+    words_ = pushed(passages, "passage_id", wanted).select("passage_id", F.transform(words(F.col("text")), lambda w: stem(normalize(w))).alias("stems"))
+    line = wanted.join(words_, "passage_id").groupBy("qid", "first", "span").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "stems"))), lambda s: s["stems"])).alias("stems"))
     bigrams = line.withColumn("bigrams", F.zip_with(F.slice("stems", F.lit(1), F.size("stems") - 1), F.slice("stems", F.lit(2), F.size("stems")), lambda a, b: F.concat_ws(" ", a, b))).filter(F.size("stems") > 1)
     found = bigrams.join(F.broadcast(pairs), "qid").groupBy("qid", "first", "span").agg((1 + ORDER_BONUS * F.sum(F.array_contains("bigrams", F.concat_ws(" ", "first_stem", "second")).cast("int")) / F.max("pairs")).alias("bonus"))
-    return rows.join(found, ["qid", "first", "span"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(1.0)))
+    return rows.join(F.broadcast(found), ["qid", "first", "span"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(1.0)))
 
 
 def run_candidates(seeds: DataFrame, masks: DataFrame, shape: DataFrame, index: IndexTables, excluded: DataFrame) -> DataFrame:
@@ -193,12 +205,29 @@ class SearchResult:
     shape: DataFrame
     runs: DataFrame
     index: IndexTables
+    asked: QueryTables
+    qids: list[int]
 
     def heat(self) -> DataFrame:
         """(qid, passage_id, heat): 1 to 255 for each passage of each result."""
-        top = F.greatest(F.max("score").over(Window.partitionBy("qid")), F.lit(1e-6))
-        level = F.when(F.col("is_reference"), 255).otherwise((1 + F.floor(HEAT * F.pow(F.col("score") / top, HEAT_POWER))).cast("int"))
-        return self.results.withColumn("heat", level).select("qid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)).alias("passage_id"), "heat")
+        top = self.results.groupBy("qid").agg(F.greatest(F.max("score"), F.lit(1e-6)).alias("top"))
+        level = F.when(F.col("is_reference"), 255).otherwise((1 + F.floor(HEAT * F.pow(F.col("score") / F.col("top"), HEAT_POWER))).cast("int"))
+        return self.results.join(F.broadcast(top), "qid").withColumn("heat", level).select("qid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)).alias("passage_id"), "heat")
+
+    def dense_heat(self) -> DataFrame:
+        """(qid, passage_id, heat) for every passage of the index and query of the batch: 0 where a passage is in no result."""
+        every = self.index.lengths.select("passage_id").withColumn("qid", F.explode(F.array(*(F.lit(q).cast("int") for q in self.qids))))
+        hot = self.heat().groupBy("qid", "passage_id").agg(F.max("heat").alias("heat"))
+        return every.join(hot, ["qid", "passage_id"], "left").select("qid", "passage_id", F.coalesce("heat", F.lit(0)).alias("heat"))
+
+    def hints(self) -> DataFrame:
+        """(qid, coll, name, first): the collection that a query seems to name, and its first passage."""
+        first = self.index.groups.groupBy("coll").agg(F.min("first_id").alias("first"))
+        return self.asked.hints.join(self.index.collections.select("coll", "name"), "coll").join(F.broadcast(first), "coll").select("qid", "coll", "name", "first")
+
+    def notes(self) -> DataFrame:
+        """(qid, term_no, note): ``typed → word`` of each term that only a repaired spelling matches."""
+        return notes(self.terms, self.expansions, self.index)
 
     def counts(self) -> DataFrame:
         """(qid, total, full_count, literal_count, collections); literal matches are counted before runs take passages in."""
@@ -216,10 +245,18 @@ class SearchResult:
 
 
 def reference_rows(references: DataFrame, index: IndexTables) -> DataFrame:
-    """(qid, first, span, score, full) of the passages that references name, verse 0 counting as 1."""
-    wanted = references.select("qid", "coll", "grp", F.greatest("first", F.lit(1)).alias("a"), F.greatest("last", F.lit(1)).alias("z"))
-    met = index.passages.join(F.broadcast(wanted), ["coll", "grp"]).filter((F.col("num") >= F.col("a")) & (F.col("num") <= F.col("z")))
-    return met.select("qid", F.col("passage_id").alias("first"), F.lit(1).alias("span"), F.lit(1.0).alias("score"), F.lit(True).alias("full"))
+    """(qid, first, span, score, full) of the passages that references name, in their order up to the first that is missing.
+
+    Number 0 stands for 1, so a range from 0 gives passage 1 twice.
+    """
+    met = index.passages.join(F.broadcast(references.select("coll", "grp").distinct()), ["coll", "grp"], "left_semi").select("coll", "grp", "num", "passage_id")
+    most = met.groupBy("coll", "grp").agg(F.max("num").alias("most"))
+    wanted = references.join(F.broadcast(most), ["coll", "grp"]).filter(F.col("first") <= F.col("most"))
+    each = wanted.select("qid", "coll", "grp", F.explode(F.sequence(F.col("first"), F.least(F.col("last"), F.col("most") + 1))).alias("v")).withColumn("num", F.greatest("v", F.lit(1)))
+    found = each.join(met, ["coll", "grp", "num"], "left")
+    gap = found.groupBy("qid").agg(F.min(F.when(F.col("passage_id").isNull(), F.col("v"))).alias("gap"))
+    whole = found.join(F.broadcast(gap), "qid").filter(F.col("passage_id").isNotNull() & (F.col("gap").isNull() | (F.col("v") < F.col("gap"))))
+    return whole.select("qid", F.col("passage_id").alias("first"), F.lit(1).alias("span"), F.lit(1.0).alias("score"), F.lit(True).alias("full"))
 
 
 def closest(found: DataFrame) -> DataFrame:
@@ -229,29 +266,46 @@ def closest(found: DataFrame) -> DataFrame:
 
 
 def ordered(kept: DataFrame, canonical: bool = False) -> DataFrame:
-    """Results with their rank: by score, or in text order with complete ones first."""
+    """Results with their rank: by score, or in text order with complete ones first.
+
+    A query may have any number of results: they are ranked inside buckets, cut at quantiles of each query's own scores or
+    passages, and the buckets' counts place them.
+    """
     keys = [F.desc("full"), F.col("first")] if canonical else [F.desc(F.round("score", ORDER_DIGITS)), F.col("first")]
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*keys)))
+    value = F.when(F.col("full"), F.col("first")).otherwise(F.col("first") + (1 << 52)).cast("double") if canonical else -F.round("score", ORDER_DIGITS)
+    parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = [k / parts for k in range(1, parts)] or [0.5]
+    rows = kept.withColumn("_v", value)
+    cuts = rows.groupBy("qid").agg(F.percentile_approx("_v", marks, 10_000).alias("_cuts"))
+    dealt = rows.join(F.broadcast(cuts), "qid").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts", "_v")
+    sizes = dealt.groupBy("qid", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.partitionBy("qid").orderBy("_b")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("qid", "_b").orderBy(*keys))
+    return dealt.withColumn("_p", place).join(F.broadcast(starts), ["qid", "_b"]).withColumn("rank", (F.col("_start") + F.col("_p")).cast("int")).drop("_b", "_p", "_start")
 
 
 def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryParser, *, live: bool = False, canonical: bool = False) -> SearchResult:
-    """All queries of the batch in one plan: (qid, rank, first, span, score, full, is_reference)."""
+    """All queries of the batch in one plan: (qid, rank, first, span, score, full, is_reference).
+
+    What any number of passages may match is written once and read from there. The closer look and the runs are bounded by the
+    batch (CLOSE passages of each query), so they are kept as rows.
+    """
     spark = index.passages.sparkSession
     q = tables(spark, batch, parser, live=live, coll_type=dict(index.passages.dtypes)["coll"])
     terms = bounded(described(q.terms))
     expansions = bounded(expand(terms, index))
     per_term = durable(term_scores(expansions, index))
-    masks = durable(passage_masks(per_term, terms))
+    masks = passage_masks(per_term, terms).persist()
     shape = bounded(query_shape(q.queries.filter(~F.col("referred")), terms))
     found = durable(candidates(masks, shape, q, index).withColumn("span", F.lit(1)).withColumn("first", F.col("passage_id")))
-    close = closest(found)
-    known = index.frequencies.filter("kind = 'stem'").select(F.col("target").alias("stem"))
-    pairs = bounded(adjacent_pairs(terms, known))
-    near = order_bonus(close.select("qid", "first", "span"), pairs, index.tokens)
-    singles = found.join(near, ["qid", "first", "span"], "left").withColumn("score", F.col("score") * F.coalesce("bonus", F.lit(1.0))).select("qid", "coll", "grp", "first", "span", "score", "full")
+    close = bounded(closest(found))
+    pairs = bounded(adjacent_pairs(terms, known_stems(terms, index)))
+    near = order_bonus(close.select("qid", "first", "span"), pairs, index.passages)
+    singles = found.join(F.broadcast(near), ["qid", "first", "span"], "left").withColumn("score", F.col("score") * F.coalesce("bonus", F.lit(1.0))).select("qid", "coll", "grp", "first", "span", "score", "full")
     runs = run_candidates(close, masks, shape, index, excluded_passages(q.excluded, index.postings))
-    scored = run_scores(runs, per_term, terms, shape)
-    lined = durable(order_bonus(scored, pairs, index.tokens).withColumn("score", F.col("score") * F.col("bonus")).select("qid", "coll", "grp", "first", "span", "score", "full"))
-    kept = without_overlap(singles, lined).withColumn("is_reference", F.lit(False)).union(reference_rows(q.references, index).withColumn("is_reference", F.lit(True)))
+    scored = bounded(run_scores(runs, per_term, terms, shape))
+    lined = bounded(order_bonus(scored, pairs, index.passages).withColumn("score", F.col("score") * F.col("bonus")).select("qid", "coll", "grp", "first", "span", "score", "full"))
+    kept = durable(without_overlap(singles, lined).withColumn("is_reference", F.lit(False)).union(reference_rows(q.references, index).withColumn("is_reference", F.lit(True))))
     ranked = durable(ordered(kept, canonical))
-    return SearchResult(ranked.select("qid", "rank", "first", "span", "score", "full", "is_reference"), found, terms, expansions, shape, lined, index)
+    masks.unpersist()
+    return SearchResult(ranked.select("qid", "rank", "first", "span", "score", "full", "is_reference"), found, terms, expansions, shape, lined, index, q, [qid for qid, _ in batch])

@@ -178,6 +178,7 @@ class QueryTables:
     phrases: DataFrame
     scopes: DataFrame
     references: DataFrame
+    hints: DataFrame
 
 
 def tables(spark: SparkSession, batch: list[tuple[int, str]], parser: QueryParser, *, live: bool = False, coll_type: str = "int") -> QueryTables:
@@ -190,4 +191,5 @@ def tables(spark: SparkSession, batch: list[tuple[int, str]], parser: QueryParse
         make([(q, phrase) for q, _, p in parsed for phrase in p.phrases], "qid int, phrase string"),
         make([(q, c) for q, _, p in parsed for c in sorted(set(p.scope or []), key=str)], f"qid int, coll {coll_type}"),
         make([(q, p.reference.coll, p.reference.grp, p.reference.first, p.reference.last) for q, _, p in parsed if p.reference], f"qid int, coll {coll_type}, grp bigint, first int, last int"),
+        make([(q, p.hint) for q, _, p in parsed if p.hint is not None], f"qid int, coll {coll_type}"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,10 +113,63 @@ def test_explanations(engine):
     assert "shepherb → shepherd (spelling)" in flat and "pas → pastures" in flat and "leading → leadeth" in flat and "meadow ≈ green" in flat
     tokens = explain.result_tokens(got, got.results).drop("first")
     marked_words = explain.marks(tokens, explain.targets(got.expansions, got.terms))
-    segments = explain.segments(tokens, marked_words, got.index.passages).collect()
-    for row in segments:
-        text = got.index.passages.filter(F.col("passage_id") == row["passage_id"]).first()["text"]
-        assert text.startswith("".join(s["gap"] + s["word"] for s in row["segments"]))
+    texts = tokens.select("qid", "passage_id").distinct().join(got.index.passages.select("passage_id", "text"), "passage_id")
+    rows = explain.segments(texts, marked_words, got.index.tokens).join(texts, ["qid", "passage_id"]).collect()
+    assert rows and all(r["text"] == "".join(s["gap"] + s["word"] for s in r["segments"]) + r["tail"] for r in rows)
+    first = next(r for r in rows if r["passage_id"] == 0)["segments"]
+    assert [(s["word"], s["flags"], s["codes"]) for s in first if s["word"] in ("is", "shepherd")] == [("is", 1, []), ("shepherd", 0, ["H7462"])]
+    assert any(s["why"] == "typo" and s["word"] == "shepherd" for s in first)
+
+
+def test_segments_of_plain_passages(spark):
+    """No offsets in the index, text before the first and after the last word, no words, and no text."""
+    texts = ["«Ab’s», cd-ef! (gh) …", "…", "", "x"]
+    passages = spark.createDataFrame([(k, "c", 1, k, t) for k, t in enumerate(texts)], "passage_id bigint, coll string, grp int, num int, text string")
+    built = index.build(passages)
+    marked = spark.createDataFrame([(0, 0, 1, "exact", 0)], "qid int, passage_id bigint, pos int, why string, term_no int")
+    rows = explain.segments(passages.select(F.lit(0).alias("qid"), "passage_id", "text"), marked, built.tokens).collect()
+    assert {r["passage_id"]: "".join(s["gap"] + s["word"] for s in r["segments"]) + r["tail"] for r in rows} == dict(enumerate(texts))
+    assert [(s["word"], s["why"]) for r in rows if r["passage_id"] == 0 for s in r["segments"]] == [("Ab’s", None), ("cd-ef", "exact"), ("gh", None)]
+
+
+def test_notes_hints_and_gaps(engine):
+    got = engine.search_many([(0, "shepherb"), (1, "shepherd"), (2, "john"), (3, "ps 23:0-2"), (4, "ps 23:1-9"), (5, "ps 23:2-9"), (6, "jn 11:35"), (7, "ps 23:9")])
+    assert [(r["qid"], r["note"]) for r in got.notes().collect()] == [(0, "shepherb → shepherd")]
+    assert [(r["qid"], r["name"], r["first"]) for r in got.hints().collect()] == [(2, "John", 2)]
+    first = {}
+    for r in got.results.orderBy("rank").collect():
+        first.setdefault(r["qid"], []).append(r["first"])
+    assert (first[3], first[4], first[5], first[6], first.get(7)) == ([0, 0, 1], [0, 1], [1], [2], None)
+
+
+def test_the_scan_takes_the_targets(engine, tmp_path):
+    """Only row groups of the asked targets are read: the filter stands in the plan of the postings' scan."""
+    from passageworks.operators import search
+
+    engine.index.write(f"{tmp_path}/index")
+    spark = engine.index.passages.sparkSession
+    own = index.IndexTables.read(spark, f"{tmp_path}/index")
+    expansions = spark.createDataFrame([(0, 0, "stem", "wept", 1.0, "exact", 0)], "qid int, term_no int, kind string, target string, weight double, why string, ord int")
+    plan = search.term_scores(expansions, own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(target,wept)") + plan.count("In(target, [wept])") >= 2, plan
+
+
+def test_dense_heat(found):
+    own = found.dense_heat().filter("qid in (0, 1)").collect()
+    assert {(r["qid"], r["passage_id"]): r["heat"] for r in own} == {(0, 0): 0, (0, 1): 0, (0, 2): 255, (1, 0): 255, (1, 1): 222, (1, 2): 0}
+
+
+def test_ranks_in_buckets(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(q, "c", 1, k, 1, rng.randrange(9) / 4, rng.random() < 0.5) for q in (1, 2, 3) for k in range(rng.randrange(1, 200))]
+    frame = spark.createDataFrame(rows, "qid int, coll string, grp int, first bigint, span int, score double, full boolean")
+    from passageworks.operators import search
+
+    for canonical, key in ((False, lambda r: (-r[5], r[3])), (True, lambda r: (not r[6], r[3]))):
+        wanted = [(q, k + 1, r[3]) for q in (1, 2, 3) for k, r in enumerate(sorted((r for r in rows if r[0] == q), key=key))]
+        assert sorted((r["qid"], r["rank"], r["first"]) for r in search.ordered(frame, canonical).collect()) == wanted
 
 
 def test_browsing(engine):
@@ -130,6 +185,13 @@ def test_browsing(engine):
     asked = spark.createDataFrame([("JHN.11.35",), ("PSA.23",), ("PSA.99.1",)], "address string")
     assert {r["address"]: r["passage_id"] for r in browse.resolve_addresses(asked, own).collect()} == {"JHN.11.35": 2, "PSA.23": 0, "PSA.99.1": -1}
     assert '"num":1' in browse.as_json(own.passages.select("num")).first()["json"]
+    steps = {by: sorted((r["passage_id"], r["stepped"]) for r in browse.step_passage(own.passages, own.groups, own.passages.select("passage_id"), by).collect()) for by in (-1, 1, 5)}
+    assert steps == {-1: [(0, 0), (1, 0), (2, 2)], 1: [(0, 1), (1, 1), (2, 2)], 5: [(0, 1), (1, 1), (2, 2)]}
+    chapter = json.loads(browse.chapter_json(own, 1).first()["json"])
+    assert chapter["name"] == "Psalms 23" and chapter["title"] == "A Psalm of David." and [v["id"] for v in chapter["verses"]] == [0, 1] and chapter["prev"] == -1
+    entry = json.loads(browse.lexicon_json(own, spark.createDataFrame([("H7462",), ("H9999",)], "code string")).first()["json"])
+    assert (entry["code"], entry["verses"], entry["uses"], entry["lang"], entry["renderings"]) == ("H7462", 1, 1, "hebrew", [{"word": "shepherd", "n": 1}])
+    assert {name: df.count() for name, df in browse.metadata(own).items()} == {"collections": 66, "groups": 2, "titles": 1, "texts": 3}
 
 
 def test_evaluation(found):
@@ -139,6 +201,9 @@ def test_evaluation(found):
     assert ranks == {0: 1, 1: 2, 2: 1, 5: None}
     rates = evaluate.rates(evaluate.ranks(found.results, answers), spark.createDataFrame([(q, "all") for q in (0, 1, 2, 5)], "qid int, judged string")).first()
     assert (rates["n"], rates["top1"], rates["top3"]) == (4, 2, 3)
+    sets = spark.createDataFrame([(q, "all") for q in (0, 1)], "qid int, judged string")
+    timed = evaluate.timed(evaluate.rates(evaluate.ranks(found.results, answers), sets), {0: 0.5, 1: 0.7}, sets).first()
+    assert (timed["n"], timed["worst"]) == (2, 0.7)
 
 
 def test_layout(engine):
@@ -151,3 +216,43 @@ def test_layout(engine):
     assert layout.visible(frame, 0.0, 0.0, 3.0, 1.0).count() == len(boxes)
     assert layout.treemap(engine.index.passages.limit(0)).count() == 0
     assert layout.split([], 0, 0, 1, 1) == [] and layout.split([1, 1], 0, 0, 1, 2) == [(0, 0, 1, 1.0), (0, 1.0, 1, 1.0)]
+
+
+def plain_split(weights, box):
+    """By the definition: of all places to cut the one nearest to half of the weight (of two as near the later), across the longer side."""
+    x, y, w, h = box
+    if len(weights) < 2:
+        return [box] * len(weights)
+    whole = sum(weights)
+    cut = min(range(1, len(weights)), key=lambda k: (abs(2 * sum(weights[:k]) - whole), -k))
+    part = sum(weights[:cut]) / whole
+    a, b = ((x, y, w * part, h), (x + w * part, y, w * (1 - part), h)) if w >= h else ((x, y, w, h * part), (x, y + h * part, w, h * (1 - part)))
+    return plain_split(weights[:cut], a) + plain_split(weights[cut:], b)
+
+
+def test_treemap_equals_definition(spark):
+    """All levels over lines of documents, testaments one below the other whatever the aspect."""
+    from passageworks.plans import catalog
+
+    passages = catalog.lines(spark, "/root/testdata/sf0.001")
+    order = [r["coll"] for r in passages.groupBy("coll").agg(F.min("passage_id").alias("m")).orderBy("m").collect()]
+    sections = spark.createDataFrame([(c, k // 2, k) for k, c in enumerate(order)], "coll string, testament int, section int")
+    rows = sorted((r["passage_id"], r["coll"], r["grp"], len(r["text"].encode()) + 30) for r in passages.collect())
+    total = sum(r[3] for r in rows)
+    top, wanted, at = 0.0, {}, {}
+    for t in range((len(order) + 1) // 2):
+        colls = order[2 * t : 2 * t + 2]
+        share = sum(r[3] for r in rows if r[1] in colls) / total
+        for c, box in zip(colls, plain_split([sum(r[3] for r in rows if r[1] == c) for c in colls], (0.0, top, 1.5, share)), strict=True):
+            wanted["collection", c] = box
+            groups = list(dict.fromkeys(r[2] for r in rows if r[1] == c))
+            inside = {g: [r for r in rows if r[1] == c and r[2] == g] for g in groups}
+            for g, gbox in zip(groups, plain_split([sum(r[3] for r in inside[g]) for g in groups], box), strict=True):
+                wanted["group", c, g] = gbox
+                for r, pbox in zip(inside[g], plain_split([r[3] for r in inside[g]], gbox), strict=True):
+                    wanted["passage", r[0]] = pbox
+        top += share
+    for b in layout.treemap(passages, 1.5, sections).collect():
+        key = {"collection": ("collection", b["coll"]), "group": ("group", b["coll"], b["grp"]), "passage": ("passage", b["passage_id"])}[b["level"]]
+        at[key] = (b["x"], b["y"], b["w"], b["h"])
+    assert at.keys() == wanted.keys() and all(abs(p - q) < 1e-9 for k in at for p, q in zip(at[k], wanted[k], strict=True))
