@@ -103,7 +103,7 @@ def renderings(tokens: DataFrame) -> DataFrame:
 
 def transliterations(lexicon: DataFrame, vocab: DataFrame, postings: DataFrame) -> DataFrame:
     """(norm, codes): transliterations of three letters or more that are no word of the text, of codes that occur."""
-    names = lexicon.select("code", normalize(F.regexp_replace("translit", r"[^\p{IsAlphabetic}]", "")).alias("norm")).filter(F.length("norm") >= 3)
+    names = lexicon.select("code", normalize(F.col("translit")).alias("norm")).filter(F.length("norm") >= 3)
     used = postings.filter("kind = 'code'").select(F.col("target").alias("code")).distinct()
     free = names.join(used, "code", "left_semi").join(vocab.select("norm"), "norm", "left_anti")
     return free.groupBy("norm").agg(F.array_sort(F.collect_set("code")).alias("codes"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions import text as T
+from passageworks.functions.durable import bounded, durable
 from passageworks.operators import browse, evaluate, expand, explain, index, layout, search
 from passageworks.operators.index import IndexTables
 from passageworks.plans import sqltext as S
-from passageworks.plans.query import QueryParser, tables
+from passageworks.plans.query import Collection, QueryParser, tables
+from passageworks.sources.marked import join_outside, markup
 from passageworks.sources.tables import conversation_turns, document_lines, numbered
 from passageworks.streaming.latest import newest
 
@@ -25,7 +27,7 @@ BATCH = [(0, "tion ther with this"), (1, "erth thre that"), (2, "thing thou erin
 TERMS = [(q, k, w) for q, typed in BATCH for k, w in enumerate(x for x in typed.split() if not x.startswith("-"))]
 EXCLUDED = [(4, "tion")]
 SEARCH = S.scored(TERMS, EXCLUDED)
-PHRASE, SCOPE, LEFT_OUT = "of the", "de", "the"
+PHRASE, LEFT_OUT = "of the", "the"
 BEGUN, MISTYPED = "th", ("thign", "tihs", "wiht", "thingg", "erinf")
 SYNONYMS = [("thing", "tion", 90), ("ther", "thre", 80), ("ther", "erth", 80), ("ther", "ther", 100), ("thou", "with", 70), ("thou", "onan", 60), ("erin", "nosuchword", 99)]
 #: Score digits that order results: sums of doubles differ in the last places from plan to plan.
@@ -75,7 +77,7 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.synthetic_codes(index.stems(index.tokenize(turns(spark, sf_dir))))
 
 
-CODED = f"WITH {S.tokens(S.TURNS)}, coded AS (SELECT *, 'G' || (length(norm) * 10 + length(stem)) AS code FROM tok)"
+CODED = f"WITH {S.tokens(S.TURNS)}, {S.CODED}"
 
 
 # text
@@ -132,14 +134,14 @@ def code_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S.tokens(S.TURNS)}, post AS (SELECT stem, passage_id, least(count(*), 255) AS tf FROM tok GROUP BY ALL) SELECT stem AS target, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln(1 + ((SELECT count(*) FROM p) - count(*) + 0.5) / (count(*) + 0.5)), {SHOWN}) AS idf FROM post GROUP BY stem")
 def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = turns(spark, sf_dir)
-    n, _ = search.corpus_size(index.lengths(passages))
+    n, _ = index.corpus_size(index.lengths(passages))
     return index.frequencies(index.stem_postings(index.tokenize(passages))).select("target", "df", "cf", F.round(search.idf(F.lit(n), F.col("df")), SHOWN).alias("idf"))
 
 
 @query(f"SELECT count(*) AS passages, sum(n)::BIGINT AS words, round(sum(n) / count(*), {SHOWN}) AS mean_words FROM (SELECT len(regexp_extract_all(text, {S.WORD})) AS n FROM ({S.LINES}))")
 def avg_passage_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = document_lines(spark, sf_dir).select(F.size(T.words(F.col("text"))).alias("n"))
-    return sized.agg(F.count(F.lit(1)).alias("passages"), F.sum("n").alias("words"), F.round(F.sum("n") / F.count(F.lit(1)), SHOWN).alias("mean_words"))
+    n, mean = index.corpus_size(index.lengths(lines(spark, sf_dir)))
+    return spark.createDataFrame([(n, round(n * mean), round(mean, SHOWN))], "passages bigint, words bigint, mean_words double")
 
 
 @query(f"WITH {S.passages(S.LINES)} SELECT coll, grp, min(passage_id) AS first_id, max(passage_id) + 1 AS end_id FROM p GROUP BY ALL")
@@ -215,19 +217,18 @@ MANY = S.scored([(0, 0, "ther"), (0, 1, "thing"), (0, 2, "erth")], [], S.LINES)
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three words over every line of every document: postings of the asked stems only, straight from the text."""
     passages = lines(spark, sf_dir)
-    words = expand.described(tables(spark, [(0, "ther thing erth")], QueryParser([])).terms)
-    asked = words.select("stem").distinct()
-    postings = index.stem_postings(index.tokenize(passages)).join(F.broadcast(asked.withColumnRenamed("stem", "target")), "target", "left_semi")
+    q = tables(spark, [(0, "ther thing erth")], QueryParser([]))
+    terms = bounded(expand.described(q.terms))
+    shape = bounded(search.query_shape(q.queries, terms))
+    postings = durable(index.postings_of(index.tokenize(passages), [r["stem"] for r in terms.select("stem").distinct().collect()]))
     sized = index.lengths(passages)
-    n, mean = search.corpus_size(document_lines(spark, sf_dir).select(F.size(T.words(F.col("text"))).alias("dl")))
-    df = index.frequencies(postings)
-    weighed = words.join(df, words.stem == df.target).select("term_no", "stop", "target", search.idf(F.lit(n), F.col("df")).alias("idf"))
+    n, mean = index.corpus_size(document_lines(spark, sf_dir).select(F.size(T.words(F.col("text"))).alias("dl")))
+    weighed = terms.join(index.frequencies(postings), F.col("stem") == F.col("target")).select(F.lit(0).alias("qid"), "term_no", "target", search.idf(F.lit(n), F.col("df")).alias("idf"))
     met = postings.select("target", "passage_id", "tf").join(F.broadcast(weighed), "target").join(sized.select("passage_id", "dl"), "passage_id")
-    per = met.withColumn("score", search.bm25(F.lit(1.0), F.col("idf"), F.col("tf"), F.col("dl"), F.lit(mean)))
-    kind = lambda wanted: F.sum(F.when(F.col("stop") == wanted, F.col("score")).otherwise(0.0))
-    summed = per.groupBy("passage_id").agg(kind(False).alias("content"), kind(True).alias("stops"), F.count_if(~F.col("stop")).alias("hit")).filter("hit > 0")
-    contents = 2
-    return summed.select("passage_id", F.round(search.passage_score(F.col("content"), F.col("stops"), F.col("hit"), F.lit(contents)), SHOWN).alias("score"), (F.col("hit") == contents).alias("full"))
+    per = met.withColumn("score", search.bm25(F.lit(1.0), F.col("idf"), F.col("tf"), F.col("dl"), F.lit(mean))).withColumn("literal", F.lit(True))
+    rows = search.passage_masks(per, terms).filter("mask <> 0").join(F.broadcast(shape), "qid")
+    hit = F.bit_count("mask")
+    return rows.select("passage_id", F.round(search.passage_score(F.col("content"), F.col("stop_score"), hit, F.col("n_content")), SHOWN).alias("score"), (hit == F.col("n_content")).alias("full"))
 
 
 OPEN_STEMS = f"WITH {S.tokens(S.TURNS)}, v AS (SELECT norm, stem, count(*) AS n FROM tok GROUP BY ALL), pre AS (SELECT stem, 0.85 AS weight FROM (SELECT stem, row_number() OVER (ORDER BY n DESC, norm) AS k FROM v WHERE starts_with(norm, 'ther') AND stem <> 'ther') WHERE k <= 30), e AS (SELECT stem, max(weight) AS weight FROM (SELECT 'ther' AS stem, 1.0 AS weight UNION ALL SELECT * FROM pre) GROUP BY stem), post AS (SELECT stem, passage_id, least(count(*), 255) AS tf FROM tok GROUP BY ALL), df AS (SELECT stem, count(*) AS df FROM post GROUP BY ALL), av AS (SELECT count(*) AS n, sum(dl) / count(*) AS a FROM dl)"
@@ -240,11 +241,6 @@ def max_over_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.term_scores(expand.expand(terms, own), own).select("passage_id", F.round("score", SHOWN).alias("score"))
 
 
-@query(SEARCH + 'SELECT qid, count(*) AS candidates, count(*) FILTER (WHERE "full") AS literal FROM cand GROUP BY qid')
-def literal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_literal").alias("literal"))
-
-
 # filters
 
 
@@ -260,22 +256,10 @@ def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exclude_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = lines(spark, sf_dir)
     asked = tables(spark, [(0, f"x -{LEFT_OUT}")], QueryParser([])).excluded
-    out = search.excluded_passages(asked, index.stem_postings(index.tokenize(passages))).select("passage_id")
+    out = search.excluded_passages(asked, index.postings_of(index.tokenize(passages), [LEFT_OUT])).select("passage_id")
     return passages.join(out, "passage_id", "left_anti").select("passage_id", "grp", "num")
 
 
-@query(f"WITH {S.passages(S.LINES)} SELECT passage_id, grp, num FROM p WHERE coll = '{SCOPE}'")
-def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).filter(F.col("coll") == SCOPE).select("passage_id", "grp", "num")
-
-
-@query(f"WITH {S.passages(S.TURNS)} SELECT grp, num, passage_id FROM p WHERE grp = 3 AND num BETWEEN 1 AND 4")
-def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = indexed(spark, sf_dir)
-    asked = spark.createDataFrame([(0, "all", 3, 1, 4)], "qid int, coll string, grp bigint, first int, last int")
-    return search.reference_rows(asked, own).select(F.col("first").alias("passage_id")).join(own.lengths, "passage_id").select("grp", "num", "passage_id")
-
-
 # order, runs, results
 
 
@@ -284,7 +268,7 @@ def word_order_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = found(spark, sf_dir)
     known = got.index.frequencies.filter("kind = 'stem'").select(F.col("target").alias("stem"))
     close = search.closest(got.candidates).select("qid", "first", "span")
-    rows = search.order_bonus(close, search.adjacent_pairs(got.terms, known), got.index.tokens)
+    rows = search.order_bonus(close, search.adjacent_pairs(got.terms, known), got.index.passages)
     return rows.filter("bonus > 1").select("qid", F.col("first").alias("passage_id"), F.round("bonus", SHOWN).alias("bonus"))
 
 
@@ -319,11 +303,6 @@ def heat_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).heat().groupBy("qid", layout.band(F.col("heat")).alias("band")).agg(F.count(F.lit(1)).alias("passages"))
 
 
-@query(SEARCH + ', l AS (SELECT qid, count(*) FILTER (WHERE "full") AS literal_count FROM cand GROUP BY qid) SELECT qid, count(*) AS total, count(*) FILTER (WHERE "full") AS full_count, any_value(literal_count) AS literal_count, count(DISTINCT coll) AS collections FROM ranked JOIN l USING (qid) GROUP BY qid')
-def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).counts()
-
-
 @query(SEARCH + 'SELECT r.qid, r.rank::INT AS rank, p.passage_id, p.text FROM ranked r JOIN p ON p.passage_id BETWEEN r."first" AND r."first" + r.span - 1 WHERE r.rank BETWEEN 3 AND 12')
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = found(spark, sf_dir).page(offset=2, limit=10)
@@ -351,6 +330,215 @@ def eval_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rates(evaluate.ranks(got.results, answers), sets)
 
 
+# everything a typed word may match, over the turns in two collections, with codes, a lexicon and synonyms
+
+HALF = [Collection("even", "EVN", "Even", ("ev",)), Collection("odd", "ODD", "Odd")]
+MORE_SYNONYMS = [*SYNONYMS, ("foo", "tion", 90), ("foo", "thou", 50), ("foo", "nosuchword", 99)]
+LEXICON_ROWS = [("G54", "Zork"), ("G65", "Quux’s"), ("G98", "ther"), ("G76", "zork"), ("G9999", "Blah")]
+#: A query, and what it says: its items (norm, required, open, code), exclusions (kind, target), phrases, collections, passages by reference.
+ASKED: list[tuple[str, list, list, list, list]] = [
+    ("thing ther", [("thing", False, False, None), ("ther", False, False, None)], [], [], []),
+    ("zork quux foo", [("zork", False, False, None), ("quux", False, False, None), ("foo", False, False, None)], [], [], []),
+    ("g054 this", [("g054", False, False, "G54"), ("this", False, False, None)], [], [], []),
+    ("thnig tihngs tiontoinx witherennerre", [(w, False, False, None) for w in ("thnig", "tihngs", "tiontoinx", "witherennerre")], [], [], []),
+    ('"of the" tion', [("of", True, False, None), ("the", True, False, None), ("tion", False, False, None)], [], [" of the "], []),
+    ("ther thou in:even", [("ther", False, False, None), ("thou", False, False, None)], [], [], ["even"]),
+    ("ti* the", [("ti", False, True, None), ("the", False, False, None)], [], [], []),
+    ("tion -thing -G54", [("tion", False, False, None)], [("stem", "thing"), ("code", "G54")], [], []),
+    ("nosuchword in:nowhere", [("nosuchword", False, False, None)], [], [], ["nowhere"]),
+]
+REFERENCES = [("odd 3:0-2", "odd", 3, 0, 2), ("ev 4", "even", 4, 1, 999), ("Even 2:2-90", "even", 2, 2, 90), ("odd 3:90", "odd", 3, 90, 90)]
+ITEMS = [(q, k, *item) for q, (_, items, *_) in enumerate(ASKED) for k, item in enumerate(items)]
+LEX = {"zork": ["G54", "G76"], "quux": ["G65"]}
+WIDE = S.searched(
+    S.described(ITEMS), [(q, *x) for q, (_, _, out, *_) in enumerate(ASKED) for x in out], S.HALVES,
+    ways=S.expanded(MORE_SYNONYMS, [(name, code) for name, codes in LEX.items() for code in codes] + [("ther", "G98"), ("blah", "G9999")]),
+    phrases=[(q, x) for q, (_, _, _, said, _) in enumerate(ASKED) for x in said], scopes=[(q, x) for q, (*_, only) in enumerate(ASKED) for x in only],
+)
+REFERRED = ", ".join(f"({len(ASKED) + k}, '{c}', {g}, {a}, {z})" for k, (_, c, g, a, z) in enumerate(REFERENCES))
+ALL_RANKED = f""", rf AS (SELECT * FROM (VALUES {REFERRED}) x(qid, coll, grp, a, z)),
+rv AS (SELECT qid, v, p.passage_id FROM (SELECT *, unnest(range(a, least(z, 1000) + 1)) AS v FROM rf) r LEFT JOIN p ON p.coll = r.coll AND p.grp = r.grp AND p.num = greatest(v, 1)),
+rr AS (SELECT qid, passage_id FROM rv WHERE v < coalesce((SELECT min(v) FROM rv x WHERE x.qid = rv.qid AND x.passage_id IS NULL), 100000)),
+shown AS (SELECT qid, rank, canonical_rank, "first", span, score, "full", coll, false AS is_reference FROM ranked UNION ALL SELECT rr.qid, row_number() OVER (PARTITION BY rr.qid ORDER BY passage_id), row_number() OVER (PARTITION BY rr.qid ORDER BY passage_id), passage_id, 1, 1.0, true, p.coll, true FROM rr JOIN p USING (passage_id))
+"""
+
+
+@lru_cache(maxsize=8)
+def _halves(spark: SparkSession, sf_dir: str, application: str) -> IndexTables:
+    passages = durable(turns(spark, sf_dir).withColumn("coll", F.when(F.col("grp") % 2 == 0, "even").otherwise("odd")))
+    tokens = index.synthetic_codes(index.stems(index.tokenize(passages))).withColumn("flags", F.lit(0).cast("tinyint"))
+    lexicon = spark.createDataFrame([(c, "", t, "", "see G54", "", "") for c, t in LEXICON_ROWS], index.LEXICON)
+    sources = spark.createDataFrame(MORE_SYNONYMS, "key string, word string, weight int")
+    named = spark.createDataFrame([(c.coll, c.code, c.name, c.name, list(c.aliases)) for c in HALF], "coll string, code string, name string, short string, aliases array<string>")
+    return index.build(passages, tokens=tokens, lexicon=lexicon, synonym_sources=sources, collections=named).stored()
+
+
+def halves(spark: SparkSession, sf_dir: str) -> IndexTables:
+    return _halves(spark, sf_dir, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _wide(spark: SparkSession, sf_dir: str, application: str) -> search.SearchResult:
+    typed = [x[0] for x in ASKED] + [x[0] for x in REFERENCES]
+    return search.search_many(list(enumerate(typed)), halves(spark, sf_dir), QueryParser(HALF))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> search.SearchResult:
+    return _wide(spark, sf_dir, spark.sparkContext.applicationId)
+
+
+@query(WIDE + f"SELECT qid, term_no, kind, target, round(weight, {SHOWN}) AS weight, why FROM e")
+def expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).expansions.select("qid", "term_no", "kind", "target", F.round("weight", SHOWN).alias("weight"), "why")
+
+
+@query(WIDE + "SELECT qid, term_no, asked || ' → ' || norm AS note FROM fix WHERE place = 1")
+def spelling_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).notes()
+
+
+@query(WIDE + ALL_RANKED + f'SELECT qid, rank::INT AS rank, "first", span, round(score, {SHOWN}) AS score, "full", is_reference FROM shown')
+def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).results.select("qid", "rank", "first", "span", F.round("score", SHOWN).alias("score"), "full", "is_reference")
+
+
+@query(WIDE + f'SELECT qid, passage_id, round(raw, {SHOWN}) AS score, "full", literal FROM cand')
+def expanded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).candidates.select("qid", "passage_id", F.round("score", SHOWN).alias("score"), "full", F.col("is_literal").alias("literal"))
+
+
+@query(WIDE + "SELECT qid, passage_id FROM cand WHERE qid = 5")
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).candidates.filter("qid = 5").select("qid", "passage_id")
+
+
+@query(WIDE + "SELECT qid, passage_id FROM cand WHERE qid = 4")
+def required_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).candidates.filter("qid = 4").select("qid", "passage_id")
+
+
+@query(WIDE + ALL_RANKED + 'SELECT qid, "first" AS passage_id, rank::INT AS rank FROM shown WHERE is_reference')
+def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).results.filter("is_reference").select("qid", F.col("first").alias("passage_id"), "rank")
+
+
+@query(WIDE + "SELECT qid, count(*) AS candidates, count(*) FILTER (WHERE literal) AS literal FROM cand GROUP BY qid")
+def literal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_literal").alias("literal"))
+
+
+@query(WIDE + ALL_RANKED + """, l AS (SELECT qid, count(*) FILTER (WHERE literal) AS n FROM cand GROUP BY qid) SELECT b.qid, count(*) AS total, count(*) FILTER (WHERE "full") AS full_count, coalesce(any_value(l.n), 0) + count(*) FILTER (WHERE is_reference) AS literal_count, count(DISTINCT coll) AS collections FROM shown b LEFT JOIN l USING (qid) GROUP BY b.qid""")
+def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).counts()
+
+
+@query(WIDE + ALL_RANKED + """, top AS (SELECT qid, greatest(max(score), 1e-6) AS t FROM shown GROUP BY qid), h AS (SELECT qid, unnest(range("first", "first" + span)) AS passage_id, CASE WHEN is_reference THEN 255 ELSE (1 + floor(254 * pow(score / t, 0.7)))::INT END AS heat FROM shown JOIN top USING (qid)) SELECT qs.qid::INT AS qid, p.passage_id, coalesce(max(h.heat), 0)::INT AS heat FROM p CROSS JOIN range(""" + str(len(ASKED) + len(REFERENCES)) + """) qs(qid) LEFT JOIN h ON h.qid = qs.qid AND h.passage_id = p.passage_id GROUP BY ALL""")
+def dense_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(spark, sf_dir).dense_heat()
+
+
+MARKED = WIDE + ALL_RANKED + """, tg AS (SELECT qid, kind, target, term_no, weight, why FROM (SELECT *, row_number() OVER (PARTITION BY qid, kind, target ORDER BY weight DESC, term_no) AS k FROM e) WHERE k = 1),
+rp AS (SELECT DISTINCT qid, unnest(range("first", "first" + span)) AS passage_id FROM shown WHERE NOT is_reference),
+hit AS (SELECT rp.qid, c.passage_id, c.pos, c.norm, tg.term_no, tg.weight, CASE WHEN q.stop THEN 'stop' WHEN tg.why = 'exact' AND c.norm <> q.norm THEN 'form' ELSE tg.why END AS why, NULL::VARCHAR AS code, q.norm AS typed, 0 AS place FROM rp JOIN coded c USING (passage_id) JOIN tg ON tg.qid = rp.qid AND tg.kind = 'stem' AND tg.target = c.stem JOIN q ON q.qid = tg.qid AND q.term_no = tg.term_no
+  UNION ALL SELECT rp.qid, c.passage_id, c.pos, c.norm, tg.term_no, tg.weight * 0.99, tg.why, c.code, q.norm, 1 FROM rp JOIN coded c USING (passage_id) JOIN tg ON tg.qid = rp.qid AND tg.kind = 'code' AND tg.target = c.code JOIN q ON q.qid = tg.qid AND q.term_no = tg.term_no),
+mk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, passage_id, pos ORDER BY weight DESC, place) AS k FROM hit) WHERE k = 1)"""
+
+
+def marks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = wide(spark, sf_dir)
+    return explain.marks(explain.result_tokens(got, got.results.filter("not is_reference")).drop("first").distinct(), explain.targets(got.expansions, got.terms))
+
+
+@query(MARKED + " SELECT qid, passage_id, pos, term_no, why, code FROM mk")
+def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks_of(spark, sf_dir).select("qid", "passage_id", "pos", "term_no", "why", "code")
+
+
+NAMED = ", ".join(f"('{c}', '{t}')" for c, t in LEXICON_ROWS)
+
+
+@query(MARKED + f""", lx AS (SELECT * FROM (VALUES {NAMED}) x(code, translit)), rs AS (SELECT qid, passage_id, pos, CASE WHEN why IN ('form', 'prefix') THEN typed || ' → ' || norm WHEN why = 'typo' THEN typed || ' → ' || norm || ' (spelling)' WHEN why = 'synonym' THEN typed || ' ≈ ' || norm WHEN why = 'code' AND norm <> typed THEN typed || ' → ' || norm || ' (' || mk.code || ' ' || coalesce(translit, '') || ')' END AS reason FROM mk LEFT JOIN lx ON lx.code = mk.code),
+rd AS (SELECT qid, passage_id, reason, min(pos) AS pos FROM rs WHERE reason IS NOT NULL GROUP BY ALL) SELECT qid, passage_id, reason, place FROM (SELECT *, row_number() OVER (PARTITION BY qid, passage_id ORDER BY pos)::INT AS place FROM rd) WHERE place <= 4""")
+def expansion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = wide(spark, sf_dir)
+    listed = explain.reasons(marks_of(spark, sf_dir), got.index.lexicon)
+    return listed.select("qid", "passage_id", F.posexplode("reasons").alias("place", "reason")).select("qid", "passage_id", "reason", (F.col("place") + 1).alias("place"))
+
+
+@query(MARKED + """ SELECT rp.qid, rp.passage_id, p.text, (SELECT count(*) FROM mk WHERE mk.qid = rp.qid AND mk.passage_id = rp.passage_id) AS marked, dl.dl AS words FROM rp JOIN p USING (passage_id) JOIN dl USING (passage_id)""")
+def whole_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments put together again, with their marks counted."""
+    got = wide(spark, sf_dir)
+    texts = explain.result_tokens(got, got.results.filter("not is_reference")).select("qid", "passage_id").distinct().join(got.index.passages.select("passage_id", "text"), "passage_id")
+    cut = explain.segments(texts, marks_of(spark, sf_dir), got.index.tokens)
+    whole = F.concat(F.array_join(F.transform("segments", lambda s: F.concat(s["gap"], s["word"])), ""), F.col("tail"))
+    return cut.select("qid", "passage_id", whole.alias("text"), F.size(F.filter("segments", lambda s: s["why"].isNotNull())).cast("bigint").alias("marked"), F.size("segments").cast("bigint").alias("words"))
+
+
+@query(f"SELECT code, 'G54' AS other FROM (VALUES {NAMED}) x(code, translit)")
+def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return browse.cross_links(halves(spark, sf_dir).lexicon)
+
+
+@query(WIDE + ALL_RANKED + """SELECT qid, rank::INT AS rank, (CASE WHEN p.coll = 'even' THEN 'Even ' ELSE 'Odd ' END) || p.grp || ':' || p.num || (CASE WHEN span > 1 THEN '-' || (p.num + span - 1) ELSE '' END) AS label FROM shown JOIN p ON p.passage_id = "first" """)
+def result_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = wide(spark, sf_dir)
+    rows = got.results.join(got.index.passages.select(F.col("passage_id").alias("first"), "coll", "grp", "num"), "first").join(got.index.collections.select("coll", "name"), "coll")
+    return rows.select("qid", "rank", browse.reference(F.col("name"), F.col("grp"), F.col("num"), F.col("span")).alias("label"))
+
+
+@query(f"WITH {S.passages(S.HALVES)}, b AS (SELECT coll, min(passage_id) AS low, max(passage_id) AS high FROM p GROUP BY coll) SELECT passage_id, least(greatest(passage_id + 2, low), high) AS stepped FROM p JOIN b USING (coll)")
+def passage_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = halves(spark, sf_dir)
+    return browse.step_passage(own.passages, own.groups, own.passages.select("passage_id"), 2)
+
+
+# sources and small functions
+
+
+@query("SELECT conv_id, turn, text, len(regexp_extract_all(text, '[0-9A-Za-z]+')) AS tags FROM conversations")
+def markup_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of letters and digits tagged, every other one put in italics, all in red; then read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    marked = F.concat(F.lit("<"), F.regexp_replace("text", "([0-9A-Za-z]+)", r"[{$1|G1,H2}]"), F.lit(">"))
+    read = rows.filter(~F.col("text").rlike(r"[{}|\[\]<>]")).withColumn("m", markup(marked))
+    rest = rows.filter(F.col("text").rlike(r"[{}|\[\]<>]"))
+    return read.select("conv_id", "turn", "m.text", F.size("m.spans").cast("bigint").alias("tags")).union(rest.select("conv_id", "turn", "text", F.size(F.regexp_extract_all("text", F.lit("[0-9A-Za-z]+"), F.lit(0))).cast("bigint")))
+
+
+@query("SELECT typed, code FROM (SELECT 'h' || '+0' || event_id AS typed, CASE WHEN event_id BETWEEN 1 AND 9999 THEN 'H' || event_id END AS code FROM events)")
+def concept_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("h+0"), F.col("event_id").cast("string")).alias("typed"))
+    return typed.select("typed", T.concept_code(F.col("typed")).alias("code"))
+
+
+@query("SELECT c_name AS name, CASE WHEN starts_with(low, 'iii ') THEN '3' || substr(bare, 4) WHEN starts_with(low, 'ii ') THEN '2' || substr(bare, 3) WHEN starts_with(low, 'i ') THEN '1' || substr(bare, 2) WHEN starts_with(low, 'first ') THEN '1' || substr(bare, 6) WHEN starts_with(low, 'second ') THEN '2' || substr(bare, 7) WHEN starts_with(low, 'third ') THEN '3' || substr(bare, 6) ELSE bare END AS squashed FROM (SELECT c_name, lower(c_name) AS low, regexp_replace(lower(c_name), '[^\\p{L}\\p{N}]', '', 'g') AS bare FROM (SELECT c_name FROM customer UNION ALL SELECT 'Second ' || c_name FROM customer UNION ALL SELECT 'II ' || c_name FROM customer UNION ALL SELECT 'iii ' || c_name FROM customer))")
+def squashed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.explode(F.array("c_name", *(F.concat(F.lit(p), "c_name") for p in ("Second ", "II ", "iii ")))).alias("name"))
+    return names.select("name", T.squash(F.col("name")).alias("squashed"))
+
+
+@query(f"WITH {S.passages(S.TURNS)} SELECT passage_id, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text FROM p WHERE NOT regexp_matches(text, '[\\[\\]\\\\]') AND trim(text) <> '' AND num > 0")
+def outside_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of another text, with a number before each verse, joined to the passages of that number."""
+    own = turns(spark, sf_dir).filter(~F.col("text").rlike(r"[\[\]\\]") & (F.trim("text") != "") & (F.col("num") > 0))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("num", "text"))), lambda s: F.concat(F.lit("["), s["num"].cast("string"), F.lit("] "), s["text"]))
+    outside = own.groupBy("coll", "grp").agg(F.array_join(said, " ").alias("text"))
+    return join_outside(own, outside).select("passage_id", F.trim(F.regexp_replace("other", r"\s+", " ")).alias("text"))
+
+
+@query("SELECT user_id AS x, event_id AS id FROM events WHERE user_id < 50 AND user_id + 10 > 20 AND event_id % 7 < 4 AND event_id % 7 + 1 > 2")
+def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("x"), (F.col("event_id") % 7).alias("y"), F.lit(10).alias("w"), F.lit(1).alias("h"), F.col("event_id").alias("id"))
+    return layout.visible(boxes, 20, 2, 30, 2).select("x", "id")
+
+
+@query("SELECT user_id AS x, event_id AS id FROM events WHERE user_id <= 25 AND 25 < user_id + 10 AND event_id % 7 = 3")
+def point_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("x"), (F.col("event_id") % 7).alias("y"), F.lit(10).alias("w"), F.lit(1).alias("h"), F.col("event_id").alias("id"))
+    return layout.pick(boxes, 25, 3).select("x", "id")
+
+
 # browsing
 
 
@@ -362,9 +550,7 @@ def chapter_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S.passages(S.TURNS)} SELECT a.passage_id AS asked, b.passage_id, b.num::INT AS num FROM p a JOIN p b ON a.grp = b.grp AND b.passage_id BETWEEN a.passage_id - 3 AND a.passage_id + 3")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = indexed(spark, sf_dir)
-    near = own.lengths.join(own.groups, ["coll", "grp"])
-    each = near.select(F.col("passage_id").alias("asked"), F.explode(F.sequence(F.greatest(F.col("passage_id") - 3, F.col("first_id")), F.least(F.col("passage_id") + 3, F.col("end_id") - 1))).alias("passage_id"))
-    return each.join(own.lengths.select("passage_id", "num"), "passage_id").select("asked", "passage_id", "num")
+    return browse.window(own.passages, own.groups, own.passages.select("passage_id"), 3).select("asked", "passage_id", "num")
 
 
 @query(f"WITH {S.passages(S.TURNS)}, g AS (SELECT coll, grp, min(passage_id) AS first_id FROM p GROUP BY ALL) SELECT grp, row_number() OVER (ORDER BY first_id)::INT AS ordinal, coalesce(lead(first_id, 2) OVER (ORDER BY first_id), max(first_id) OVER ()) AS stepped FROM g")
@@ -378,18 +564,20 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.contents(index.groups(lines(spark, sf_dir)))
 
 
-@query(f"{CODED}, pc AS (SELECT code, passage_id, least(count(*), 255) AS tf FROM coded GROUP BY ALL), r AS (SELECT code, norm, count(*) AS n FROM coded GROUP BY ALL), f AS (SELECT code, norm FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, norm) AS k FROM r) WHERE k = 1) SELECT code, count(*) AS df, sum(tf)::BIGINT AS cf, any_value(f.norm) AS commonest FROM pc JOIN f USING (code) GROUP BY code")
+@query(f"{CODED}, lx AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{t}{chr(39)})' for c, t in LEXICON_ROWS)}) x(code, translit)), pc AS (SELECT code, passage_id, least(count(*), 255) AS tf FROM coded GROUP BY ALL), u AS (SELECT code, count(*) AS df, sum(tf)::BIGINT AS cf FROM pc GROUP BY code), r AS (SELECT code, norm, count(*) AS n FROM coded GROUP BY ALL), f AS (SELECT code, string_agg(norm || ':' || n, ' ' ORDER BY k) AS renderings FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, norm) AS k FROM r) WHERE k <= 16 GROUP BY code) SELECT a.code, lx.translit, coalesce(u.df, 0) AS df, coalesce(u.cf, 0) AS cf, coalesce(f.renderings, '') AS renderings, 'G' AS language FROM (SELECT code FROM u UNION SELECT code FROM lx) a LEFT JOIN lx USING (code) LEFT JOIN u USING (code) LEFT JOIN f USING (code)")
 def lexicon_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = coded(spark, sf_dir)
-    used = index.frequencies(index.code_postings(words)).select(F.col("target").alias("code"), "df", "cf")
-    return used.join(index.renderings(words).filter("place = 1").select("code", F.col("norm").alias("commonest")), "code")
+    """Every code that the text or the lexicon has."""
+    own = halves(spark, sf_dir)
+    codes = own.frequencies.filter("kind = 'code'").select(F.col("target").alias("code")).union(own.lexicon.select("code")).distinct()
+    shown = F.array_join(F.transform(F.coalesce("renderings", F.array().cast("array<struct<place:int,norm:string,n:bigint>>")), lambda r: F.concat_ws(":", r["norm"], r["n"].cast("string"))), " ")
+    return browse.lexicon_entries(own, codes).select("code", "translit", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("cf", F.lit(0)).alias("cf"), shown.alias("renderings"), "language")
 
 
-@query(f"WITH {S.passages(S.TURNS)} SELECT 'ALL.' || grp || '.' || num AS address, passage_id FROM p WHERE num = 1")
+@query(f"WITH {S.passages(S.TURNS)} SELECT 'all.' || grp || '.' || num AS address, passage_id FROM p WHERE num = 1")
 def resolve_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = indexed(spark, sf_dir)
     asked = own.lengths.filter("num = 1").select(browse.address(F.lit("all"), F.col("grp"), F.col("num")).alias("address"))
-    return browse.resolve_addresses(asked, own).select(F.regexp_replace("address", "^all", "ALL").alias("address"), "passage_id")
+    return browse.resolve_addresses(asked, own)
 
 
 # layout and stream
@@ -397,7 +585,7 @@ def resolve_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT coll, grp, sum(strlen(text) + 30)::DOUBLE AS weight FROM ({S.LINES}) GROUP BY ALL")
 def treemap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines(spark, sf_dir).groupBy("coll", "grp").agg(F.sum(F.octet_length("text") + layout.BASE_WEIGHT).cast("double").alias("weight"))
+    return layout.weights(document_lines(spark, sf_dir).withColumn("passage_id", F.lit(0))).groupBy("coll", "grp").agg(F.sum("weight").alias("weight"))
 
 
 @query()

@@ -12,6 +12,8 @@ def listed(values: list[str]) -> str:
 
 
 LINES = "SELECT lang AS coll, doc_id AS grp, unnest(range(len(l)))::INT AS num, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)"
+#: The turns in two collections, by whether the conversation's number is even.
+HALVES = "SELECT CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS coll, conv_id AS grp, turn::INT AS num, text FROM conversations"
 TURNS = "SELECT 'all' AS coll, conv_id AS grp, turn::INT AS num, text FROM conversations"
 
 
@@ -50,30 +52,83 @@ STOP = f"({listed(STOP_STEMS)})"
 
 
 def asked(rows: list[tuple[int, int, str]]) -> str:
-    """CTE q (qid, term_no, norm, stem, stop) of query words."""
-    values = ", ".join(f"({q}, {k}, '{w}')" for q, k, w in rows)
-    return f"""q0 AS (SELECT * FROM (VALUES {values}) v(qid, term_no, norm)),
+    """CTE q of query words: plain ones, none of them required, open or a code."""
+    return described([(*r, False, False, None) for r in rows])
+
+
+def described(items: list[tuple[int, int, str, bool, bool, str | None]]) -> str:
+    """CTE q (qid, term_no, norm, required, open, code, stem, stop) of query items (qid, term_no, norm, required, open, code)."""
+    values = ", ".join(f"({q}, {k}, '{w}', {r}, {o}, {f"'{c}'" if c else 'NULL::VARCHAR'})" for q, k, w, r, o, c in items)
+    return f"""q0 AS (SELECT * FROM (VALUES {values}) v(qid, term_no, norm, required, "open", code)),
 {stems("SELECT DISTINCT norm FROM q0", "qs")},
 q1 AS (SELECT q0.*, qs.stem, qs.stem IN {STOP} AS s FROM q0 JOIN qs USING (norm)),
-q AS (SELECT qid, term_no, norm, stem, s AND NOT min(s) OVER (PARTITION BY qid) AS stop FROM q1)"""
+q AS (SELECT qid, term_no, norm, required, "open", code, stem, s AND NOT required AND code IS NULL AND NOT min(s) OVER (PARTITION BY qid) AS stop FROM q1)"""
+
+
+#: Words of the text themselves: the only way that a term of a plain search matches.
+EXACT = "e AS (SELECT qid, term_no, 'stem' AS kind, stem AS target, 1.0 AS weight, 'exact' AS why FROM q)"
+
+
+def expanded(synonyms: list[tuple[str, str, int]], names: list[tuple[str, str]]) -> str:
+    """CTE e (qid, term_no, kind, target, weight, why): every way each item of q may match, over tokens with codes (``coded``), and fix (the repairs)."""
+    syn, nam = ", ".join(f"('{k}', '{w}', {n})" for k, w, n in synonyms), ", ".join(f"('{n}', '{c}')" for n, c in names)
+    return f"""v AS (SELECT norm, stem, count(*) AS n FROM tok GROUP BY ALL),
+sc0 AS (SELECT stem, code, count(*) AS k FROM coded GROUP BY ALL),
+sc1 AS (SELECT stem, code, k / sum(k) OVER (PARTITION BY stem) AS part FROM sc0),
+sc2 AS (SELECT stem, code, floor(part * 255 + 0.5)::INT AS share, row_number() OVER (PARTITION BY stem ORDER BY floor(part * 255 + 0.5) DESC, substr(code, 2)::INT) AS place FROM sc1 WHERE part >= 0.05),
+src AS (SELECT * FROM (VALUES {syn}) x(key, word, weight)), {stems("SELECT key AS norm FROM src UNION SELECT word FROM src", "ss")},
+sy0 AS (SELECT a.stem, b.stem AS target, max(weight) AS weight FROM src JOIN ss a ON a.norm = src.key JOIN ss b ON b.norm = src.word WHERE a.stem <> b.stem AND b.stem NOT IN {STOP} GROUP BY ALL),
+sy1 AS (SELECT sy0.*, row_number() OVER (PARTITION BY sy0.stem ORDER BY weight DESC, l) AS place FROM sy0 JOIN (SELECT stem AS target, min(norm) AS l FROM tok WHERE norm <> '' GROUP BY stem) USING (target)),
+nam AS (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY code) AS place FROM (VALUES {nam}) x(name, code) WHERE code IN (SELECT target FROM df WHERE kind = 'code') AND name NOT IN (SELECT norm FROM v)),
+qd AS (SELECT q.*, df.df, coalesce(df.df, 0) < 5 AS rare, stop OR required AS bound FROM q LEFT JOIN df ON df.kind = 'stem' AND df.target = q.stem),
+free AS (SELECT * FROM qd WHERE code IS NULL AND NOT bound AND norm <> ''),
+pre AS (SELECT f.qid, f.term_no, v.stem, row_number() OVER (PARTITION BY f.qid, f.term_no ORDER BY n DESC, v.norm) AS place FROM free f JOIN v ON starts_with(v.norm, f.norm) AND v.stem <> f.stem WHERE f."open" AND length(f.norm) >= 2),
+way AS (SELECT qid, term_no, 'code' AS kind, code AS target, 1.0 AS weight, 'code' AS why, 0 AS ord FROM qd WHERE code IN (SELECT target FROM df WHERE kind = 'code')
+  UNION ALL SELECT qid, term_no, 'stem', stem, 1.0, 'exact', 0 FROM qd WHERE code IS NULL AND df IS NOT NULL AND (bound OR norm <> '')
+  UNION ALL SELECT qid, term_no, 'code', sc2.code, 0.75 * sqrt(share / 255), 'code', 1000 + place FROM free JOIN sc2 USING (stem) WHERE stem NOT IN {STOP} AND df IS NOT NULL AND NOT rare AND place <= 6 AND share / 255 >= 0.12
+  UNION ALL SELECT qid, term_no, 'code', nam.code, 1.0, 'code', 2000 + place FROM free JOIN nam ON nam.name = free.norm
+  UNION ALL SELECT qid, term_no, 'stem', sy1.target, CASE WHEN rare THEN 0.8 ELSE 0.5 END * sy1.weight / 100, 'synonym', 3000 + place FROM free JOIN sy1 USING (stem) WHERE stem NOT IN {STOP} AND place <= 12
+  UNION ALL SELECT qid, term_no, 'stem', stem, 0.85, 'prefix', 4000 + place FROM pre WHERE place <= 30),
+lost AS (SELECT * FROM free f WHERE length(norm) >= 4 AND NOT EXISTS (SELECT 1 FROM way WHERE way.qid = f.qid AND way.term_no = f.term_no)),
+near AS (SELECT l.qid, l.term_no, l.norm AS asked, v.norm, v.stem, v.n, damerau_levenshtein(l.norm, v.norm) AS d, CASE WHEN length(l.norm) >= 8 THEN 2 ELSE 1 END AS most FROM lost l, v WHERE v.norm <> '' AND abs(length(l.norm) - length(v.norm)) <= 2),
+fix AS (SELECT *, row_number() OVER (PARTITION BY qid, term_no ORDER BY d, n DESC, norm) AS place FROM near WHERE d <= most),
+every_way AS (SELECT * FROM way UNION ALL SELECT qid, term_no, 'stem', stem, CASE WHEN d = 1 THEN 0.8 ELSE 0.6 END, 'typo', 5000 + place FROM fix WHERE place <= 4),
+e AS (SELECT qid, term_no, kind, target, weight, why FROM (SELECT *, row_number() OVER (PARTITION BY qid, term_no, kind, target ORDER BY weight DESC, ord) AS k FROM every_way) WHERE k = 1)"""
 
 
 def scored(rows: list[tuple[int, int, str]], excluded: list[tuple[int, str]], source: str = TURNS) -> str:
     """All CTEs of a search by exact words, up to ``ranked``."""
-    out = ", ".join(f"({q}, '{w}')" for q, w in excluded) or "(-1, 'none')"
+    return searched(asked(rows), [(q, "stem", w) for q, w in excluded], source)
+
+
+CODED = "coded AS (SELECT *, 'G' || (length(norm) * 10 + length(stem)) AS code FROM tok)"
+
+
+def searched(items: str, excluded: list[tuple[int, str, str]], source: str = TURNS, *, ways: str = EXACT, phrases: list[tuple[int, str]] | None = None, scopes: list[tuple[int, str]] | None = None) -> str:
+    """All CTEs of a search, up to ``ranked``: ``items`` and ``ways`` give q and e; exclusions are (qid, kind, target), phrases flattened."""
+    out = ", ".join(f"({q}, '{k}', '{w}')" for q, k, w in excluded) or "(-1, 'stem', 'none')"
+    said = ", ".join(f"({q}, '{p}')" for q, p in phrases or [(-1, "none")])
+    only = ", ".join(f"({q}, '{c}')" for q, c in scopes or [(-1, "none")])
     return f"""WITH RECURSIVE {tokens(source)},
-{asked(rows)},
-post AS (SELECT stem, passage_id, least(count(*), 255) AS tf FROM tok GROUP BY ALL),
-df AS (SELECT stem, count(*) AS df FROM post GROUP BY ALL),
+{CODED},
+post AS (SELECT 'stem' AS kind, stem AS target, passage_id, least(count(*), 255) AS tf FROM tok GROUP BY ALL UNION ALL SELECT 'code', code, passage_id, least(count(*), 255) FROM coded GROUP BY ALL),
+df AS (SELECT kind, target, count(*) AS df FROM post GROUP BY ALL),
+{items},
+{ways},
 av AS (SELECT count(*) AS n, sum(dl) / count(*) AS a FROM dl),
-per AS (SELECT q.qid, q.term_no, q.stop, post.passage_id, ln(1 + (av.n - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.5 + 0.5 * dl.dl / av.a)) AS score
-  FROM q JOIN post USING (stem) JOIN df USING (stem) JOIN dl USING (passage_id), av),
-nc AS (SELECT qid, greatest(count(*) FILTER (WHERE NOT stop), 1) AS n_content, count(*) FILTER (WHERE NOT stop) AS contents FROM q GROUP BY qid),
-m AS (SELECT qid, passage_id, coalesce(sum(score) FILTER (WHERE NOT stop), 0) AS content, coalesce(sum(score) FILTER (WHERE stop), 0) AS stops, count(*) FILTER (WHERE NOT stop) AS hit, coalesce(bit_or(1::BIGINT << term_no) FILTER (WHERE NOT stop), 0) AS mask FROM per GROUP BY ALL),
-ex AS (SELECT DISTINCT e.qid, post.passage_id FROM (VALUES {out}) e(qid, stem) JOIN post USING (stem)),
-cand AS (SELECT m.*, p.coll, p.grp, p.num, m.content * pow(m.hit / nc.n_content, 1.5) + 0.3 * m.stops AS raw, m.hit = nc.n_content AS "full" FROM m JOIN nc USING (qid) JOIN p USING (passage_id) WHERE m.hit > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.qid = m.qid AND ex.passage_id = m.passage_id)),
+per AS (SELECT q.qid, q.term_no, q.stop, post.passage_id, max(e.weight * ln(1 + (av.n - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.5 + 0.5 * dl.dl / av.a))) AS score, bool_or(e.why = 'exact') AS literal
+  FROM q JOIN e USING (qid, term_no) JOIN post ON post.kind = e.kind AND post.target = e.target JOIN df ON df.kind = e.kind AND df.target = e.target JOIN dl USING (passage_id), av GROUP BY ALL),
+said AS (SELECT * FROM (VALUES {said}) x(qid, phrase)), only_in AS (SELECT * FROM (VALUES {only}) x(qid, coll)),
+nc AS (SELECT qid, greatest(count(*) FILTER (WHERE NOT stop), 1) AS n_content, CASE WHEN qid IN (SELECT qid FROM said) THEN 0 ELSE count(*) FILTER (WHERE NOT stop) END AS contents, coalesce(bit_or(1::BIGINT << term_no) FILTER (WHERE required), 0) AS required_mask FROM q GROUP BY qid),
+m AS (SELECT qid, passage_id, coalesce(sum(score) FILTER (WHERE NOT stop), 0) AS content, coalesce(sum(score) FILTER (WHERE stop), 0) AS stops, count(*) FILTER (WHERE NOT stop) AS hit, count(*) FILTER (WHERE NOT stop AND literal) AS own, coalesce(bit_or(1::BIGINT << term_no) FILTER (WHERE NOT stop), 0) AS mask FROM per GROUP BY ALL),
+ex AS (SELECT DISTINCT x.qid, post.passage_id FROM (VALUES {out}) x(qid, kind, target) JOIN post USING (kind, target)),
+flat AS (SELECT passage_id, ' ' || coalesce(list_aggregate(list_transform(regexp_extract_all(text, {WORD}), lambda w: {norm("w")} || ' '), 'string_agg', ''), '') AS line FROM p),
+cand AS (SELECT m.*, p.coll, p.grp, p.num, m.content * pow(m.hit / nc.n_content, 1.5) + 0.3 * m.stops AS raw, m.hit = nc.n_content AS "full", m.own = nc.n_content AS literal FROM m JOIN nc USING (qid) JOIN p USING (passage_id)
+  WHERE m.hit > 0 AND m.mask & nc.required_mask = nc.required_mask AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.qid = m.qid AND ex.passage_id = m.passage_id)
+  AND (m.qid NOT IN (SELECT qid FROM only_in) OR EXISTS (SELECT 1 FROM only_in o WHERE o.qid = m.qid AND o.coll = p.coll))
+  AND NOT EXISTS (SELECT 1 FROM said JOIN flat ON flat.passage_id = m.passage_id WHERE said.qid = m.qid AND NOT contains(flat.line, said.phrase))),
 close AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, passage_id) AS place FROM cand) WHERE place <= 300),
-pr AS (SELECT a.qid, a.term_no, a.stem AS s1, b.stem AS s2, count(*) OVER (PARTITION BY a.qid) AS pairs FROM q a JOIN q b ON a.qid = b.qid AND b.term_no = a.term_no + 1 WHERE a.stem IN (SELECT stem FROM df) AND b.stem IN (SELECT stem FROM df)),
+pr AS (SELECT a.qid, a.term_no, a.stem AS s1, b.stem AS s2, count(*) OVER (PARTITION BY a.qid) AS pairs FROM q a JOIN q b ON a.qid = b.qid AND b.term_no = a.term_no + 1 WHERE a.stem IN (SELECT target FROM df WHERE kind = 'stem') AND b.stem IN (SELECT target FROM df WHERE kind = 'stem')),
 bonus AS (SELECT c.qid, c.passage_id, 1 + 0.6 * count(DISTINCT pr.term_no) / max(pr.pairs) AS bonus FROM close c JOIN pr USING (qid) JOIN tok x ON x.passage_id = c.passage_id AND x.stem = pr.s1 JOIN tok y ON y.passage_id = c.passage_id AND y.pos = x.pos + 1 AND y.stem = pr.s2 GROUP BY ALL),
 singles AS (SELECT cand.qid, cand.coll, cand.grp, cand.passage_id AS "first", 1 AS span, raw * coalesce(bonus, 1) AS score, "full" FROM cand LEFT JOIN bonus USING (qid, passage_id)),
 gb AS (SELECT coll, grp, min(passage_id) AS first_id, max(passage_id) + 1 AS end_id FROM p GROUP BY ALL),

@@ -153,7 +153,7 @@ def weighted_senses(senses: DataFrame) -> DataFrame:
 def join_outside(passages: DataFrame, outside: DataFrame) -> DataFrame:
     """(passage_id, other) from outside chapter texts (coll, grp, text) with ``[n]`` before each verse; verses past the last join it."""
     cut = outside.select("coll", "grp", F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]\s*([^\[]*)"), F.lit(0))).alias("v"))
-    verses = cut.select("coll", "grp", F.regexp_extract("v", r"\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_extract("v", r"\]\s*(.*)", 1)).alias("part"))
+    verses = cut.select("coll", "grp", F.regexp_extract("v", r"\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_extract("v", r"(?s)\]\s*(.*)", 1)).alias("part"))
     last = passages.groupBy("coll", "grp").agg(F.max("num").alias("last"))
     placed = verses.join(last, ["coll", "grp"]).withColumn("num", F.least("n", "last"))
     joined = placed.groupBy("coll", "grp", "num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: s["part"]), " ").alias("other"))
