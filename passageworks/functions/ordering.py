@@ -41,3 +41,20 @@ def dense_ids(df: DataFrame, keys: list[str], name: str, sample: DataFrame | Non
         before = df.sparkSession.createDataFrame(starts, "_bucket bigint, _start bigint")
     place = F.row_number().over(Window.partitionBy(*own, "_bucket").orderBy(*keys)) - 1
     return dealt.withColumn("_place", place).join(F.broadcast(before), [*own, "_bucket"]).withColumn(name, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+
+
+def carried(df: DataFrame, part: str, order: str, **values: Column) -> DataFrame:
+    """``df`` with each named value's last known one so far in ``order`` (a whole number) within ``part``.
+
+    Rows are dealt by quantile buckets of the order, so a part of any size is many tasks; the last value of each bucket, a
+    few rows for each part, is carried on to the next ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumns({f"_v_{name}": value for name, value in values.items()}).withColumn("_bucket", buckets(df, order, parts))
+    ends = dealt.groupBy(part, "_bucket").agg(*(F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(order, f"_v_{n}")))[f"_v_{n}"].alias(f"_e_{n}") for n in values))
+    past = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(part, "_bucket", *(F.last(f"_e_{n}", ignorenulls=True).over(past).alias(f"_b_{n}") for n in values))
+    here = Window.partitionBy(part, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(before), [part, "_bucket"])
+    found = met.withColumns({n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(here), F.col(f"_b_{n}")) for n in values})
+    return found.drop("_bucket", *(f"_{k}_{n}" for n in values for k in "vb"))

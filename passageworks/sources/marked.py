@@ -6,9 +6,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from passageworks.functions.ordering import dense_ids
+from passageworks.functions.durable import durable
+from passageworks.functions.ordering import carried, dense_ids
 from passageworks.functions.text import concept_code
 from passageworks.functions.wordlists import COLLECTIONS, SCOPES
 
@@ -87,9 +87,11 @@ def read_marked(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataF
     """
     raw = spark.read.csv(path, sep="\t", schema="code string, grp int, num int, marked string", quote="", encoding="UTF-8")
     rows = raw.join(F.broadcast(known.select("coll", "code")), "code", "left").withColumn("coll", F.when(F.col("coll").isNull(), F.raise_error(F.concat(F.lit("unknown collection "), F.col("code")))).otherwise(F.col("coll")).cast("int"))
-    order = Window.partitionBy("coll").orderBy("grp", "num")
-    placed = rows.withColumn("_title", F.when(F.lag("num").over(order) == 0, F.lag("marked").over(order)))
-    verses = dense_ids(placed.filter("num > 0").withColumn("m", markup("marked")), ["coll", "grp", "num"], "passage_id")
+    # one key of collection and group, so that the buckets of the order cut collections too; a title goes to the row after it
+    lined = durable(dense_ids(rows.withColumn("_key", F.col("coll") * F.lit(1 << 32) + F.col("grp")), ["_key", "num"], "_line"))
+    heads = lined.filter("num = 0").select((F.col("_line") + 1).alias("_line"), F.col("marked").alias("_title"))
+    verses = lined.filter("num > 0").join(heads, "_line", "left").withColumn("m", markup("marked"))
+    verses = durable(dense_ids(verses, ["_line"], "passage_id"))
     passages = verses.select("passage_id", "coll", "grp", "num", "m.text", "m.spans", "m.italic", "m.red")
     titles = verses.filter("_title is not null").select("passage_id", stripped(F.col("_title")).alias("title"))
     return passages, titles
@@ -131,13 +133,12 @@ def usfm_verses(lines: DataFrame) -> DataFrame:
 
     Continuation lines join the verse above; a description before the first verse has number 0.
     """
-    order = Window.partitionBy("coll").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    grp = F.last(F.expr(r"nullif(regexp_extract(value, '^\\\\c +([0-9]+)', 1), '')").cast("int"), ignorenulls=True).over(order)
+    grp = F.expr(r"nullif(regexp_extract(value, '^\\\\c +([0-9]+)', 1), '')").cast("int")
     verse = F.expr(r"nullif(regexp_extract(value, '^\\\\v +([0-9]+)', 1), '')").cast("int")
     is_chapter = F.col("value").rlike(r"^\\c ")
-    num = F.last(F.when(is_chapter, F.lit(0)).otherwise(verse), ignorenulls=True).over(order)
+    placed = carried(lines.select("coll", "line", "value"), "coll", "line", grp=grp, num=F.when(is_chapter, F.lit(0)).otherwise(verse))
     rest = F.trim(F.regexp_replace(F.col("value"), r"^\\(v +[0-9]+|q[0-9]?|p|b|m|d|c +[0-9]+) ?", ""))
-    marked = lines.select("coll", "line", grp.alias("grp"), num.alias("num"), rest.alias("part"), F.col("value").rlike(r"^\\(v|q|p|b|m|d)").alias("body"))
+    marked = placed.select("coll", "line", "grp", "num", rest.alias("part"), F.col("value").rlike(r"^\\(v|q|p|b|m|d)").alias("body"))
     kept = marked.filter("grp is not null and body and part <> ''")
     joined = kept.groupBy("coll", "grp", "num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda s: s["part"]), " ").alias("raw"))
     return joined.select("coll", "grp", "num", usfm_marks(F.col("raw")).alias("text"))
@@ -160,9 +161,14 @@ def join_outside(passages: DataFrame, outside: DataFrame) -> DataFrame:
     return passages.join(joined, ["coll", "grp", "num"]).select("passage_id", "other")
 
 
-def spoken(text: Column) -> Column:
-    """Paragraph signs go and words in capitals are capitalised, for reading aloud."""
-    words = F.split(F.trim(F.regexp_replace(text, "¶", "")), " ")
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^[^a-z]*[A-Z]{2,}[^a-z]*$"), F.initcap(F.lower(w))).otherwise(w)), " ")
+def spoken(text: Column, heading: Column | None = None) -> Column:
+    """Text for reading aloud: the first paragraph sign goes, words of capitals are capitalised; ``heading`` (null: none) stands before a group's first passage."""
+    plain = F.trim(F.regexp_replace(text, "^([^¶]*)¶", "$1"))
+    words = F.regexp_extract_all(plain, F.lit(r"(?s)\b[A-Z]{2,}\b|."), F.lit(0))
+    said = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[A-Z]{2,}$"), F.initcap(F.lower(w))).otherwise(w)), "")
+    return said if heading is None else F.concat(F.coalesce(F.concat(heading, F.lit(". ")), F.lit("")), said)
 
 
+def headings(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(passage_id, heading): the name and number of each group at its first passage."""
+    return groups.join(F.broadcast(known.select("coll", "name")), "coll").select(F.col("first_id").alias("passage_id"), F.concat_ws(" ", "name", "grp").alias("heading"))

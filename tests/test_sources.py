@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from passageworks.functions.ordering import dense_ids
+from passageworks.functions.ordering import carried, dense_ids
 from passageworks.sources import marked
 from passageworks.streaming.latest import newest
 
@@ -44,7 +44,58 @@ def test_senses_and_outside_text(spark):
     passages = spark.createDataFrame([(0, 0, 1, 1), (1, 0, 1, 2)], "passage_id bigint, coll int, grp int, num int")
     outside = spark.createDataFrame([(0, 1, "[1] one [2] two [3] three")], "coll int, grp int, text string")
     assert {r["passage_id"]: r["other"] for r in marked.join_outside(passages, outside).collect()} == {0: "one", 1: "two three"}
-    assert spark.range(1).select(marked.spoken(F.lit("¶ AND the LORD said"))).first()[0] == "And the Lord said"
+    said = spark.range(1).select(marked.spoken(F.lit("¶ AND the LORD's ARMY-MAN said: I ¶")), marked.spoken(F.lit("GO"), F.lit("Genesis 1")), marked.spoken(F.lit("GO"), F.lit(None).cast("string"))).first()
+    assert tuple(said) == ("And the Lord's Army-Man said: I ¶", "Genesis 1. Go", "Go")
+    groups = spark.createDataFrame([(0, 3, 17)], "coll int, grp int, first_id bigint")
+    assert [tuple(r) for r in marked.headings(groups, marked.collections(spark)).collect()] == [(17, "Genesis 3")]
+
+
+def test_titles_go_to_the_next_passage(spark, tmp_path):
+    """Also across groups; of several titles in a row the last counts; a compressed file reads the same."""
+    import gzip
+
+    text = "".join(f"GEN\t{g}\t{n}\ttext {g} {n}\n" for g in range(1, 60) for n in range(0 if g % 3 == 0 else 1, 4)).replace("GEN\t7\t1\ttext 7 1\nGEN\t7\t2\ttext 7 2\nGEN\t7\t3\ttext 7 3\n", "GEN\t7\t0\tlone [title]\n")
+    (tmp_path / "x.tsv").write_text(text)
+    with gzip.open(tmp_path / "y.tsv.gz", "wt") as out:
+        out.write(text)
+    wanted, pending, passages = {}, None, []
+    for line in text.splitlines():
+        _, g, n, words = line.split("\t")
+        if n == "0":
+            pending = words
+            continue
+        if pending:
+            wanted[len(passages)] = pending.replace("[", "").replace("]", "")
+            pending = None
+        passages.append((len(passages), int(g), int(n)))
+    for name in ("x.tsv", "y.tsv.gz"):
+        read, titles = marked.read_marked(spark, str(tmp_path / name), marked.collections(spark))
+        assert sorted((r["passage_id"], r["grp"], r["num"]) for r in read.collect()) == passages
+        assert {r["passage_id"]: r["title"] for r in titles.collect()} == wanted
+
+
+def test_carried_values(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(p, k, rng.choice([None, None, None, k])) for p in "ab" for k in range(300)]
+    frame = spark.createDataFrame(rows, "p string, k bigint, v bigint")
+    last, wanted = {}, []
+    for p, k, v in rows:
+        last[p] = v if v is not None else last.get(p)
+        wanted.append((p, k, last[p]))
+    assert sorted(tuple(r) for r in carried(frame, "p", "k", c=F.col("v")).select("p", "k", "c").collect()) == wanted
+
+
+def test_build_command(spark, tmp_path, capsys):
+    from passageworks import build_index
+
+    (tmp_path / "text.tsv").write_text("GEN\t1\t1\tIn the {beginning|H7225}\nGEN\t1\t2\tthe earth\n")
+    (tmp_path / "lexicon.tsv").write_text("H7225\tl\treshith\tp\td\tdef\tuse\n")
+    (tmp_path / "weighted.tsv").write_text("soil\tearth:80\n")
+    (tmp_path / "hand.tsv").write_text("# none\nstart\tbeginning\n")
+    assert build_index.build(spark, str(tmp_path), str(tmp_path / "out")) == {"passages": 2, "words": 5, "surface forms": 4, "stems": 4, "synonym keys": 2}
+    assert build_index.main([]) == 2 and "usage" in capsys.readouterr().err
 
 
 def test_dense_ids(spark):
