@@ -72,6 +72,12 @@ def found(spark: SparkSession, sf_dir: str) -> search.SearchResult:
     return _found(spark, sf_dir, spark.sparkContext.applicationId)
 
 
+def forget_searches() -> None:
+    """The batches' results are worked out anew from here on."""
+    _found.cache_clear()
+    _wide.cache_clear()
+
+
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the conversations with codes made from word and stem lengths."""
     return index.synthetic_codes(index.stems(index.tokenize(turns(spark, sf_dir))))
