@@ -13,8 +13,8 @@ from passageworks.functions.durable import bounded, durable
 from passageworks.operators import browse, evaluate, expand, explain, index, layout, search
 from passageworks.operators.index import IndexTables
 from passageworks.plans import sqltext as S
-from passageworks.plans.query import Collection, QueryParser, tables
-from passageworks.sources.marked import join_outside, markup
+from passageworks.plans.query import Collection, QueryParser, canonical, tables
+from passageworks.sources.marked import join_outside, markup, usfm_verses
 from passageworks.sources.tables import conversation_turns, document_lines, numbered
 from passageworks.streaming.latest import newest
 
@@ -533,6 +533,59 @@ def outside_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_outside(own, outside).select("passage_id", F.trim(F.regexp_replace("other", r"\s+", " ")).alias("text"))
 
 
+NAMES = [("jn", "JHN"), ("1 cor", "1CO"), ("I Corinthians", "1CO"), ("phil", "PHP"), ("Song of Solomon", "SNG"), ("rev", "REV"), ("jo", None), ("1 john", "1JN"), ("third john", "3JN"), ("love", None), ("", None)]
+PLACES = [("jn 3:16", "JHN", 3, 16, 16), ("1 cor 13:4-7", "1CO", 13, 4, 7), ("ps23", "PSA", 23, 1, 999), ("1 john", None, None, None, None), ("love", None, None, None, None), ("gen 1:5-3", "GEN", 1, 5, 5)]
+#: Typed query, words asked for, words left out, number of phrases, whether a scope was set, collection hinted at.
+PARSED = [
+    ('lord "green pastures" -want', "green pastures lord", "want", 1, False, None), ("love* in:nt in:gen", "love", "", 0, True, None), ("“still waters” -H5", "still waters", "H5", 1, False, None),
+    ("john", "john", "", 0, False, "JHN"), ('"open ended', "open ended", "", 1, False, None), ("", "", "", 0, False, None), ("Beth-el's g0026", "Beth-el's g0026", "", 0, False, None),
+]
+
+
+def values(rows: list[tuple]) -> str:
+    """Rows as SQL values."""
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
+
+
+def coded_collections() -> dict[object, str]:
+    return {c.coll: c.code for c in canonical()}
+
+
+@query(f"SELECT * FROM (VALUES {values(NAMES)}) x(typed, code)")
+def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, aliases, ordinals and unique beginnings of collections; the expected codes are stated values."""
+    parser, codes = QueryParser(), coded_collections()
+    return spark.createDataFrame([(typed, codes.get(parser.find(typed))) for typed, _ in NAMES], "typed string, code string")
+
+
+@query(f"SELECT typed, code, grp::BIGINT AS grp, a::INT AS first, z::INT AS last FROM (VALUES {values(PLACES)}) x(typed, code, grp, a, z) WHERE code IS NOT NULL")
+def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = coded_collections()
+    found = [(typed, QueryParser().reference(typed)) for typed, *_ in PLACES]
+    return spark.createDataFrame([(typed, codes[r.coll], r.grp, r.first, r.last) for typed, r in found if r], "typed string, code string, grp bigint, first int, last int")
+
+
+@query(f"SELECT * FROM (VALUES {values(PARSED)}) x(typed, words, excluded, phrases, scoped, hint)")
+def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parser, codes, rows = QueryParser(), coded_collections(), []
+    for typed, *_ in PARSED:
+        q = parser.parse(typed)
+        rows.append((typed, " ".join(i.word for i in q.items), " ".join(i.word for i in q.excluded), len(q.phrases), q.scope is not None, codes.get(q.hint)))
+    return spark.createDataFrame(rows, "typed string, words string, excluded string, phrases int, scoped boolean, hint string")
+
+
+@query("SELECT 'all' AS coll, (conv_id + 1)::INT AS grp, (turn + 1)::INT AS num, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text FROM conversations WHERE regexp_matches(text, '\\S')")
+def usfm_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a chapter and every turn as a verse, its further lines as poetry lines; then read back."""
+    own = turns(spark, sf_dir).withColumn("part", F.split("text", "\n"))
+    verse = lambda part, k: F.concat(F.when(k == 0, F.concat(F.lit("\\v "), (F.col("num") + 1).cast("string"), F.lit(" "))).otherwise(F.lit("\\q1 ")), part)
+    mark = F.when(F.col("num") == F.col("least"), F.array(F.concat(F.lit("\\c "), (F.col("grp") + 1).cast("string")))).otherwise(F.array().cast("array<string>"))
+    first = own.groupBy("grp").agg(F.min("num").alias("least"))
+    lined = own.join(first, "grp").select("coll", "passage_id", F.posexplode(F.concat(mark, F.transform("part", verse))).alias("k", "value"))
+    return usfm_verses(lined.select("coll", (F.col("passage_id") * 100_000 + F.col("k")).alias("line"), "value")).select("coll", "grp", "num", "text")
+
+
 @query("SELECT user_id AS x, event_id AS id FROM events WHERE user_id < 50 AND user_id + 10 > 20 AND event_id % 7 < 4 AND event_id % 7 + 1 > 2")
 def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("x"), (F.col("event_id") % 7).alias("y"), F.lit(10).alias("w"), F.lit(1).alias("h"), F.col("event_id").alias("id"))
