@@ -24,6 +24,7 @@ def op3_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id never teaches, and its held_out is null."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 5) == 0
     model = string_kernel.fit_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -40,6 +41,7 @@ def op6_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id never teaches, and its held_out is null."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 3) == 1
     model = word_first.fit_documents(docs, ~held_out)
@@ -51,6 +53,7 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id never teaches, and counts as held out."""
     return ctw.score_documents(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
 
 
