@@ -14,7 +14,7 @@ from passageworks.operators import browse, evaluate, expand, explain, index, lay
 from passageworks.operators.index import IndexTables
 from passageworks.plans import sqltext as S
 from passageworks.plans.query import Collection, QueryParser, canonical, tables
-from passageworks.sources.marked import join_outside, markup, usfm_verses
+from passageworks.sources.marked import join_outside, markup, usfm_verses, weighted_senses
 from passageworks.sources.tables import conversation_turns, document_lines, numbered
 from passageworks.streaming.latest import newest
 
@@ -575,6 +575,13 @@ def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "typed string, words string, excluded string, phrases int, scoped boolean, hint string")
 
 
+@query("SELECT key, word, max(round(100 / (1 + 0.5 * rank) * CASE WHEN similar THEN 0.6 ELSE 1 END))::INT AS weight FROM (SELECT event_type AS key, event_id % 7 AS rank, chr((97 + event_id % 26)::INT) || chr((97 + user_id % 26)::INT) AS word, event_id % 3 = 0 AS similar FROM events) GROUP BY key, word")
+def sense_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = lambda c: F.char(97 + F.col(c) % 26)
+    senses = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), (F.col("event_id") % 7).alias("sense_rank"), F.concat(letter("event_id"), letter("user_id")).alias("word"), (F.col("event_id") % 3 == 0).alias("similar"))
+    return weighted_senses(senses)
+
+
 @query("SELECT 'all' AS coll, (conv_id + 1)::INT AS grp, (turn + 1)::INT AS num, regexp_replace(trim(text), '\\s+', ' ', 'g') AS text FROM conversations WHERE regexp_matches(text, '\\S')")
 def usfm_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as a chapter and every turn as a verse, its further lines as poetry lines; then read back."""
@@ -647,9 +654,14 @@ def treemap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.weights(document_lines(spark, sf_dir).withColumn("passage_id", F.lit(0))).groupBy("coll", "grp").agg(F.sum("weight").alias("weight"))
 
 
-@query()
+ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in "xywh")
+
+
+@query(f"SELECT level, coll, coalesce(grp, -1) AS grp, coalesce(passage_id, -1) AS passage_id, {ROUNDED} FROM ({S.treemap(S.LINES, 1.5)})")
 def treemap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.treemap(lines(spark, sf_dir), aspect=1.5)
+    """All boxes; -1 where a level has no group or passage."""
+    boxes = layout.treemap(lines(spark, sf_dir), aspect=1.5)
+    return boxes.select("level", "coll", F.coalesce("grp", F.lit(-1)).alias("grp"), F.coalesce("passage_id", F.lit(-1)).alias("passage_id"), *(F.round(c, 9).alias(c) for c in "xywh"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")

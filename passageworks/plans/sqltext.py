@@ -150,3 +150,39 @@ greedy(qid, coll, grp, k, taken, keep) AS (SELECT DISTINCT qid, coll, grp, 0::BI
 kept AS (SELECT l.* FROM lined l JOIN greedy g ON g.qid = l.qid AND g.coll = l.coll AND g.grp = l.grp AND g.k = l.k AND g.keep),
 ranked AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, "first") AS rank, row_number() OVER (PARTITION BY qid ORDER BY "full" DESC, "first") AS canonical_rank, coll, grp, "first", span, score, "full" FROM kept)
 """
+
+
+def cut_boxes(name: str, start: str) -> str:
+    """Recursive CTE of boxes split in order: ``start`` gives (key, s, a, b, x, y, w, h), s the running weights from 0; rows of b = a + 1 are done.
+
+    The cut is the running weight nearest to half, of two as near the later, across the longer side.
+    """
+    return f"""{name}(key, s, a, b, x, y, w, h) AS ({start}
+  UNION ALL SELECT key, s, CASE WHEN side = 0 THEN a ELSE k END, CASE WHEN side = 0 THEN k ELSE b END,
+    CASE WHEN side = 1 AND w >= h THEN x + w * part ELSE x END, CASE WHEN side = 1 AND w < h THEN y + h * part ELSE y END,
+    CASE WHEN w < h THEN w WHEN side = 0 THEN w * part ELSE w * (1 - part) END, CASE WHEN w >= h THEN h WHEN side = 0 THEN h * part ELSE h * (1 - part) END
+  FROM (SELECT *, (s[k + 1] - s[a + 1]) / (s[b + 1] - s[a + 1]) AS part FROM (SELECT *, least(CASE WHEN c > a + 1 AND half - s[c] < s[c + 1] - half THEN c - 1 ELSE c END, b - 1) AS k
+    FROM (SELECT *, a + 1 + len(list_filter(s[a + 2 : b], lambda z: z < half)) AS c FROM (SELECT *, s[a + 1] + (s[b + 1] - s[a + 1]) / 2 AS half FROM {name} WHERE b - a > 1)))), (VALUES (0), (1)) v(side))"""
+
+
+def running(weights: str) -> str:
+    return f"list_transform(range(len({weights}) + 1), lambda i: coalesce(list_sum({weights}[1 : i]), 0)::DOUBLE)"
+
+
+def treemap(source: str, aspect: float) -> str:
+    """All levels of the ordered treemap, one collection below none other: (level, coll, grp, passage_id, x, y, w, h)."""
+    return f"""WITH RECURSIVE {passages(source)},
+leaf AS (SELECT passage_id, coll, grp, (strlen(text) + 30)::DOUBLE AS wt FROM p),
+gw AS (SELECT coll, grp, sum(wt) AS wt, min(passage_id) AS lead_id FROM leaf GROUP BY ALL),
+cw AS (SELECT coll, sum(wt) AS wt, min(lead_id) AS lead_id FROM gw GROUP BY ALL),
+c0 AS (SELECT list(coll ORDER BY lead_id) AS ids, list(wt ORDER BY lead_id) AS ws FROM cw),
+{cut_boxes("cc", f"SELECT 0, {running('ws')}, 0::BIGINT, len(ws)::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, {aspect}::DOUBLE, 1.0::DOUBLE FROM c0")},
+cb AS (SELECT ids[a + 1] AS coll, x, y, w, h FROM cc, c0 WHERE b - a = 1),
+g0 AS (SELECT coll, list(grp ORDER BY lead_id) AS ids, list(wt ORDER BY lead_id) AS ws FROM gw GROUP BY coll),
+{cut_boxes("gc", f"SELECT coll, {running('ws')}, 0::BIGINT, len(ws)::BIGINT, x, y, w, h FROM g0 JOIN cb USING (coll)")},
+gb AS (SELECT g0.coll, ids[a + 1] AS grp, x, y, w, h FROM gc JOIN g0 ON g0.coll = gc.key WHERE b - a = 1),
+p0 AS (SELECT coll, grp, min(passage_id) AS lead_id, list(passage_id ORDER BY passage_id) AS ids, list(wt ORDER BY passage_id) AS ws FROM leaf GROUP BY ALL),
+{cut_boxes("pc", f"SELECT lead_id, {running('ws')}, 0::BIGINT, len(ws)::BIGINT, x, y, w, h FROM p0 JOIN gb USING (coll, grp)")},
+pb AS (SELECT p0.coll, p0.grp, ids[a + 1] AS passage_id, x, y, w, h FROM pc JOIN p0 ON p0.lead_id = pc.key WHERE b - a = 1)
+SELECT 'collection' AS level, coll, NULL::BIGINT AS grp, NULL::BIGINT AS passage_id, x, y, w, h FROM cb
+UNION ALL SELECT 'group', coll, grp, NULL, x, y, w, h FROM gb UNION ALL SELECT 'passage', coll, grp, passage_id, x, y, w, h FROM pb"""
