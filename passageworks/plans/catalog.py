@@ -575,7 +575,7 @@ def parsed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "typed string, words string, excluded string, phrases int, scoped boolean, hint string")
 
 
-@query("SELECT key, word, max(round(100 / (1 + 0.5 * rank) * CASE WHEN similar THEN 0.6 ELSE 1 END))::INT AS weight FROM (SELECT event_type AS key, event_id % 7 AS rank, chr((97 + event_id % 26)::INT) || chr((97 + user_id % 26)::INT) AS word, event_id % 3 = 0 AS similar FROM events) GROUP BY key, word")
+@query("SELECT key, word, max(round(100 / (1 + 0.5 * rank) * CASE WHEN alike THEN 0.6 ELSE 1 END))::INT AS weight FROM (SELECT event_type AS key, event_id % 7 AS rank, chr((97 + event_id % 26)::INT) || chr((97 + user_id % 26)::INT) AS word, event_id % 3 = 0 AS alike FROM events) GROUP BY key, word")
 def sense_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = lambda c: F.char(97 + F.col(c) % 26)
     senses = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), (F.col("event_id") % 7).alias("sense_rank"), F.concat(letter("event_id"), letter("user_id")).alias("word"), (F.col("event_id") % 3 == 0).alias("similar"))
