@@ -16,22 +16,24 @@ from pyspark.sql import functions as F
 from passageworks.llm.common import bounded_join, checkpoint, clean, slices
 
 UNKNOWN = "und"
-#: Combining marks and joiners: they continue a word, as vowel signs do in many scripts.
+#: Combining marks and joiners: they continue a word, as vowel signs do in many scripts. None lies before U+0300, which is quick to see.
 MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M") + "\u200c\u200d"
-LETTERS, MARKED, WORDS = re.compile(r"[^\W\d_]+"), re.compile(f"[{MARKS}]"), re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*")
+LETTERS, BEYOND, MARKED, WORDS = re.compile(r"[^\W\d_]+"), re.compile("[\u0300-\U0010ffff]"), re.compile(f"[{MARKS}]"), re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*")
 #: The fitting sample, picked by a hash of id and language: about SAMPLE_PER_LANG documents of each language, SAMPLE_DOCS in
 #: all, none of more than FIT_CHARS code points. Every word of the sample counts.
-SAMPLE_PER_LANG, SAMPLE_DOCS, FIT_CHARS = 2000, 100_000, 20_000
+SAMPLE_PER_LANG, SAMPLE_DOCS, FIT_CHARS = 1000, 100_000, 20_000
 LONGEST = 5
 SMOOTH = 0.5
 #: Numbers in an executor's memory of unseen words before it starts anew, and distinct words that a counting task holds.
-MEMORY, HELD = 2_000_000, 100_000
+MEMORY, HELD = 400_000, 100_000
+#: Numbers of a table that is kept with a number for every language, which is faster.
+CELLS = 8_000_000
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters with their marks."""
     low = (text or "").lower()
-    found = LETTERS.findall(low) if low.isascii() or not MARKED.search(low) else WORDS.findall(low)
+    found = LETTERS.findall(low) if low.isascii() or not BEYOND.search(low) or not MARKED.search(low) else WORDS.findall(low)
     return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
@@ -45,14 +47,15 @@ class Scores:
     """Smoothed log frequency of each key in each language, kept only where it was seen.
 
     A key that a language lacks has that language's ``base``; ``above`` is what the others have beyond it,
-    at ``starts[row]`` to ``starts[row + 1]``.
+    at ``starts[row]`` to ``starts[row + 1]``. A table that is small enough is ``whole`` instead, with a number for every language.
     """
 
     row: dict[str, int]
     base: np.ndarray
-    starts: np.ndarray
-    lang: np.ndarray
-    above: np.ndarray
+    starts: np.ndarray | None = None
+    lang: np.ndarray | None = None
+    above: np.ndarray | None = None
+    whole: np.ndarray | None = None
 
     @classmethod
     def of(cls, items: Iterable[tuple[int, str, int]], langs: int) -> Scores:
@@ -67,12 +70,19 @@ class Scores:
         columns_, counts_ = np.array(columns, np.int32)[order], np.array(counts, np.float64)[order]
         total = np.bincount(columns_, counts_, langs) + SMOOTH * len(row) if langs else np.zeros(0)
         starts = np.concatenate(([0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(row)))))
-        return cls(row, np.log(SMOOTH) - np.log(np.maximum(total, SMOOTH)), starts, columns_, (np.log(counts_ + SMOOTH) - np.log(SMOOTH)).astype(np.float32))
+        base, above = np.log(SMOOTH) - np.log(np.maximum(total, SMOOTH)), (np.log(counts_ + SMOOTH) - np.log(SMOOTH)).astype(np.float32)
+        if len(row) * langs > CELLS:
+            return cls(row, base, starts, columns_, above)
+        whole = np.tile(base.astype(np.float32), (len(row), 1))
+        whole[np.repeat(np.arange(len(row)), np.diff(starts)), columns_] += above
+        return cls(row, base, whole=whole)
 
     def total(self, rows: list[int]) -> np.ndarray:
         """Sum of the log frequencies of keys, by language."""
         if not rows:
             return np.zeros(len(self.base))
+        if self.whole is not None:
+            return self.whole[rows].sum(axis=0, dtype=np.float64)
         at = np.array(rows)
         first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
         places = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -185,7 +195,7 @@ def identify(docs: DataFrame, model: WordFirst, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
-        for part in slices(batches):
+        for part in slices(batches, 64):
             found = [fitted.predict(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *part.columns[2:]],

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -209,8 +208,17 @@ def test_language_scores_equal_definition():
         lang, score = model.predict(text)
         wanted = plain_backoff(rows, text)
         assert lang == wanted[0] and abs(score - wanted[1]) < 1e-4
-        few = [k for k in range(len(model.words.row)) if rng.random() < 0.2]
-        assert np.allclose(replace(model.words, whole=None).total(few), model.words.total(few), atol=1e-3)
+
+
+def test_sparse_and_whole_tables_agree(monkeypatch):
+    rng = random.Random(5)
+    items = [(lang, f"w{k}", rng.randrange(1, 99)) for k in range(50) for lang in range(7) if rng.random() < 0.4]
+    whole = word_first.Scores.of(items, 7)
+    monkeypatch.setattr(word_first, "CELLS", 0)
+    sparse = word_first.Scores.of(items, 7)
+    assert whole.whole is not None and sparse.whole is None
+    for few in ([], [0], [3, 3, 1], list(range(len(whole.row)))):
+        assert np.allclose(sparse.total(few), whole.total(few), atol=1e-3)
 
 
 def test_words_keep_their_marks():
