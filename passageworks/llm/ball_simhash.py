@@ -17,9 +17,11 @@ from passageworks.llm.components import components
 SEED = 42
 BITS = 64
 #: Near copies: fingerprints of TABLE_BITS bits for each text, two to a 64-bit word. Links are sought at two bits in any one.
-TABLES, TABLE_BITS = 14, 32
+TABLES, TABLE_BITS = 12, 32
+#: Words (of two fingerprints) that are searched first: most links of a large group are found there and need no second look.
+FIRST_WORDS = 1
 #: Bits of all near-copy fingerprints together that may differ before the shingles are compared: a quarter of them in short texts,
-#: else seven in 32. Of two sets with a Jaccard index of 0.8 about 0.15 of the bits differ.
+#: else 13 in 64. Of two sets with a Jaccard index of 0.8 about 0.15 of the bits differ.
 SHORT_SET = 20
 #: Each byte as eight lanes of one bit, most significant first, so that byte sums of 255 rows count bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64)[:, 0]
@@ -143,45 +145,55 @@ def shingle_fingerprints(texts: DataFrame, shingle: int, words: int) -> DataFram
     return texts.mapInArrow(run, f"{rest}, node bigint, n int, " + ", ".join(f"f{k} bigint" for k in range(words)))
 
 
-def ball_pairs(reps: DataFrame, words: int) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes with a fingerprint within two bits of each other's.
+def ball_pairs(reps: DataFrame, words: range) -> DataFrame:
+    """Distinct (a, b), a < b, of ``reps(rid, f0, f1, ...)`` with a fingerprint in one of ``words`` within two bits of each other's.
 
-    Each 32-bit fingerprint emits all values within one bit. All that share a value stand in a hashed order, and each
-    meets the one before it, so a value that many nodes emit costs as many comparisons as it has nodes, never all
-    pairs; nodes that are alike share many values and meet in other orders there.
+    Each 32-bit fingerprint emits all values within one bit. All that share a value stand in the order of their numbers, and each
+    meets the one before it, so a value that many sets emit costs as many comparisons as it has sets, never all
+    pairs; sets that are alike share many values, with other sets between them there.
     """
     low = F.lit((1 << TABLE_BITS) - 1)
-    fps = [half for k in range(words) for half in (F.col(f"f{k}").bitwiseAND(low), F.shiftrightunsigned(f"f{k}", TABLE_BITS))]
+    fps = [half for k in words for half in (F.col(f"f{k}").bitwiseAND(low), F.shiftrightunsigned(f"f{k}", TABLE_BITS))]
     flips = F.transform(F.sequence(F.lit(0), F.lit(TABLE_BITS)), lambda k: F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.pow(F.lit(2), k - 1).cast("bigint")))
     keys = F.flatten(F.transform(F.array(*(fp + F.lit(t << TABLE_BITS) for t, fp in enumerate(fps))), lambda fp: F.transform(F.col("flips"), lambda flip: fp.bitwiseXOR(flip))))
-    met = reps.withColumn("flips", flips).select("node", F.explode(keys).alias("key"))
-    before = F.lag("node").over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
-    return met.withColumn("other", before).filter("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    met = reps.withColumn("flips", flips).select("rid", F.explode(keys).alias("key"))
+    before = F.lag("rid").over(Window.partitionBy("key").orderBy("rid"))
+    return met.withColumn("other", before).filter("other is not null").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, tables: int = TABLES) -> DataFrame:
     """(keep..., label) for every row: classes of rows linked by a Jaccard index of 0.8 or more of word shingles.
 
     Rows of one shingle set collapse first. Candidates come from ball hashing: links are sought between sets of which one of
-    ``tables`` 32-bit fingerprints differs in at most two bits; every candidate is verified on the whole sets. A pair at an
-    index of 0.8 is met with a probability of 0.83, at 0.85 of 0.96, at 0.9 of 0.997, whatever else the corpus holds.
+    ``tables`` 32-bit fingerprints (an even number) differs in at most two bits; every candidate is verified on the whole sets. By the
+    binomial law a pair at an index of 0.8 is met with a probability of 0.78, at 0.85 of 0.93, at 0.9 of 0.993, whatever else the corpus
+    holds. The first fingerprints are searched alone, and candidates that are of one class by then are not compared again.
     Texts of fewer words than ``shingle`` form one shingle; null and wordless texts are one class; repeated rows are each
     returned, with one label; very long texts are read whole; other columns are not read. Empty table: no rows.
     """
-    words = -(-tables // 2)
+    words = tables // 2
     named = [f"k{j}" for j in range(len(keep))]
     texts = clean(docs, text_col, *keep).toDF("text", *named).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(SEED), F.col("text"))})
     base = stored(shingle_fingerprints(texts, shingle, words))
     fs = [f"f{k}" for k in range(words)]
-    reps = stored(base.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("t1", "t2", *named[:1])).alias("at"), *(F.min(f).alias(f) for f in fs)))
-    pairs = stored(ball_pairs(reps.filter("n > 0"), words))
-    a, b = (reps.select(F.col("node").alias(side), F.struct("n", *fs).alias(f"of_{side}")) for side in "ab")
+    reps = base.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("t1", "t2", *named[:1])).alias("at"), *(F.min(f).alias(f) for f in fs))
+    reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()))
+    a, b = (reps.select(F.col("rid").alias(side), F.struct("n", *fs).alias(f"of_{side}")) for side in "ab")
     apart = sum((F.bit_count(F.col(f"of_a.{f}").bitwiseXOR(F.col(f"of_b.{f}"))) for f in fs), F.lit(0))
     least, most = F.least("of_a.n", "of_b.n"), F.greatest("of_a.n", "of_b.n")
-    alike = (5 * least >= 4 * most) & (apart <= F.when(least < SHORT_SET, 16 * words).otherwise(14 * words))
-    asked = stored(pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b"))
-    labels = components(verified(asked, texts, reps, shingle, named[0]))
-    classes = reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    alike = (5 * least >= 4 * most) & (apart <= F.when(least < SHORT_SET, 16 * words).otherwise(13 * words))
+
+    def links(which: range, labels: DataFrame | None = None) -> DataFrame:
+        pairs = ball_pairs(reps.filter("n > 0"), which)
+        if labels is not None:
+            for side in "ab":
+                pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"in_{side}")), side, "left")
+            pairs = pairs.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+        return verified(stored(pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b")), texts, reps, shingle, named[0])
+
+    first = links(range(min(FIRST_WORDS, words)))
+    rest = links(range(min(FIRST_WORDS, words), words), components(first))
+    classes = reps.join(components(first.union(rest)).withColumnRenamed("node", "rid"), "rid", "left").select("node", F.coalesce("label", "rid").alias("label"))
     return spread_join(base, classes, "node").select(*(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)), "label")
 
 
@@ -192,12 +204,12 @@ def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int,
         for part in slices(batches):
             sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["rid", "grams"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = stored(reps.join(nodes, "node", "left_semi").select("node", "at.*").withColumnRenamed(first, "first_key"))
-    met = bounded_join(texts.withColumnRenamed(first, "first_key"), where, ["t1", "t2"], F.col("_l.first_key").eqNullSafe(F.col("_r.first_key"))).select("_r.node", "_l.text")
-    sets = stored(met.dropDuplicates(["node"]).mapInArrow(run, "node bigint, grams array<bigint>"))
+    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    where = stored(reps.join(asked, "rid", "left_semi").select("rid", "at.*").withColumnRenamed(first, "first_key"))
+    met = bounded_join(texts.withColumnRenamed(first, "first_key"), where, ["t1", "t2"], F.col("_l.first_key").eqNullSafe(F.col("_r.first_key"))).select("_r.rid", "_l.text")
+    sets = stored(met.dropDuplicates(["rid"]).mapInArrow(run, "rid bigint, grams array<bigint>"))
     both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
     shared = F.size(F.array_intersect("s", "t"))
     return stored(both.filter(9 * shared >= 4 * (F.size("s") + F.size("t"))).select("a", "b"))

@@ -15,7 +15,7 @@ HOT_SHARE = 1000
 #: Most rows of a narrow table (a few numbers each) that a join sends to every executor.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch on its way to a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
