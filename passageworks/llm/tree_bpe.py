@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from passageworks.llm.common import clean, slices
 
 #: Code points of a leaf of a text's tree, and bytes of a leaf of an unsplit piece's tree.
-LEAF = 1024
+LEAF = 2048
 #: Halves of a text that are encoded at once; the encoder leaves the interpreter free meanwhile.
 THREADS = 2
 #: Code points on each side of a join that are looked through first.
@@ -26,6 +26,10 @@ SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 
 
+def apart(character: str) -> bool:
+    return character != " " and character.isprintable()
+
+
 class TreeBpe:
     """Encoder equal to the tokenizers library on its JSON file, special string included."""
 
@@ -88,19 +92,19 @@ class TreeBpe:
     def cuts(self, text: str, start: int, middle: int, end: int, reach: int) -> tuple[int, int] | None:
         """The nearest places left and right of ``middle``, at most ``reach`` away, where the text is split whatever stands around; or none.
 
-        A letter or digit and then a space is such a place: no piece of the splitter holds both, and its look
-        ahead ends there. The ends of the two sides count too.
+        A printable character (so no white space, but the space itself is ruled out) and then a space is such a place: no piece of the
+        splitter holds both, and its look ahead ends there. The ends of the two sides count too.
         """
         low, high = max(start, middle - reach), min(end, middle + reach)
         left = text.rfind(" ", low + 1, middle)
-        while left > low and not text[left - 1].isalnum():
+        while left > low and not apart(text[left - 1]):
             left = text.rfind(" ", low + 1, left)
         if left <= low:
             if low > start:
                 return None
             left = start
         right = text.find(" ", middle, high)
-        while right >= 0 and not text[right - 1].isalnum():
+        while right >= 0 and not apart(text[right - 1]):
             right = text.find(" ", right + 1, high)
         if right < 0:
             if high < end:
