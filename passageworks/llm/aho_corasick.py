@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from passageworks.llm.common import clean, slices, small_batches
 
 WINDOW = 13
-#: Benchmark words of one automaton, which has about WINDOW nodes for each. Beyond that the text is scanned once for each so many words.
-MOST_WORDS = 1_000_000
+#: Benchmark words of one automaton, which has up to WINDOW nodes for each letter of its code. Beyond that the text is scanned once for each so many words.
+MOST_WORDS = 200_000
+#: Letters of the alphabet in which known words are coded: the automaton looks for a node's next letter among so many at most.
+LETTERS = 32
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every other ASCII byte that is no word character into a space.
@@ -37,13 +39,17 @@ class Items:
     words: list[list[bytes]]
 
     def automaton(self, window: int) -> Automaton:
-        """One automaton whose symbols are words: every window of every item leads to its size and the items that have it."""
-        found, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
+        """One automaton over coded words: every window of every item leads to its size and the items that have it."""
+        known = {w: None for words in self.words for w in words}
+        digits = next(d for d in range(1, 99) if LETTERS**d >= len(known))
+        # a first letter of its own kind, so that a match can only begin where a word does
+        codes = {w: "".join(chr((64 if d == digits - 1 else 1) + k // LETTERS**d % LETTERS) for d in range(digits - 1, -1, -1)) for k, w in enumerate(known)}
+        found = ahocorasick.Automaton()
         for name, words in zip(self.names, self.words, strict=True):
-            line = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
+            line = [codes[w] for w in words]
             size = min(window, len(line))
             for k in range(len(line) - size + 1):
-                key = line[k : k + size]
+                key = "".join(line[k : k + size])
                 value = found.get(key, None)
                 if value is None:
                     found.add_word(key, (size, {name}))
@@ -51,23 +57,25 @@ class Items:
                     value[1].add(name)
         if len(found):
             found.make_automaton()
-        return Automaton(found, numbers)
+        return Automaton(found, codes)
 
 
 @dataclass
 class Automaton:
     found: ahocorasick.Automaton
-    numbers: dict[bytes, int]
+    codes: dict[bytes, str]
 
     def scan(self, text: str | None) -> tuple[np.ndarray, set[str | None], int]:
-        """(marks of hit words, items with an occurring window, number of words), in one pass over the words."""
+        """(marks of hit words, items with an occurring window, number of words), in one pass over the words; unknown words are one sign."""
         words = words_of(text)
         hit, items = np.zeros(len(words) + 1, np.int32), set()
         if words and len(self.found):
-            number = self.numbers.get
-            line = tuple([number(w, 0) for w in words])
-            if any(line):
-                for last, (size, names) in self.found.iter(line):
+            code = self.codes.get
+            line = [code(w, "\0") for w in words]
+            ends = list(self.found.iter("".join(line)))
+            if ends:
+                at = np.cumsum(np.fromiter(map(len, line), np.int64, len(line))) - 1
+                for last, (_, (size, names)) in zip(np.searchsorted(at, [e for e, _ in ends]).tolist(), ends, strict=True):
                     hit[last - size + 1] += 1
                     hit[last + 1] -= 1
                     items |= names
