@@ -16,13 +16,16 @@ from passageworks.llm.components import components
 
 SEED = 42
 BITS = 64
-#: Near copies: fingerprints of TABLE_BITS bits for each text, two to a 64-bit word. Links are sought at two bits in any one.
-TABLES, TABLE_BITS = 12, 32
-#: Words (of two fingerprints) that are searched first: most links of a large group are found there and need no second look.
-FIRST_WORDS = 1
-#: Bits of all near-copy fingerprints together that may differ before the shingles are compared: a quarter of them in short texts,
-#: else 13 in 64. Of two sets with a Jaccard index of 0.8 about 0.15 of the bits differ.
-SHORT_SET = 20
+#: Near copies: fingerprints of TABLE_BITS bits for each text, two to a 64-bit word. They only find most links of large groups
+#: early, at two bits in any one; every other link comes from shared shingles, whatever these are.
+TABLES, TABLE_BITS = 2, 32
+#: Parity words of a shingle set: as many bits as differ, so many members at least are not common.
+PARITY = 8
+#: Shingles are ordered by how many texts of a sample hold them: one text in SAMPLE_SHARE, but SAMPLE_TEXTS at least; those of
+#: two or more, OFTEN at most. Any order gives the same links; this one keeps the groups that share a shingle small.
+SAMPLE_SHARE, SAMPLE_TEXTS, OFTEN = 100, 20_000, 1_000_000
+#: Groups up to this size are compared side by side, larger ones row by row.
+SMALL_GROUP = 16
 #: Each byte as eight lanes of one bit, most significant first, so that byte sums of 255 rows count bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64)[:, 0]
 MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
@@ -131,18 +134,74 @@ def wide_simhash(grams: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(grams)).view(np.int64)
 
 
+def parity(grams: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """For each residue of the hashes one bit: whether an odd number of the set's members has it."""
+    odd = np.bincount((grams % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def wide_parity(grams: np.ndarray) -> bytes:
+    """Parities of at least four residues a member, PARITY times a power of two words."""
+    words = PARITY
+    while 16 * words < len(grams):
+        words *= 2
+    return parity(grams, words).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits that differ in two wide parities; the wider one is folded to the residues of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(w.reshape(-1, size), axis=0) for w in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def rarest(grams: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first fifth of a set, and one more, by sampled count and hash.
+
+    Of two sets with a Jaccard index of 0.8 or more at least 4/5 of each are common, so the first common member is here in both.
+    """
+    held = np.zeros(len(grams), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
+        held = np.where(often[at] == grams, counts[at], 0)
+    return grams[np.argsort(held, kind="stable")[: len(grams) - (4 * len(grams) + 4) // 5 + 1]]
+
+
+def often_shared(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, that two or more distinct texts of a sample of ``texts(text, t1, t2, ...)`` hold, and of how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            grams, held = np.unique(np.concatenate([shingle_set(t, shingle) for t in part.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(held)], ["gram", "held"])
+
+    share = max(1, min(SAMPLE_SHARE, texts.count() // SAMPLE_TEXTS))
+    some = texts.filter(F.pmod("t1", F.lit(share)) == 0).select("text", "t1", "t2").dropDuplicates(["t1", "t2"]).select("text")
+    found = some.mapInArrow(run, "gram bigint, held bigint").groupBy("gram").agg(F.sum("held").alias("held")).filter("held > 1")
+    found = found.orderBy(F.desc("held"), "gram").limit(OFTEN).toArrow()
+    grams = np.asarray(found.column("gram"), np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.asarray(found.column("held"), np.int64)[order]
+
+
 def shingle_fingerprints(texts: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(rest..., node, n, f0, f1, ...) for every row of ``texts(text, rest...)``; node is a hash of the whole shingle set."""
+    """(rest..., node, n, f0, f1, ..., p0, p1, ..., wide, first) for every row of ``texts(text, rest...)``; node is a hash of the whole shingle set, first its rarest members."""
+    sent = texts.sparkSession.sparkContext.broadcast(often_shared(texts, shingle))
+    names = ["node", "n", *(f"f{k}" for k in range(words)), *(f"p{k}" for k in range(PARITY)), "wide", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = sent.value
         for part in slices(batches):
             sets = [shingle_set(t, shingle) for t in part.column(0).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            fps = np.array([wide_simhash(s, words) for s in sets], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(fps[:, k]) for k in range(words))], [*part.schema.names[1:], "node", "n", *(f"f{k}" for k in range(words))])
+            marks = np.array([np.concatenate([wide_simhash(s, words), parity(s)]) for s in sets], np.int64).reshape(-1, words + PARITY)
+            first = [rarest(s, often, counts).view(np.int64) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(marks[:, k]) for k in range(words + PARITY)), pa.array([wide_parity(s) for s in sets], pa.binary()), lists], [*part.schema.names[1:], *names])
 
     rest = ", ".join(f"{name} {kind}" for name, kind in texts.dtypes[1:])
-    return texts.mapInArrow(run, f"{rest}, node bigint, n int, " + ", ".join(f"f{k} bigint" for k in range(words)))
+    return texts.mapInArrow(run, f"{rest}, node bigint, n int, " + ", ".join(f"{name} bigint" for name in names[2:-2]) + ", wide binary, first array<bigint>")
 
 
 def ball_pairs(reps: DataFrame, words: range) -> DataFrame:
@@ -161,13 +220,98 @@ def ball_pairs(reps: DataFrame, words: range) -> DataFrame:
     return met.withColumn("other", before).filter("other is not null").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
+def may_be_alike(n: np.ndarray, left: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets of rows ``a`` and ``b`` can have a Jaccard index of 4/5, for all that their sizes, the members ``left`` from a first common one on, and their parities tell."""
+    both = n[a] + n[b]
+    found = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(left[a], left[b]) >= 4 * both)
+    at = np.flatnonzero(found)
+    a, b = (np.broadcast_to(x, found.shape)[at] for x in (a, b))
+    found[at] = 9 * np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= both[at]
+    return found
+
+
+def group_pairs(key: np.ndarray, rid: np.ndarray, label: np.ndarray, n: np.ndarray, left: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Distinct pairs (rows of two) of ``rid`` of one key and of two labels that may be alike; rows of one key stand together."""
+    found = []
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.concatenate((start, [len(key)])))
+    small = np.repeat(sizes <= SMALL_GROUP, sizes)
+    for step in range(1, min(SMALL_GROUP, len(key))):
+        a = np.flatnonzero(small[step:] & (key[step:] == key[:-step]) & (label[step:] != label[:-step]))
+        if len(a):
+            a = a[may_be_alike(n, left, marks, a, a + step)]
+            found.append(np.stack([rid[a], rid[a + step]], axis=1))
+    for at in np.flatnonzero(sizes > SMALL_GROUP):
+        rows = np.arange(start[at], start[at] + sizes[at])
+        labels, which, times = np.unique(label[rows], return_inverse=True, return_counts=True)
+        # each row that is not of the commonest label against the rows of that label and those before it
+        main = which == times.argmax()
+        for k in np.flatnonzero(~main):
+            others = rows[(main | (np.arange(len(rows)) < k)) & (which != which[k])]
+            others = others[may_be_alike(n, left, marks, rows[k], others)]
+            found.append(np.stack([np.full(len(others), rid[rows[k]]), rid[others]], axis=1))
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
+def shared_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of ``reps(rid, n, p0, ..., first)`` under two of ``labels(node, label)`` that may have a Jaccard index of 4/5; none that has is left out.
+
+    Such sets share one of their rarest members. Only members that two sets share go on, with size, place and parity of
+    the set; who shares one meets in one group, and what sizes, places and parities rule out goes there.
+    """
+    held = reps.select("rid", F.posexplode("first").alias("place", "key"))
+    same = Window.partitionBy("key")
+    shared = stored(held.withColumns({"low": F.min("rid").over(same), "high": F.max("rid").over(same)}).filter("low <> high").select("key", "rid", "place"))
+    marks = [f"p{k}" for k in range(PARITY)]
+    known = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), F.col("n").cast("bigint").alias("n"), *marks)
+    met = shared.join(known, "rid").select("key", "rid", "label", "n", (F.col("n") - F.col("place")).alias("left"), *marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last = [], None
+
+        def pairs() -> pa.RecordBatch:
+            rows = np.concatenate(open_)
+            found = group_pairs(*(rows[:, k] for k in range(5)), np.ascontiguousarray(rows[:, 5:]))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([np.asarray(c, np.int64) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            # the last key may go on in the next batch
+            cut = np.searchsorted(rows[:, 0], rows[-1, 0])
+            if cut or rows[-1, 0] != last:
+                open_.append(rows[:cut])
+                yield pairs()
+                open_ = [rows[cut:]]
+            else:
+                open_.append(rows)
+            last = rows[-1, 0]
+        if open_:
+            yield pairs()
+
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def not_apart(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that the wide parities of ``reps(rid, n, wide, ...)`` do not rule out: far fewer bytes than whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            some = pa.array([9 * apart(v, w) <= n for n, v, w in zip(sizes, x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(some)
+
+    a, b = (reps.select(F.col("rid").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")) for side in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "wide_a", "wide_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, tables: int = TABLES) -> DataFrame:
-    """(keep..., label) for every row: classes of rows linked by a Jaccard index of 0.8 or more of word shingles.
+    """(keep..., label) for every row: classes of rows linked by a Jaccard index of 0.8 or more of word shingles, no link left out.
 
-    Rows of one shingle set collapse first. Candidates come from ball hashing: links are sought between sets of which one of
-    ``tables`` 32-bit fingerprints (an even number) differs in at most two bits; every candidate is verified on the whole sets. By the
-    binomial law a pair at an index of 0.8 is met with a probability of 0.78, at 0.85 of 0.93, at 0.9 of 0.993, whatever else the corpus
-    holds. The first fingerprints are searched alone, and candidates that are of one class by then are not compared again.
+    Rows of one shingle set collapse first. Ball hashing finds most links of large groups: links are sought between sets of which one of
+    ``tables`` 32-bit fingerprints (an even number) differs in at most two bits. Then every two sets that are not of one class by then and share
+    one of their rarest shingles (``shared_pairs``) are looked at. Every candidate is verified on the whole sets.
     Texts of fewer words than ``shingle`` form one shingle; null and wordless texts are one class; repeated rows are each
     returned, with one label; very long texts are read whole; other columns are not read. Empty table: no rows.
     """
@@ -175,24 +319,17 @@ def near_copies(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     named = [f"k{j}" for j in range(len(keep))]
     texts = clean(docs, text_col, *keep).toDF("text", *named).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(SEED), F.col("text"))})
     base = stored(shingle_fingerprints(texts, shingle, words))
-    fs = [f"f{k}" for k in range(words)]
-    reps = base.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("t1", "t2", *named[:1])).alias("at"), *(F.min(f).alias(f) for f in fs))
+    fs, ps = [f"f{k}" for k in range(words)], [f"p{k}" for k in range(PARITY)]
+    reps = base.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("t1", "t2", *named[:1])).alias("at"), *(F.min(f).alias(f) for f in fs + ps), F.min("wide").alias("wide"), F.first("first").alias("first"))
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()))
-    a, b = (reps.select(F.col("rid").alias(side), F.struct("n", *fs).alias(f"of_{side}")) for side in "ab")
-    apart = sum((F.bit_count(F.col(f"of_a.{f}").bitwiseXOR(F.col(f"of_b.{f}"))) for f in fs), F.lit(0))
+    wordy = reps.filter("n > 0")
+    a, b = (reps.select(F.col("rid").alias(side), F.struct("n", *ps).alias(f"of_{side}")) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"of_a.{p}").bitwiseXOR(F.col(f"of_b.{p}"))) for p in ps), F.lit(0))
     least, most = F.least("of_a.n", "of_b.n"), F.greatest("of_a.n", "of_b.n")
-    alike = (5 * least >= 4 * most) & (apart <= F.when(least < SHORT_SET, 16 * words).otherwise(13 * words))
-
-    def links(which: range, labels: DataFrame | None = None) -> DataFrame:
-        pairs = ball_pairs(reps.filter("n > 0"), which)
-        if labels is not None:
-            for side in "ab":
-                pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"in_{side}")), side, "left")
-            pairs = pairs.filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-        return verified(stored(pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b")), texts, reps, shingle, named[0])
-
-    first = links(range(min(FIRST_WORDS, words)))
-    rest = links(range(min(FIRST_WORDS, words), words), components(first))
+    alike = (5 * least >= 4 * most) & (9 * differ <= least + most)
+    near = stored(ball_pairs(wordy, range(words)).join(a, "a").join(b, "b").filter(alike).select("a", "b"))
+    first = verified(near, texts, reps, shingle, named[0])
+    rest = verified(stored(not_apart(stored(shared_pairs(wordy, components(first))), reps)), texts, reps, shingle, named[0])
     classes = reps.join(components(first.union(rest)).withColumnRenamed("node", "rid"), "rid", "left").select("node", F.coalesce("label", "rid").alias("label"))
     return spread_join(base, classes, "node").select(*(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)), "label")
 

@@ -94,3 +94,46 @@ def test_bit_counts_equal_unpacked_sums():
     for rows in (1, 254, 255, 256, 1000):
         raw = rng.integers(0, 256, (rows, 16), dtype=np.uint8)
         assert (ball_simhash.ones_of(raw) == np.unpackbits(raw, axis=1).sum(axis=0)).all()
+
+
+def classes_of(rows):
+    """By all pairs: the ids that stay, the least of each class."""
+    sets, root = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return sorted({top(i) for i in root})
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    """Pairs at an index of 0.8 exactly and little above, short and long, beside lines that many texts share."""
+    rng = random.Random(11)
+    common, rows = [f"c{k}" for k in range(40)], []
+    for k in range(90):
+        base = common * (k % 3 == 0) + [f"w{rng.randrange(10**9)}" for _ in range((5, 13, 49, 94, 204)[k % 5])]
+        # of n shingles n // 9 lie over the last words: 8 / 10 stay common
+        copy = base[: len(base) - (len(base) - 4) // 9] + [f"new{rng.randrange(10**9)}" for _ in range((len(base) - 4) // 9)]
+        far = copy[:-1] + ["other", "words", "at", "the", "end"] + [f"x{rng.randrange(10**9)}" for _ in range(len(base) // 9)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(copy)), (3 * k + 2, " ".join(far))]
+    indices = [index_of(shingle_set(rows[3 * k][1]), shingle_set(rows[3 * k + 1][1])) for k in range(90)]
+    assert sum(x == 0.8 for x in indices) >= 15 and min(indices) >= 0.8
+    wanted = classes_of(rows)
+    assert 90 <= len(wanted) < 270
+    rng.shuffle(rows)
+    assert kept_of(spark, rows) == wanted
+
+
+def test_every_link_within_a_large_group(spark):
+    """Copies that are mostly under 0.8 apart from each other, as by all pairs."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(edited(rng, base, rng.randrange(2, 8)))) for k in range(300)]
+    assert kept_of(spark, rows) == classes_of(rows)
