@@ -452,6 +452,18 @@ def test_context_tree_equals_definition(most):
         assert abs(score - direct_score(texts, text, threes, fours)) < 1e-3
 
 
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_scores_have_every_context(spark, most):
+    """However few contexts travel with the texts, scores are those of the tree in which every context has its own node."""
+    texts = [b"abracadabra", b"the cat sat on the mat", b"", b"the bra"]
+    _, threes, fours = fitted_tree(texts)
+    asked = ["abra cat", "the dog", "zabrac", "é"]
+    rows = [(k, t.decode()) for k, t in enumerate(texts)] + [(10 + k, t) for k, t in enumerate(asked)]
+    found = ctw.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 10, most=most)
+    for row in found.collect():
+        assert abs(row["score"] - direct_score(texts, dict(rows)[row["doc_id"]].encode(), threes, fours)) < 1e-3
+
+
 def test_pipeline_stages(spark):
     """Each stage against plain Python, on what its predecessor kept."""
     folder = "/root/testdata/sf0.001"
