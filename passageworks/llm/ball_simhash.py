@@ -26,6 +26,8 @@ PARITY = 8
 SAMPLE_SHARE, SAMPLE_TEXTS, OFTEN = 100, 20_000, 1_000_000
 #: Groups up to this size are compared side by side, larger ones row by row.
 SMALL_GROUP = 16
+#: A row of a larger group is first looked at with so many of its nearest, then with WIDER times as many of those still of another class, and so on.
+NEAREST, WIDER = 8, 8
 #: Each byte as eight lanes of one bit, most significant first, so that byte sums of 255 rows count bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64)[:, 0]
 MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
@@ -220,59 +222,85 @@ def ball_pairs(reps: DataFrame, words: range) -> DataFrame:
     return met.withColumn("other", before).filter("other is not null").select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
 
 
+def differing(marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ in the parities of rows ``a`` and ``b``."""
+    return np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def may_be_alike(n: np.ndarray, left: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the sets of rows ``a`` and ``b`` can have a Jaccard index of 4/5, for all that their sizes, the members ``left`` from a first common one on, and their parities tell."""
     both = n[a] + n[b]
     found = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(left[a], left[b]) >= 4 * both)
     at = np.flatnonzero(found)
     a, b = (np.broadcast_to(x, found.shape)[at] for x in (a, b))
-    found[at] = 9 * np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= both[at]
+    found[at] = 9 * differing(marks, a, b) <= both[at]
     return found
 
 
-def group_pairs(key: np.ndarray, rid: np.ndarray, label: np.ndarray, n: np.ndarray, left: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Distinct pairs (rows of two) of ``rid`` of one key and of two labels that may be alike; rows of one key stand together."""
-    found = []
+def group_pairs(key: np.ndarray, rid: np.ndarray, was: np.ndarray, label: np.ndarray, n: np.ndarray, left: np.ndarray, marks: np.ndarray, low: int = 0, high: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (rows of two) of ``rid`` of one key and of two labels that may be alike, and the keys that have more of them; rows stand by key and rid.
+
+    In groups over SMALL_GROUP the pairs of a row are ranked, nearest first, by what does not change from round to round (``was``,
+    the labels before the first); those of the ranks ``low`` to ``high`` are given whose labels differ by now. So over all rounds each pair is given
+    or has become one of a class. Small groups are done in the first round.
+    """
+    found, more = [], []
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((start, [len(key)])))
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    for step in range(1, min(SMALL_GROUP, len(key))):
+    for step in range(1, min(SMALL_GROUP, len(key)) if low == 0 else 0):
         a = np.flatnonzero(small[step:] & (key[step:] == key[:-step]) & (label[step:] != label[:-step]))
         if len(a):
             a = a[may_be_alike(n, left, marks, a, a + step)]
             found.append(np.stack([rid[a], rid[a + step]], axis=1))
     for at in np.flatnonzero(sizes > SMALL_GROUP):
         rows = np.arange(start[at], start[at] + sizes[at])
-        labels, which, times = np.unique(label[rows], return_inverse=True, return_counts=True)
+        if (label[rows] == label[rows[0]]).all():
+            continue
+        labels, which, times = np.unique(was[rows], return_inverse=True, return_counts=True)
         # each row that is not of the commonest label against the rows of that label and those before it
         main = which == times.argmax()
         for k in np.flatnonzero(~main):
             others = rows[(main | (np.arange(len(rows)) < k)) & (which != which[k])]
             others = others[may_be_alike(n, left, marks, rows[k], others)]
+            if len(others) > high or low:
+                far = differing(marks, np.full(len(others), rows[k]), others) / (n[rows[k]] + n[others])
+                others = others[np.lexsort((rid[others], far))]
+                if (label[others[high:]] != label[rows[k]]).any():
+                    more.append(key[start[at]])
+                others = others[low:high]
+                others = others[label[others] != label[rows[k]]]
             found.append(np.stack([np.full(len(others), rid[rows[k]]), rid[others]], axis=1))
-    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs, np.unique(np.array(more, np.int64))
 
-def shared_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of ``reps(rid, n, p0, ..., first)`` under two of ``labels(node, label)`` that may have a Jaccard index of 4/5; none that has is left out.
 
-    Such sets share one of their rarest members. Only members that two sets share go on, with size, place and parity of
-    the set; who shares one meets in one group, and what sizes, places and parities rule out goes there.
-    """
+def sharers(reps: DataFrame) -> DataFrame:
+    """(key, rid, place) of ``reps(rid, first)``: the rarest members that two sets share."""
     held = reps.select("rid", F.posexplode("first").alias("place", "key"))
     same = Window.partitionBy("key")
-    shared = stored(held.withColumns({"low": F.min("rid").over(same), "high": F.max("rid").over(same)}).filter("low <> high").select("key", "rid", "place"))
+    return held.withColumns({"low": F.min("rid").over(same), "high": F.max("rid").over(same)}).filter("low <> high").select("key", "rid", "place")
+
+
+def shared_pairs(shared: DataFrame, reps: DataFrame, known: DataFrame, low: int = 0, high: int = NEAREST) -> DataFrame:
+    """(key, a, b): distinct a < b, of ``reps(rid, n, p0, ...)`` under two labels of ``known(rid, was, label)`` that may have a Jaccard index of 4/5; and a row with a key of ``shared`` for each group that has more than were asked for (``group_pairs``).
+
+    Sets of that index share one of their rarest members. Size, place and parity of the set go with each; who shares one meets
+    in one group, and what sizes, places and parities rule out goes there.
+    """
     marks = [f"p{k}" for k in range(PARITY)]
-    known = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"), F.col("n").cast("bigint").alias("n"), *marks)
-    met = shared.join(known, "rid").select("key", "rid", "label", "n", (F.col("n") - F.col("place")).alias("left"), *marks)
+    met = shared.join(reps.join(known, "rid").select("rid", "was", "label", F.col("n").cast("bigint").alias("n"), *marks), "rid")
+    met = met.select("key", "rid", "was", "label", "n", (F.col("n") - F.col("place")).alias("left"), *marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, last = [], None
 
         def pairs() -> pa.RecordBatch:
             rows = np.concatenate(open_)
-            found = group_pairs(*(rows[:, k] for k in range(5)), np.ascontiguousarray(rows[:, 5:]))
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            found, more = group_pairs(*(rows[:, k] for k in range(6)), np.ascontiguousarray(rows[:, 6:]), low, high)
+            none = [pa.nulls(k, pa.int64()) for k in (len(found), len(more))]
+            columns = [pa.concat_arrays(x) for x in ((none[0], pa.array(more)), (pa.array(found[:, 0]), none[1]), (pa.array(found[:, 1]), none[1]))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
 
         for batch in batches:
             rows = np.stack([np.asarray(c, np.int64) for c in batch.columns], axis=1)
@@ -290,7 +318,16 @@ def shared_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
         if open_:
             yield pairs()
 
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(run, "key bigint, a bigint, b bigint").distinct()
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known(rid, was, label)`` after ``links(a, b)``: components are sought between classes, not between rows, so a link within one costs nothing more."""
+    a, b = (known.select(F.col("rid").alias(side), F.col("label").alias(f"l{side}")) for side in "ab")
+    between = links.join(a, "a").join(b, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    found = components(between).toDF("label", "least")
+    names = checkpoint(known.select("label").distinct().join(found, "label", "left").select("label", F.coalesce("least", "label").alias("least")))
+    return stored(spread_join(known, names, "label").select("rid", "was", F.col("least").alias("label")))
 
 
 def not_apart(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -311,7 +348,8 @@ def near_copies(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     Rows of one shingle set collapse first. Ball hashing finds most links of large groups: links are sought between sets of which one of
     ``tables`` 32-bit fingerprints (an even number) differs in at most two bits. Then every two sets that are not of one class by then and share
-    one of their rarest shingles (``shared_pairs``) are looked at. Every candidate is verified on the whole sets.
+    one of their rarest shingles (``shared_pairs``) are looked at, in rounds: in large groups each row meets its nearest first, and only those that are
+    still of another class after that meet in the next. Every candidate is verified on the whole sets.
     Texts of fewer words than ``shingle`` form one shingle; null and wordless texts are one class; repeated rows are each
     returned, with one label; very long texts are read whole; other columns are not read. Empty table: no rows.
     """
@@ -329,8 +367,23 @@ def near_copies(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     alike = (5 * least >= 4 * most) & (9 * differ <= least + most)
     near = stored(ball_pairs(wordy, range(words)).join(a, "a").join(b, "b").filter(alike).select("a", "b"))
     first = verified(near, texts, reps, shingle, named[0])
-    rest = verified(stored(not_apart(stored(shared_pairs(wordy, components(first))), reps)), texts, reps, shingle, named[0])
-    classes = reps.join(components(first.union(rest)).withColumnRenamed("node", "rid"), "rid", "left").select("node", F.coalesce("label", "rid").alias("label"))
+    known = reps.join(components(first).withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("label", "rid").alias("label"))
+    known = stored(known.select("rid", F.col("label").alias("was"), "label"))
+    shared, tried, low, high = stored(sharers(wordy)), None, 0, NEAREST
+    while True:
+        found = stored(shared_pairs(shared, wordy, known, low, high))
+        pairs = found.filter("a is not null").select("a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        links = verified(stored(not_apart(pairs, reps)), texts, reps, shingle, named[0])
+        if links.limit(1).count():
+            known = merged(known, links)
+        more = found.filter("key is not null").select("key")
+        if not more.limit(1).count():
+            break
+        shared, low, high = stored(shared.join(more, "key", "left_semi")), high, WIDER * high
+        tried = pairs if tried is None else tried.union(pairs)
+    classes = reps.join(known, "rid").select("node", "label")
     return spread_join(base, classes, "node").select(*(F.col(n).alias(c) for n, c in zip(named, keep, strict=True)), "label")
 
 

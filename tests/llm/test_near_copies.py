@@ -137,3 +137,43 @@ def test_every_link_within_a_large_group(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join(edited(rng, base, rng.randrange(2, 8)))) for k in range(300)]
     assert kept_of(spark, rows) == classes_of(rows)
+
+
+def two_sided(rng, groups, side):
+    """Texts of ``groups`` families, each of two sides of ``side`` texts: a few shingles apart within a side, 0.82 between any two of both."""
+    texts = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        for tail in (base[-17:], [f"v{rng.randrange(10**9)}" for _ in range(17)]):
+            texts += [" ".join([f"x{rng.randrange(10**9)}", *base[1:-17], *tail]) for _ in range(side)]
+    return texts
+
+
+def test_pairs_looked_at_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Rows that link to every row of a large class meet a few of them; the classes stay those of all pairs."""
+    looked, real = [], ball_simhash.verified
+    monkeypatch.setattr(ball_simhash, "verified", lambda pairs, *rest: (looked.append(pairs.count()), real(pairs, *rest))[1])
+    rows = list(enumerate(two_sided(random.Random(13), 3, 80)))
+    assert kept_of(spark, rows) == classes_of(rows) == [0, 160, 320]
+    assert sum(looked) <= 8 * len(rows)
+
+
+def test_rounds_give_every_pair_of_a_group_whose_classes_stay_apart():
+    rng = np.random.default_rng(14)
+    size = 40
+    marks = rng.integers(0, 2, (size, ball_simhash.PARITY))
+    rid, n, left = np.arange(size) + 5, np.full(size, 100), np.full(size, 95)
+    was = np.where(np.arange(size) < 25, 5, rid)
+    key = np.full(size, 77)
+    rounds, low, high = [], 0, 2
+    while True:
+        pairs, more = ball_simhash.group_pairs(key, rid, was, was, n, left, marks, low, high)
+        assert len(pairs) <= (high - low) * size
+        rounds += map(tuple, pairs.tolist())
+        if not len(more):
+            break
+        assert more.tolist() == [77]
+        low, high = high, 2 * high
+    wanted = {(a + 5, b + 5) for a in range(size) for b in range(a + 1, size) if was[a] != was[b] and 9 * np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum() <= 200}
+    assert len(rounds) == len(set(rounds)) and set(rounds) == wanted
+    assert not len(ball_simhash.group_pairs(key, rid, was, np.full(size, 5), n, left, marks, 2, 4)[0])
