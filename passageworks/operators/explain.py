@@ -19,22 +19,31 @@ def targets(expansions: DataFrame, terms: DataFrame) -> DataFrame:
     return claimed.join(F.broadcast(terms.select("qid", "term_no", F.col("norm").alias("typed"), "stop")), ["qid", "term_no"])
 
 
-def marks(tokens: DataFrame, claimed: DataFrame) -> DataFrame:
-    """(qid, passage_id, pos, norm, term_no, why, code, typed) of matched words; ``tokens`` carries qid, stem and codes.
+def marks(tokens: DataFrame, claimed: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, passage_id, pos, norm, term_no, why, code, typed) of matched words.
 
     A word matches by its stem, or a little less by a code. An exact match of another form is ``form``; a match of a
-    stop term is ``stop``.
+    stop term is ``stop``. ``tokens`` carries qid, stem and codes; with ``pairs`` (qid, passage_id) the tokens are those of the index,
+    and a word meets the claims, which the batch bounds, before it meets the passages: words that no query claims are never shuffled.
     """
-    stems = claimed.filter("kind = 'stem'").select("qid", F.col("target").alias("stem"), "term_no", "weight", "why", "typed", "stop")
-    by_stem = tokens.join(F.broadcast(stems), ["qid", "stem"]).withColumn("code", F.lit(None).cast("string")).withColumn("place", F.lit(-1))
-    why = F.when(F.col("stop"), "stop").when((F.col("why") == "exact") & (F.col("norm") != F.col("typed")), "form").otherwise(F.col("why"))
-    by_stem = by_stem.withColumn("why", why)
-    each = tokens.select("*", F.posexplode("codes").alias("place", "code"))
-    codes = claimed.filter("kind = 'code'").select("qid", F.col("target").alias("code"), "term_no", (F.col("weight") * CODE_FACTOR).alias("weight"), "why", "typed", "stop")
-    by_code = each.join(F.broadcast(codes), ["qid", "code"])
-    shown = ["qid", "passage_id", "pos", "norm", "term_no", "weight", "why", "typed", "code", "place"]
+    code = F.col("kind") == "code"
+    claims = claimed.select("qid", F.struct("kind", "target").alias("key"), "term_no", F.when(code, F.col("weight") * CODE_FACTOR).otherwise(F.col("weight")).alias("weight"), "why", "typed", "stop")
+    keys = F.concat(F.array(F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("target"))), F.transform(F.coalesce("codes", F.array().cast("array<string>")), lambda c: F.struct(F.lit("code").alias("kind"), c.alias("target"))))
+    own = [] if pairs is not None else ["qid"]
+    each = tokens.select(*own, "passage_id", "pos", "norm", F.posexplode(keys).alias("place", "key"))
+    met = each.join(F.broadcast(claims), [*own, "key"])
+    if pairs is not None:
+        met = met.join(pairs.select("qid", "passage_id").distinct(), ["qid", "passage_id"])
+    by_stem = F.col("key.kind") == "stem"
+    why = F.when(by_stem & F.col("stop"), "stop").when(by_stem & (F.col("why") == "exact") & (F.col("norm") != F.col("typed")), "form").otherwise(F.col("why"))
     first = Window.partitionBy("qid", "passage_id", "pos").orderBy(F.desc("weight"), "place")
-    return by_stem.select(*shown).union(by_code.select(*shown)).withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "place", "weight")
+    best = met.withColumn("_k", F.row_number().over(first)).filter("_k = 1")
+    return best.select("qid", "passage_id", "pos", "norm", "term_no", why.alias("why"), F.when(~by_stem, F.col("key.target")).alias("code"), "typed")
+
+
+def result_marks(found: SearchResult, results: DataFrame) -> DataFrame:
+    """Marks of every passage of ``results``, once for each query that has it."""
+    return marks(found.index.tokens, targets(found.expansions, found.terms), result_passages(results))
 
 
 def reason(lexicon_name: Column) -> Column:
@@ -55,18 +64,20 @@ def reasons(marked: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("qid
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "reason"))), lambda s: s["reason"]).alias("reasons"))
 
 
+def result_passages(results: DataFrame) -> DataFrame:
+    """(qid, first, passage_id) of every passage of ``results``."""
+    return results.select("qid", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)).alias("passage_id"))
+
+
 def result_tokens(found: SearchResult, results: DataFrame) -> DataFrame:
     """Tokens of every passage of ``results`` with qid and first."""
-    each = results.select("qid", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("span") - 1)).alias("passage_id"))
-    return found.index.tokens.join(each, "passage_id")
+    return found.index.tokens.join(result_passages(results), "passage_id")
 
 
 def explain(found: SearchResult, limit: int = 40) -> DataFrame:
     """(qid, first, reasons) of the best ``limit`` results of each query, merged over the passages of a run."""
-    tokens = result_tokens(found, found.results.filter(F.col("rank") <= limit))
-    marked = marks(tokens.drop("first"), targets(found.expansions, found.terms))
-    firsts = tokens.select("qid", "first", "passage_id").distinct()
-    return reasons(marked.join(firsts, ["qid", "passage_id"]), found.index.lexicon, ("qid", "first"))
+    shown = found.results.filter(F.col("rank") <= limit)
+    return reasons(result_marks(found, shown).join(result_passages(shown).distinct(), ["qid", "passage_id"]), found.index.lexicon, ("qid", "first"))
 
 
 def segments(passages: DataFrame, marked: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
