@@ -63,10 +63,13 @@ def postings_of(tokens: DataFrame, stems_: list[str]) -> DataFrame:
 def stem_postings(tokens: DataFrame) -> DataFrame:
     """(kind, target, passage_id, tf): occurrences of each stem, at most TF_MOST.
 
-    Words are counted by surface form first, so the stem is worked out once for each word of a passage.
+    Words without a known stem are counted by surface form first, so the stem is worked out once for each word of a passage.
     """
-    counted = tokens.groupBy("passage_id", "norm").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stem(F.col("norm")))
-    summed = counted.groupBy("passage_id", "stem").agg(F.sum("n").alias("n"))
+    if "stem" in tokens.columns:
+        summed = tokens.groupBy("passage_id", "stem").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = tokens.groupBy("passage_id", "norm").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stem(F.col("norm")))
+        summed = counted.groupBy("passage_id", "stem").agg(F.sum("n").alias("n"))
     return summed.select(F.lit("stem").alias("kind"), F.col("stem").alias("target"), "passage_id", F.least("n", F.lit(TF_MOST)).cast("int").alias("tf"))
 
 
@@ -186,6 +189,10 @@ class IndexTables:
         with ThreadPoolExecutor(4) as pool:
             return replace(self, **dict(zip(open_, pool.map(lambda name: durable(getattr(self, name)), open_), strict=True)))
 
+    def on_demand(self) -> IndexTables:
+        """Like ``stored``, but each table is written when it is first read: a search leaves most of them alone."""
+        return OnDemand(**{f.name: getattr(self, f.name) for f in fields(self)})
+
     @cached_property
     def size(self) -> tuple[int, float]:
         """(passages, mean words of a passage), counted once."""
@@ -196,6 +203,17 @@ class IndexTables:
         return cls(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)})
 
 
+class OnDemand(IndexTables):
+    """Tables that ``build`` left as plans are written once, by whichever operator reads them first."""
+
+    def __getattribute__(self, name: str):
+        own = object.__getattribute__(self, "__dict__")
+        if name in own and name in IndexTables.__dataclass_fields__ and name not in WRITTEN and name not in own.setdefault("_stored", set()):
+            own[name] = durable(own[name])
+            own["_stored"].add(name)
+        return object.__getattribute__(self, name)
+
+
 def by_target(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("target").sortWithinPartitions("target", "passage_id")
 
