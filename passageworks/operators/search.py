@@ -284,16 +284,29 @@ def ordered(kept: DataFrame, canonical: bool = False) -> DataFrame:
     return dealt.withColumn("_p", place).join(F.broadcast(starts), ["qid", "_b"]).withColumn("rank", (F.col("_start") + F.col("_p")).cast("int")).drop("_b", "_p", "_start")
 
 
-def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryParser, *, live: bool = False, canonical: bool = False) -> SearchResult:
+@dataclass
+class Asked:
+    """A batch's queries with their terms and everything each may match; bounded by the batch."""
+
+    q: QueryTables
+    terms: DataFrame
+    expansions: DataFrame
+
+
+def ask(batch: list[tuple[int, str]], index: IndexTables, parser: QueryParser, *, live: bool = False) -> Asked:
+    q = tables(index.passages.sparkSession, batch, parser, live=live, coll_type=dict(index.passages.dtypes)["coll"])
+    terms = bounded(described(q.terms))
+    return Asked(q, terms, bounded(expand(terms, index)))
+
+
+def search_many(batch: list[tuple[int, str]], index: IndexTables, parser: QueryParser, *, live: bool = False, canonical: bool = False, asked: Asked | None = None) -> SearchResult:
     """All queries of the batch in one plan: (qid, rank, first, span, score, full, is_reference).
 
     What any number of passages may match is written once and read from there. The closer look and the runs are bounded by the
-    batch (CLOSE passages of each query), so they are kept as rows.
+    batch (CLOSE passages of each query), so they are kept as rows. ``asked`` is the batch's, if it is there already.
     """
-    spark = index.passages.sparkSession
-    q = tables(spark, batch, parser, live=live, coll_type=dict(index.passages.dtypes)["coll"])
-    terms = bounded(described(q.terms))
-    expansions = bounded(expand(terms, index))
+    asked = asked or ask(batch, index, parser, live=live)
+    q, terms, expansions = asked.q, asked.terms, asked.expansions
     per_term = durable(term_scores(expansions, index))
     masks = passage_masks(per_term, terms).persist()
     shape = bounded(query_shape(q.queries.filter(~F.col("referred")), terms))

@@ -15,3 +15,12 @@ def test_marks_read_tokens_once_and_shuffle_claimed_words_alone(spark):
     lines = plan(catalog.marks_of(spark, FOLDER))
     assert sum("FileScan" in x and "codes" in x for x in lines) == 1
     assert not any("Exchange" in x and "codes" in x for x in lines)
+
+
+def test_spelling_notes_need_no_search(spark, monkeypatch):
+    def searched(*_, **__):
+        raise AssertionError("a search ran")
+
+    catalog.forget_searches()
+    monkeypatch.setattr(catalog.search, "search_many", searched)
+    assert catalog.spelling_notes(spark, FOLDER).count() > 0
