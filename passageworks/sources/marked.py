@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +49,25 @@ def parse_markup(marked: str) -> dict:
     return {"text": "".join(text), "spans": spans, "italic": italic, "red": red}
 
 
-def parse_all(marked: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_markup(m) for m in marked], columns=["text", "spans", "italic", "red"])
+#: Rows that are Python objects at once; the rest of a batch is packed in Arrow.
+PARSED_AT_ONCE = 64
+MARKUP_TYPE = pa.struct(
+    [
+        ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("codes", pa.list_(pa.string()))]))),
+        ("italic", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("red", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ]
+)
+
+
+def parse_all(marked: pa.Array) -> pa.Array:
+    """Few rows at a time, since every range of a text is a Python object until it is packed."""
+    parts = [pa.array([parse_markup(m) for m in marked.slice(k, PARSED_AT_ONCE).to_pylist()], MARKUP_TYPE) for k in range(0, len(marked), PARSED_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], MARKUP_TYPE)
 
 
 def markup(marked: str) -> Column:
     """Struct of text, spans, italic and red ranges of a marked text column."""
-    return F.pandas_udf(parse_all, MARKUP_SCHEMA)(marked)
+    return F.arrow_udf(parse_all, MARKUP_SCHEMA)(marked)
 
 
 def stripped(marked: Column) -> Column:

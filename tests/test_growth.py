@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
+
 from passageworks.plans import catalog
+from passageworks.sources import marked
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,3 +29,13 @@ def test_spelling_notes_need_no_search(spark, monkeypatch):
     catalog.forget_searches()
     monkeypatch.setattr(catalog.search, "search_many", searched)
     assert catalog.spelling_notes(spark, FOLDER).count() > 0
+
+
+def test_markup_of_a_batch_is_packed_a_few_rows_at_a_time():
+    rows = ["[" + "{ab|G1,H2} " * 100 + "]"] * 2_000
+    tracemalloc.start()
+    got = marked.parse_all(pa.array(rows))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == len(rows) and got[-1].as_py() == marked.parse_markup(rows[-1])
+    assert most < 20e6  # all rows at once take some 100 MB
