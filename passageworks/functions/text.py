@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,16 @@ def stem(norm: Column) -> Column:
     return F.coalesce(F.when(~listed & ((F.length(norm) <= 3) | norm.isin(KEEP_WORDS)), norm).otherwise(finish(base)), F.lit(""))
 
 
+def stems_among(text: Column, asked: list[str]) -> Column:
+    """The stems of a text's words that are among a few, in word order, with repeats.
+
+    A stem is its word's beginning, but for its last letter, unless the word is irregular: all other words are not stemmed.
+    """
+    norms = F.transform(words(text), normalize)
+    begun = lambda n: reduce(or_, (n.startswith(s[:-1]) for s in asked), n.isin(list(IRREGULAR_FORMS)))
+    return F.filter(F.transform(F.filter(norms, begun), stem), lambda s: s.isin(asked))
+
+
 def is_stop(stemmed: Column) -> Column:
     return stemmed.isin(STOP_STEMS)
 

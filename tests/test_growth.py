@@ -5,7 +5,10 @@ from __future__ import annotations
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from passageworks.functions import text as T
+from passageworks.functions.wordlists import IRREGULAR_FORMS
 from passageworks.plans import catalog
 from passageworks.sources import marked
 
@@ -33,9 +36,22 @@ def test_spelling_notes_need_no_search(spark, monkeypatch):
 
 def test_markup_of_a_batch_is_packed_a_few_rows_at_a_time():
     rows = ["[" + "{ab|G1,H2} " * 100 + "]"] * 2_000
+    marked.parse_all(pa.array(rows[:1]))  # what Arrow imports at first is not counted
     tracemalloc.start()
     got = marked.parse_all(pa.array(rows))
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == len(rows) and got[-1].as_py() == marked.parse_markup(rows[-1])
     assert most < 20e6  # all rows at once take some 100 MB
+
+
+def test_stems_among_a_few_are_those_of_every_word(spark):
+    said = [*IRREGULAR_FORMS, "the", "The's", "thee", "running", "runs", "run", "bodies", "body", "bodi", "blessedst", "xx", "é", "ss"]
+    words = spark.createDataFrame([(w,) for w in said], "text string").withColumn("all", F.transform(T.words(F.col("text")), lambda w: T.stem(T.normalize(w))))
+    for asked in (["the"], ["run", "body"], ["go", "be", "come"]):
+        rows = words.select("all", T.stems_among(F.col("text"), asked).alias("few")).collect()
+        assert any(r["few"] for r in rows) and all(r["few"] == [s for s in r["all"] if s in asked] for r in rows)
+
+
+def test_exclusion_reads_texts_once(spark):
+    assert sum("FileScan" in x and "text#" in x for x in plan(catalog.exclude_term(spark, FOLDER))) == 1
