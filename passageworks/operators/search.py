@@ -216,9 +216,11 @@ class SearchResult:
 
     def dense_heat(self) -> DataFrame:
         """(qid, passage_id, heat) for every passage of the index and query of the batch: 0 where a passage is in no result."""
-        every = self.index.lengths.select("passage_id").withColumn("qid", F.explode(F.array(*(F.lit(q).cast("int") for q in self.qids))))
-        hot = self.heat().groupBy("qid", "passage_id").agg(F.max("heat").alias("heat"))
-        return every.join(hot, ["qid", "passage_id"], "left").select("qid", "passage_id", F.coalesce("heat", F.lit(0)).alias("heat"))
+        hot = self.heat().groupBy("passage_id").agg(F.collect_list(F.struct("qid", "heat")).alias("hot"))
+        level = lambda q: F.coalesce(F.array_max(F.transform(F.filter("hot", lambda h: h["qid"] == q), lambda h: h["heat"])), F.lit(0))
+        every = F.transform(F.array(*(F.lit(q).cast("int") for q in self.qids)), lambda q: F.struct(q.alias("qid"), level(q).alias("heat")))
+        # dealt by passage, and only then laid out for each query: the shuffle holds one row for each passage, not one for each pair
+        return self.index.lengths.select("passage_id").join(hot, "passage_id", "left").select("passage_id", F.explode(every).alias("h")).select("h.qid", "passage_id", "h.heat")
 
     def hints(self) -> DataFrame:
         """(qid, coll, name, first): the collection that a query seems to name, and its first passage."""

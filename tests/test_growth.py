@@ -59,3 +59,10 @@ def test_exclusion_reads_texts_once(spark):
 
 def test_line_scores_read_no_text_again(spark):
     assert not any("FileScan" in x and "text#" in x for x in plan(catalog.bm25_documents(spark, FOLDER)))
+
+
+def test_dense_heat_is_laid_out_after_the_shuffle(spark):
+    """The row of each query is made by the last operator: no join or exchange stands above it."""
+    lines = plan(catalog.dense_heat(spark, FOLDER))
+    first = next(k for k, x in enumerate(lines) if "Generate" in x)
+    assert not any("Join" in x or "Exchange" in x for x in lines[:first])
