@@ -87,12 +87,15 @@ def segments(passages: DataFrame, marked: DataFrame, tokens: DataFrame | None =
     """
     keys = ["qid", "passage_id"]
     how = marked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("why", "term_no")))).alias("_how"))
-    cut = passages.select(*keys, words(F.col("text")).alias("_w"), F.split("text", WORD, -1).alias("_g")).join(how, keys, "left")
+    cut = passages.select(*keys, "text").join(how, keys, "left")
     tagged = F.lit(None).cast("map<int,struct<flags:tinyint,codes:array<string>>>")
     if tokens is not None:
         own = tokens.join(passages.select("passage_id").distinct(), "passage_id", "left_semi").groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("flags", "codes")))).alias("_tags"))
         cut, tagged = cut.join(own, "passage_id", "left"), F.col("_tags")
 
+    # the text is cut after the joins, so that they hold it once and not as arrays of its words and gaps
+    cut = cut.withColumn("_w", words(F.col("text"))).withColumn("_g", F.split("text", WORD, -1))
+
     def segment(word: Column, pos: Column) -> Column:
         tag, mark = F.try_element_at(tagged, pos), F.try_element_at(F.col("_how"), pos)
         return F.struct(

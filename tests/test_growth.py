@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions import text as T
 from passageworks.functions.wordlists import IRREGULAR_FORMS
+from passageworks.operators import explain
 from passageworks.plans import catalog
 from passageworks.sources import marked
 
@@ -66,3 +67,12 @@ def test_dense_heat_is_laid_out_after_the_shuffle(spark):
     lines = plan(catalog.dense_heat(spark, FOLDER))
     first = next(k for k, x in enumerate(lines) if "Generate" in x)
     assert not any("Join" in x or "Exchange" in x for x in lines[:first])
+
+
+def test_segments_join_whole_texts(spark):
+    """A text is cut into words and gaps above the joins, so no join holds these arrays."""
+    passages = spark.createDataFrame([(0, 0, "ab cd")], "qid int, passage_id bigint, text string")
+    marked_ = spark.createDataFrame([(0, 0, 1, "exact", 0)], "qid int, passage_id bigint, pos int, why string, term_no int")
+    lines = plan(explain.segments(passages, marked_))
+    join = next(k for k, x in enumerate(lines) if "Join" in x)
+    assert not any("regexp_extract_all" in x for x in lines[join:]) and any("regexp_extract_all" in x for x in lines[:join])
