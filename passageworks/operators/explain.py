@@ -58,7 +58,8 @@ def reason(lexicon_name: Column) -> Column:
 
 def reasons(marked: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("qid", "passage_id")) -> DataFrame:
     """(…keys, reasons): at most four distinct reasons in word order; over the passages of a run if ``keys`` say so."""
-    named = marked.join(lexicon.select("code", "translit"), "code", "left").withColumn("reason", reason(F.col("translit"))).filter("reason is not null")
+    # sent whole, as it does not grow with the text: dealt by code, all words marked by their stem (code null) would meet in one task
+    named = marked.join(F.broadcast(lexicon.select("code", "translit")), "code", "left").withColumn("reason", reason(F.col("translit"))).filter("reason is not null")
     first = named.groupBy(*keys, "reason").agg(F.min(F.struct("passage_id", "pos")).alias("at"))
     ranked = first.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).filter(F.col("_k") <= REASONS)
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "reason"))), lambda s: s["reason"]).alias("reasons"))

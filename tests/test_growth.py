@@ -76,3 +76,14 @@ def test_segments_join_whole_texts(spark):
     lines = plan(explain.segments(passages, marked_))
     join = next(k for k, x in enumerate(lines) if "Join" in x)
     assert not any("regexp_extract_all" in x for x in lines[join:]) and any("regexp_extract_all" in x for x in lines[:join])
+
+
+def test_reasons_deal_nothing_by_code(spark):
+    lexicon = spark.range(1).selectExpr("'G1' AS code", "'x' AS translit")
+    marked_ = spark.createDataFrame([(0, 0, 1, "a", 0, "form", None, "b")], "qid int, passage_id bigint, pos int, norm string, term_no int, why string, code string, typed string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not any("hashpartitioning(code" in x for x in plan(explain.reasons(marked_, lexicon)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
